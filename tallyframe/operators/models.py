@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,19 +235,18 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str, link: s
     rows = VectorAssembler(inputCols=list(terms), outputCol="features").transform(rows.na.drop())
     fit = GeneralizedLinearRegression(family=family, link=link, maxIter=50, tol=1e-10).fit(rows)
     summary = fit.summary
-    # Spark lists the intercept last.
-    estimates = [*fit.coefficients, fit.intercept]
-    table = list(zip([*terms, "(Intercept)"], map(float, estimates), summary.coefficientStandardErrors,
-                     summary.tValues, summary.pValues))
+    # Spark lists the intercept last, and has no errors for a singular design.
+    estimates = [float(b) for b in [*fit.coefficients, fit.intercept]]
+    try:
+        errors, z, p = summary.coefficientStandardErrors, summary.tValues, summary.pValues
+    except UnsupportedOperationException:
+        errors = z = p = [None] * len(estimates)
+    label = f"{response} ~ {' + '.join(terms)}"
     return df.sparkSession.createDataFrame(
-        [(f"{response} ~ {' + '.join(terms)}", *map(_plain, row)) for row in table],
+        [(label, *row) for row in zip([*terms, "(Intercept)"], estimates, errors, z, p)],
         "model string, term string, estimate double, std_error double, z double, p_value double")
 
 
-def _plain(x):
-    return x if isinstance(x, str) else float(x)
-
-
 def poisson_glm(df: DataFrame, response: str, terms: Sequence[str]) -> DataFrame:
     return glm(df, response, terms, "poisson", "log")
 
@@ -384,7 +384,7 @@ def random_intercept_lm(df: DataFrame, model: Model) -> MixedFit:
     beta, inverse, kept = solve_normal(cross[:p, :p], cross[:p, p])
     used = np.where(kept, beta, 0.0)
     n = profile.n
-    sigma2 = (cross[p, p] - used @ cross[:p, p]) / n
+    sigma2 = max(cross[p, p] - used @ cross[:p, p], 1e-300) / n
     offsets = np.array([centre[name] for name in names])
     at = mean + offsets
     variance = np.concatenate([[1 / weight + at[:p] @ inverse @ at[:p]], np.where(kept, np.diag(inverse), np.nan)])
