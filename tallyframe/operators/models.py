@@ -1,9 +1,10 @@
 """Regressions fitted from sums that Spark aggregates.
 
 A fit needs the number of rows, the column means and the centred cross-products
-of the design.  Spark's ``covar_pop`` keeps those in a stable, mergeable form,
-so one aggregate with map-side combine serves any number of models, and only
-p x p numbers per model reach the driver.
+of the design.  Two aggregates with map-side combine serve any number of
+models: the first takes the mean of every column, the second sums the products
+of the columns less that mean, once per pair and set of rows however many
+models share it.  Only these sums reach the driver.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.stats import solve_normal, t_quantile, t_two_sided
+from tallyframe.session import cut_lineage
 
 Term = str | tuple[str, ...]
 
 MAX_LEVELS = 1000       # a factor with more levels is a grouping, not a factor
-BATCH_SUMS = 150        # aggregate expressions per job
+BATCH_SUMS = 200        # aggregate expressions per job
 LOCAL_SIZES = 50_000    # distinct group sizes that are searched on the driver
 
 
@@ -111,18 +113,57 @@ def _factors(df: DataFrame, models: Sequence[Model]) -> list[str]:
 # --- least squares -----------------------------------------------------------
 
 def ols_many(df: DataFrame, models: Sequence[Model]) -> list[Fit]:
-    """Fit several models in few passes; rows with a NULL leave only their model."""
+    """Fit several models in two passes; rows with a NULL leave only their model."""
     levels = _factor_levels(df, _factors(df, models))
     designs = [_design(m, levels) for m in models]
-    fits: list[Fit] = []
-    batch: list[int] = []
-    size = 0
-    for i, design in enumerate(designs):
-        batch.append(i)
-        size += (len(design) + 2) * (len(design) + 3) // 2
-        if size >= BATCH_SUMS or i == len(designs) - 1:
-            fits += _fit_batch(df, [models[j] for j in batch], [designs[j] for j in batch])
-            batch, size = [], 0
+    # Every distinct column once; (name, column) with the response of each model last.
+    variables = [[*d, (f"{m.response}", F.col(m.response).cast("double"))] for m, d in zip(models, designs)]
+    index: dict[str, int] = {}
+    columns: list[Column] = []
+    for name, column in (v for vs in variables for v in vs):
+        if name not in index:
+            index[name] = len(columns)
+            columns.append(column)
+    wide = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    # The sums are written as SQL text: hundreds of them, one call to build.
+    first = wide.selectExpr(*[f"avg(c{i}) AS a{i}" for i in range(len(columns))],
+                            *[f"count_if(c{i} IS NULL) AS u{i}" for i in range(len(columns))]).first()
+    centre = [first[f"a{i}"] or 0.0 for i in range(len(columns))]
+    gaps = {i for i in range(len(columns)) if first[f"u{i}"]}
+    wide = wide.selectExpr(*[f"c{i} - {centre[i]!r}D AS c{i}" for i in range(len(columns))])
+
+    # Models whose columns with gaps are the same read the same rows.
+    used = [[index[name] for name, _ in vs] for vs in variables]
+    masks = [tuple(sorted(gaps & set(ids))) for ids in used]
+    sums: dict[tuple, str] = {}
+    for mask, ids in zip(masks, used):
+        known = " AND ".join(f"c{i} IS NOT NULL" for i in mask)
+
+        def total(value: str, known=known) -> str:
+            return f"sum({value})" + (f" FILTER (WHERE {known})" if known else "")
+
+        sums.setdefault((mask,), total("1"))
+        for k, i in enumerate(ids):
+            sums.setdefault((mask, i), total(f"c{i}"))
+            for j in ids[k:]:
+                sums.setdefault((mask, *sorted((i, j))), total(f"c{i} * c{j}"))
+    keys = list(sums)
+    values: dict[tuple, float] = {}
+    for at in range(0, len(keys), BATCH_SUMS):
+        part = keys[at:at + BATCH_SUMS]
+        row = wide.selectExpr(*[f"{sums[key]} AS s{i}" for i, key in enumerate(part)]).first()
+        values |= {key: row[i] for i, key in enumerate(part)}
+
+    fits = []
+    for model, design, ids, mask in zip(models, designs, used, masks):
+        n = int(values[(mask,)] or 0)
+        if not n:
+            fits.append(_no_fit(model, design))
+            continue
+        shift = np.array([values[(mask, i)] for i in ids]) / n
+        cross = np.array([[values[(mask, *sorted((i, j)))] for j in ids] for i in ids])
+        cross -= n * np.outer(shift, shift)
+        fits.append(_solve(model, design, n, np.array([centre[i] for i in ids]) + shift, cross))
     return fits
 
 
@@ -130,33 +171,19 @@ def ols(df: DataFrame, response: str, terms: Sequence[Term]) -> Fit:
     return ols_many(df, [Model(response, tuple(terms))])[0]
 
 
-def _fit_batch(df: DataFrame, models: list[Model], designs: list[list[tuple[str, Column]]]) -> list[Fit]:
-    columns, sums = [], []
-    for i, (model, design) in enumerate(zip(models, designs)):
-        values = [c for _, c in design] + [F.col(model.response).cast("double")]
-        known = F.lit(True)
-        for v in values:
-            known = known & v.isNotNull()
-        names = [f"m{i}_{j}" for j in range(len(values))]
-        columns += [F.when(known, v).alias(name) for v, name in zip(values, names)]
-        sums.append(F.count(names[-1]).alias(f"m{i}_n"))
-        sums += [F.avg(a).alias(f"{a}_mean") for a in names]
-        sums += [F.covar_pop(a, b).alias(f"{a}_{b}") for j, a in enumerate(names) for b in names[j:]]
-    row = df.select(*columns).agg(*sums).first().asDict()
-    return [_solve(model, design, row, f"m{i}") for i, (model, design) in enumerate(zip(models, designs))]
-
-
-def _solve(model: Model, design: list[tuple[str, Column]], row: dict, tag: str) -> Fit:
-    p, n = len(design), row[f"{tag}_n"]
-    if not n:
-        nothing = np.full(p + 1, np.nan)
-        return Fit(model, [d[0] for d in design], [d[1] for d in design], 0, nothing[1:], nothing, nothing,
-                   math.nan, math.nan, np.zeros((p, p)), 0)
-    means = np.array([row[f"{tag}_{j}_mean"] for j in range(p + 1)])
-    cross = np.zeros((p + 1, p + 1))
-    for j in range(p + 1):
-        for k in range(j, p + 1):
-            cross[j, k] = cross[k, j] = n * row[f"{tag}_{j}_{tag}_{k}"]
+def _no_fit(model: Model, design: list[tuple[str, Column]]) -> Fit:
+    p = len(design)
+    nothing = np.full(p + 1, np.nan)
+    return Fit(model, [d[0] for d in design], [d[1] for d in design], 0, nothing, nothing, nothing,
+               math.nan, math.nan, np.zeros((p, p)), 0)
+
+
+def _solve(model: Model, design: list[tuple[str, Column]], n: int, means: np.ndarray, cross: np.ndarray) -> Fit:
+    """A fit from centred cross-products with the response last."""
+    p = len(design)
+    # What is left of a constant column after centring is rounding.
+    flat = np.diag(cross) <= 1e-24 * n * means**2
+    cross = np.where(flat[:, None] | flat[None, :], 0.0, cross)
     beta, inverse, kept = solve_normal(cross[:p, :p], cross[:p, p])
     used = np.where(kept, beta, 0.0)
     rss = max(cross[p, p] - used @ cross[:p, p], 0.0)
@@ -280,19 +307,24 @@ class _Profile:
 
     def __init__(self, table: DataFrame, width: int):
         self.table, self.width = table, width
-        names = self._names()
-        total = table.agg(
+        pairs = self._names()
+        columns = ["size", "groups", *[f"mean_{j}" for j in range(width)],
+                   *[f"{kind}_{a}_{b}" for kind in ("between", "within") for a, b in pairs]]
+        rows = table.select(*columns).limit(LOCAL_SIZES + 1).collect()
+        self.local = None
+        if len(rows) <= LOCAL_SIZES:
+            local = np.array([[float(v) for v in r] for r in rows])
+            self.n, self.groups = int(local[:, 0] @ local[:, 1]), int(local[:, 1].sum())
+            self.local = local[:, :2 + width + len(pairs)]
+            self.within = self._square(local[:, 2 + width + len(pairs):].sum(axis=0))
+            return
+        # More sizes than the driver should hold: sum on the cluster.
+        self.table = cut_lineage(table.select(*columns))
+        total = self.table.agg(
             F.sum(F.col("size") * F.col("groups")).alias("n"), F.sum("groups").alias("groups"),
-            F.count("*").alias("sizes"),
-            *[F.sum(f"within_{a}_{b}").alias(f"within_{a}_{b}") for a, b in names]).first()
+            *[F.sum(f"within_{a}_{b}").alias(f"within_{a}_{b}") for a, b in pairs]).first()
         self.n, self.groups = int(total["n"]), int(total["groups"])
-        self.within = self._square([total[f"within_{a}_{b}"] for a, b in names])
-        self.local = None
-        if total["sizes"] <= LOCAL_SIZES:
-            rows = np.array([[float(v) for v in r] for r in table.select(
-                "size", "groups", *[f"mean_{j}" for j in range(width)],
-                *[f"between_{a}_{b}" for a, b in names]).collect()])
-            self.local = rows
+        self.within = self._square([total[f"within_{a}_{b}"] for a, b in pairs])
 
     def _names(self) -> list[tuple[int, int]]:
         return [(a, b) for a in range(self.width) for b in range(a, self.width)]
@@ -319,22 +351,16 @@ class _Profile:
         return cross, total, mean, float(groups @ np.log1p(size * tau))
 
     def _spark_sums(self, taus: Sequence[float]):
-        columns = []
-        for i, tau in enumerate(taus):
-            weight = F.col("size") / (1 + F.col("size") * tau)
-            columns.append(F.sum(weight * F.col("groups")).alias(f"w_{i}"))
-            columns.append(F.sum(F.col("groups") * F.log1p(F.col("size") * F.lit(float(tau)))).alias(f"d_{i}"))
-            columns += [F.sum(weight * F.col("groups") * F.col(f"mean_{a}")).alias(f"s_{i}_{a}")
-                        for a in range(self.width)]
-            columns += [F.sum(weight * (F.col(f"between_{a}_{b}") + F.col("groups") * F.col(f"mean_{a}")
-                                        * F.col(f"mean_{b}"))).alias(f"c_{i}_{a}_{b}") for a, b in self._names()]
-        row = self.table.agg(*columns).first()
         out = []
-        for i in range(len(taus)):
-            total = row[f"w_{i}"]
-            mean = np.array([row[f"s_{i}_{a}"] for a in range(self.width)]) / total
-            cross = self._square([row[f"c_{i}_{a}_{b}"] for a, b in self._names()]) - total * np.outer(mean, mean)
-            out.append((self.within + cross, total, mean, row[f"d_{i}"]))
+        for tau in taus:
+            share = f"(size / (1 + size * {float(tau)!r}D))"
+            row = self.table.selectExpr(
+                f"sum(groups * {share})", f"sum(groups * log1p(size * {float(tau)!r}D))",
+                *[f"sum(groups * {share} * mean_{a})" for a in range(self.width)],
+                *[f"sum({share} * (between_{a}_{b} + groups * mean_{a} * mean_{b}))" for a, b in self._names()]).first()
+            total, at = row[0], np.array(row[2:2 + self.width]) / row[0]
+            cross = self._square(row[2 + self.width:]) - total * np.outer(at, at)
+            out.append((self.within + cross, total, at, row[1]))
         return out
 
     def deviance(self, cross: np.ndarray, logdet: float) -> float:
@@ -346,7 +372,7 @@ class _Profile:
         """Ratio of lowest deviance: grids on ln(ratio), each inside the last."""
         low, high, best = math.log(1e-8), math.log(1e8), 0.0
         for _ in range(9):
-            grid = np.linspace(low, high, 33)
+            grid = np.linspace(low, high, 17)
             taus = [0.0, *np.exp(grid)]
             values = [self.deviance(c, d) for c, _, _, d in self.sums(taus)]
             at = int(np.argmin(values))
@@ -366,17 +392,22 @@ def random_intercept_lm(df: DataFrame, model: Model) -> MixedFit:
     width = len(values)
     names = [f"z{j}" for j in range(width)]
     rows = df.select(F.col(model.group).alias("g"), *[v.alias(n) for v, n in zip(values, names)]).na.drop()
-    # Centring leaves the slopes alone and keeps the sums well conditioned.
-    centre = rows.agg(*[F.avg(n).alias(n) for n in names]).first()
-    rows = rows.select("g", *[(F.col(n) - F.lit(centre[n])).alias(n) for n in names])
+    # Centring keeps the digits of the squares; the means come back below.
+    first = rows.selectExpr(*[f"avg({name})" for name in names]).first()
+    centre = np.array([v or 0.0 for v in first])
+    rows = rows.selectExpr("g", *[f"{name} - {float(c)!r}D AS {name}" for name, c in zip(names, centre)])
     pairs = [(a, b) for a in range(width) for b in range(a, width)]
-    per_group = rows.groupBy("g").agg(
-        F.count("*").alias("size"), *[F.avg(n).alias(n) for n in names],
-        *[(F.covar_pop(f"z{a}", f"z{b}") * F.count("*")).alias(f"w_{a}_{b}") for a, b in pairs])
-    per_size = per_group.groupBy("size").agg(
-        F.count("*").alias("groups"), *[F.avg(n).alias(f"mean_{j}") for j, n in enumerate(names)],
-        *[F.sum(f"w_{a}_{b}").alias(f"within_{a}_{b}") for a, b in pairs],
-        *[(F.covar_pop(f"z{a}", f"z{b}") * F.count("*")).alias(f"between_{a}_{b}") for a, b in pairs])
+    per_group = rows.groupBy("g").agg(*map(F.expr, [
+        "count(*) AS size", *[f"sum({name}) AS {name}" for name in names],
+        *[f"sum(z{a} * z{b}) AS w_{a}_{b}" for a, b in pairs]]))
+    per_size = per_group.groupBy("size").agg(*map(F.expr, [
+        "count(*) AS groups", *[f"avg({name} / size) AS mean_{j}" for j, name in enumerate(names)],
+        *[f"sum(w_{a}_{b} - z{a} * z{b} / size) AS within_{a}_{b}" for a, b in pairs],
+        *[f"sum(z{a} * z{b} / size / size) AS square_{a}_{b}" for a, b in pairs]]))
+    # Scatter of the group means around the mean of the groups of their size.
+    per_size = per_size.selectExpr(
+        "size", "groups", *[f"mean_{j}" for j in range(width)], *[f"within_{a}_{b}" for a, b in pairs],
+        *[f"square_{a}_{b} - groups * mean_{a} * mean_{b} AS between_{a}_{b}" for a, b in pairs])
     profile = _Profile(per_size, width)
     tau = profile.minimise()
     cross, weight, mean, logdet = profile.sums([tau])[0]
@@ -385,12 +416,11 @@ def random_intercept_lm(df: DataFrame, model: Model) -> MixedFit:
     used = np.where(kept, beta, 0.0)
     n = profile.n
     sigma2 = max(cross[p, p] - used @ cross[:p, p], 1e-300) / n
-    offsets = np.array([centre[name] for name in names])
-    at = mean + offsets
-    variance = np.concatenate([[1 / weight + at[:p] @ inverse @ at[:p]], np.where(kept, np.diag(inverse), np.nan)])
+    mean = mean + centre
+    variance = np.concatenate([[1 / weight + mean[:p] @ inverse @ mean[:p]], np.where(kept, np.diag(inverse), np.nan)])
     return MixedFit(
         model=model, names=[d[0] for d in design],
-        coef=np.concatenate([[at[p] - used @ at[:p]], beta]),
+        coef=np.concatenate([[mean[p] - used @ mean[:p]], beta]),
         errors=np.sqrt(sigma2 * variance), sigma2=sigma2, tau=tau,
         loglik=-0.5 * (n * math.log(2 * math.pi * sigma2) + n + logdet), n=n, groups=profile.groups)
 

@@ -591,7 +591,7 @@ def fit_sql(source: str, model: Model) -> str:
     rows = [("(Intercept)", intercept, f"(1.0 / n + {quadratic})")]
     rows += [(name, beta[i], f"(CASE WHEN k_{i} THEN s_{i}_{i} END)") for i, (name, _) in enumerate(design)]
     parts = ", ".join(f"{{'term': '{t}', 'b': CAST({b} AS DOUBLE), 'v': CAST({v} AS DOUBLE)}}" for t, b, v in rows)
-    return f"""SELECT '{model.label}' AS model, term, b, e, b / e AS t, {p_value('(b / e)', 'df')} AS p, r2, n
+    return f"""SELECT '{model.label}' AS model, term, b, e, b / nullif(e, 0) AS t, {p_value('(b / nullif(e, 0))', 'df')} AS p, r2, n
       FROM (SELECT u.term AS term, u.b AS b, CASE WHEN df > 0 THEN sqrt(rss / df * u.v) END AS e, df, r2, n FROM (
         SELECT unnest([{parts}]) AS u, {df} AS df, greatest(s_{p}_{p}, 0) AS rss,
                CASE WHEN d_{p} > 0 THEN 1 - greatest(s_{p}_{p}, 0) / d_{p} END AS r2, n FROM {swept}))"""

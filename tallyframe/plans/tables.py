@@ -12,7 +12,7 @@ from tallyframe.operators import composition as comp
 from tallyframe.operators import foraging, lookup, names
 from tallyframe.operators.composition import COUNT, GROUP, ITEM, MASS
 from tallyframe.operators.curves import exp_fit_from
-from tallyframe.operators.density import predict_density, rank_regression
+from tallyframe.operators.density import predict_density, slope_p_value
 from tallyframe.operators.ranks import rank_triplet
 from tallyframe.operators.rarefy import rarefied_metrics, rarefied_metrics_from
 from tallyframe.operators.redistribute import redistribute_genus
@@ -139,26 +139,44 @@ def diet_foraging_metrics(prey: DataFrame, meta: DataFrame, h: float = HANDLING_
                           more_than: int = 20) -> DataFrame:
     """Per diet with enough prey: rank slope, totals, attack rate, intake, test count.
 
-    ``prey`` is read by three branches; pass a staged table.
+    The same values as the single operators, in two grouped passes: totals and
+    extremes of a diet first, then everything that compares a row with them.
     """
-    sums = prey.groupBy(GROUP).agg(
+    item_share = F.col(COUNT) / F.col("numb_prey")
+    totals = prey.groupBy(GROUP).agg(
         F.sum(COUNT).alias("numb_prey"), F.count("*").alias("numb_prey_spp"),
-        F.sum("Density").alias("sum_R"),
+        F.sum("Density").alias("sum_R"), F.max("Density").alias("_top_density"), F.max(COUNT).alias("_top_count"),
         F.min(MASS).alias("smallest_prey_mass"), F.max(MASS).alias("largest_prey_mass"),
-        F.max_by(MASS, F.struct(COUNT, "Density", ITEM)).alias("mass_of_most_common_dropones"),
-    ).filter(F.col("numb_prey") > more_than)
-    slopes = rank_regression(rank_triplet(prey)).select(GROUP, "dens_slopes", "pval_dens")
-    totals = foraging.diet_totals(prey, meta)
-    tests = foraging.foraging_test(prey, totals, [h], more_than=more_than)
-    extra = sums.join(meta.select(GROUP, "PreyPerPellet"), GROUP)
-    own = extra.select(
-        *sums.columns, (F.col("largest_prey_mass") - F.col("smallest_prey_mass")).alias("mass_range"),
-        foraging.attack_rate("sum_R", "PreyPerPellet", h).alias("baow_a"))
-    return lookup.attach_meta(
-        own, slopes,
-        comp.extreme_item_frequency(prey), comp.predicted_largest_frequency(prey),
-        comp.top_item_flags(prey), foraging.intake_rate(totals),
-        foraging.suboptimal_count(tests).drop("cand_h"))
+        (F.sum(F.col(COUNT) * F.col(MASS)) / F.nullif(F.sum(COUNT), F.lit(0))).alias("_mass"),
+    ).filter(F.col("numb_prey") > more_than).join(meta.select(GROUP, "PreyPerPellet"), GROUP)
+    p = F.col("PreyPerPellet")
+    tested = (F.col("numb_prey_spp") > 1) & p.isNotNull()
+    discounted = (F.col("_mass") - item_share * F.col(MASS)) * p
+    biggest = F.col(MASS) == F.col("largest_prey_mass")
+    common = F.col(COUNT) == F.col("_top_count")
+    densest = F.col("Density") == F.col("_top_density")
+    rows = comp.with_totals(rank_triplet(prey), totals)
+    per_diet = rows.groupBy(*totals.columns).agg(
+        F.regr_slope("CountRank", "DensRank").alias("dens_slopes"),
+        F.max_by(MASS, "CountRank").alias("mass_of_most_common_dropones"),
+        F.min_by(item_share, F.struct((-F.col(MASS)).alias("m"), F.col(ITEM))).alias("obs_largest_prey_freq"),
+        F.min_by(item_share, F.struct(MASS, ITEM)).alias("obs_smallest_prey_freq"),
+        F.sum(F.when(~biggest, F.col("Density")).otherwise(0.0)).alias("_lighter"),
+        F.min_by("Density", F.when(biggest, F.col(ITEM))).alias("_heaviest"),
+        F.bool_and(common == biggest).cast("int").alias("IsTopPreyBiggest"),
+        F.bool_and(common == densest).cast("int").alias("IsTopPreyMostDense"),
+        F.count_if(F.col(MASS) / h - discounted < 0).alias("_below"))
+    return per_diet.select(
+        GROUP, "numb_prey", "numb_prey_spp", "sum_R", "smallest_prey_mass", "largest_prey_mass",
+        "mass_of_most_common_dropones",
+        (F.col("largest_prey_mass") - F.col("smallest_prey_mass")).alias("mass_range"),
+        foraging.attack_rate("sum_R", p, h).alias("baow_a"),
+        "dens_slopes", slope_p_value(F.round("dens_slopes", 12), "numb_prey_spp").alias("pval_dens"),
+        "obs_largest_prey_freq", "obs_smallest_prey_freq",
+        (1 / (1 + F.col("_lighter") / F.nullif(F.col("_heaviest"), F.lit(0.0)))).alias("pred_largest_prey_freq"),
+        "IsTopPreyBiggest", "IsTopPreyMostDense",
+        (F.col("_mass") * p).alias("NE_intake"),
+        F.when(tested, F.col("_below")).alias("NumPos"))
 
 
 def foraging_table(meta: DataFrame, prey: DataFrame, all_items: DataFrame, h: float = HANDLING_TIME,
