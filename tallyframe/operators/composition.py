@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import x_ln_x
+from tallyframe.operators.skew import sized_join
 
 GROUP, ITEM, COUNT, MASS = "DataSet", "PreyScientificName", "CountInt", "PreyMass"
 
@@ -49,12 +50,8 @@ def ranked_spectrum(items: DataFrame, group: str = GROUP, count: str = COUNT, *a
 
 
 def with_totals(items: DataFrame, totals: DataFrame, group: str = GROUP) -> DataFrame:
-    """Join per-group sums back to the rows.
-
-    No hint: the totals are broadcast when they are measured to be small, and
-    a hot group is split by the adaptive skew join otherwise.
-    """
-    return items.join(totals, group)
+    """Join per-group sums back to the rows."""
+    return sized_join(items, totals, [group])
 
 
 # --- simple aggregates ------------------------------------------------------
@@ -397,7 +394,8 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataF
     """Correlation of two columns over rows where both are known."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     if method == "spearman":
-        both = both.join(_average_ranks(both, a, "_ra"), a).join(_average_ranks(both, b, "_rb"), b)
+        both = sized_join(both, _average_ranks(both, a, "_ra"), [a])
+        both = sized_join(both, _average_ranks(both, b, "_rb"), [b])
         return both.agg(F.corr("_ra", "_rb").alias("correlation"))
     return both.agg(F.corr(a, b).alias("correlation"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.operators.composition import COUNT, GROUP, ranked_spectrum
+from tallyframe.session import spread
 
 START = (0.2, -0.2)
 
@@ -158,7 +159,7 @@ def exp_fit_from(blocks: DataFrame, group: str = GROUP, count: str = COUNT) -> D
                 "rsquare": rsquare})
             yield out.assign(converged=ok)
 
-    fitted = blocks.repartition(group).sortWithinPartitions(group, F.desc(count)).mapInPandas(run, fields)
+    fitted = spread(blocks, group).sortWithinPartitions(group, F.desc(count)).mapInPandas(run, fields)
     return fitted.select(group, *[
         F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("specialization", "y_intercept", "rsquare")
     ], "converged")

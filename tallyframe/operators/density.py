@@ -11,6 +11,7 @@ from tallyframe.functions.columns import as_col, safe_log10
 from tallyframe.functions.stats import t_p_value
 from tallyframe.operators.composition import GROUP, MASS
 from tallyframe.operators.scan import HOT_ROWS, grouped_median
+from tallyframe.operators.skew import sized_join
 
 
 def log_observations(obs: DataFrame, mass: str = "BodyMass", density: str = "Density_km") -> DataFrame:
@@ -70,7 +71,7 @@ def predict_density(items: DataFrame, coefficients: DataFrame, item_level: str =
     log_density = F.col("_intercept") + F.col("_slope") * F.col("LogMass")
     density = F.exp("LogDensity") if base == "e" else F.pow(F.lit(10.0), F.col("LogDensity"))
     return (
-        items.withColumn("LogMass", safe_log10(mass)).join(lines, item_level)
+        sized_join(items.withColumn("LogMass", safe_log10(mass)), lines, [item_level])
         .withColumn("LogDensity", log_density).withColumn("Density", density)
         .drop("_slope", "_intercept")
     )
@@ -94,14 +95,14 @@ def median_by_level(draws: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def posterior_density(items: DataFrame, draws: DataFrame, keys: Sequence[str], code: str = "group_idx",
                       log_mass: str = "LogMass") -> DataFrame:
     """exp(intercept + slope * LogMass) per item and draw, in long form."""
-    return items.select(*keys, code, log_mass).join(draws, F.col(code) == F.col("k")).select(
+    return sized_join(items.select(*keys, F.col(code).alias("k"), log_mass), draws, ["k"]).select(
         *keys, "draw", F.exp(F.col("intercept") + F.col("slope") * F.col(log_mass)).alias("density"))
 
 
 def posterior_point(items: DataFrame, medians: DataFrame, keys: Sequence[str], code: str = "group_idx",
                     log_mass: str = "LogMass") -> DataFrame:
     """The point estimate from the median slope and intercept of each level."""
-    return items.select(*keys, code, log_mass).join(medians, F.col(code) == F.col("k")).select(
+    return sized_join(items.select(*keys, F.col(code).alias("k"), log_mass), medians, ["k"]).select(
         *keys, F.exp(F.col("intercept") + F.col("slope") * F.col(log_mass)).alias("density"))
 
 
@@ -130,7 +131,7 @@ def rank_line(ranked: DataFrame, fit: DataFrame, group: str = GROUP, term: str =
 
     The ranks of a group are exactly 1..n, so its own rows are the grid.
     """
-    return ranked.select(group, term).join(fit, group).select(
+    return sized_join(ranked.select(group, term), fit, [group]).select(
         group, term, (F.col("intercept") + F.col("dens_slopes") * F.col(term)).alias("fitted"))
 
 

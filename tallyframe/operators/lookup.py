@@ -1,8 +1,7 @@
 """Joins that bring traits, cells and results to a table.
 
-No join here carries a broadcast hint: a look-up table is broadcast when Spark
-measures it below the threshold, and shuffled (with the adaptive skew split for
-hot keys) when it is not.
+A look-up table is broadcast when it is counted and found small, and shuffled
+with salts for hot names when it is not.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import genus_label
+from tallyframe.operators.skew import sized_join
 
 
 def reduce_duplicates(trait: DataFrame, key: str, columns: Sequence[str], on_dup: str = "first",
@@ -38,8 +38,8 @@ def lookup(df: DataFrame, trait: DataFrame, left_key: str, right_key: str, colum
     """Exact-name left look-up; ``columns`` maps trait column -> output column."""
     reduced = reduce_duplicates(trait, right_key, list(columns), on_dup, order)
     renamed = reduced.select(
-        F.col(right_key).alias("_key"), *[F.col(c).alias(out) for c, out in columns.items()])
-    return df.join(renamed, F.col(left_key) == F.col("_key"), "left").drop("_key")
+        F.col(right_key).alias(left_key), *[F.col(c).alias(out) for c, out in columns.items()])
+    return sized_join(df, renamed, [left_key], "left").select(*df.columns, *columns.values())
 
 
 def lookup_chain(df: DataFrame, left_key: str, sources: Sequence[tuple[DataFrame, str, str]],
@@ -48,11 +48,14 @@ def lookup_chain(df: DataFrame, left_key: str, sources: Sequence[tuple[DataFrame
 
     Keys must be unique in each source.
     """
-    found = []
+    stacked = None
     for i, (trait, key, value) in enumerate(sources):
-        df = lookup(df, trait, left_key, key, {value: f"_v{i}"})
-        found.insert(0, f"_v{i}")
-    return df.withColumn(out, F.coalesce(*found)).drop(*found)
+        reduced = reduce_duplicates(trait, key, [value], "unique")
+        part = reduced.select(F.col(key).alias(left_key), F.lit(i).alias("_at"), F.col(value).alias("_value"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    # The sources become one table, so the rows are joined once.
+    best = stacked.filter(F.col("_value").isNotNull()).groupBy(left_key).agg(F.max_by("_value", "_at").alias(out))
+    return sized_join(df, best, [left_key], "left").select(*df.columns, out)
 
 
 def genus_means(trait: DataFrame, genus: str = "Genus", value: str = "BodyMassValue") -> DataFrame:
@@ -77,7 +80,7 @@ def cell_richness(cell_map: DataFrame, layers: DataFrame, names: Sequence[str],
     No cell or no entry gives NULL, or ``fill``.
     """
     wide = layers.filter(F.col(cell).isNotNull()).groupBy(cell).pivot("layer", list(names)).agg(F.max("species"))
-    out = cell_map.select(key, cell).join(wide, cell, "left").select(key, *names)
+    out = sized_join(cell_map.select(key, cell), wide, [cell], "left").select(key, *names)
     return out if fill is None else out.na.fill(fill, list(names))
 
 

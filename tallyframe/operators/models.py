@@ -27,6 +27,7 @@ Term = str | tuple[str, ...]
 
 MAX_LEVELS = 1000       # a factor with more levels is a grouping, not a factor
 BATCH_SUMS = 200        # aggregate expressions per job
+EXACT = 1e-12           # a residual share below this is rounding: an exact fit
 LOCAL_SIZES = 50_000    # distinct group sizes that are searched on the driver
 
 
@@ -186,7 +187,9 @@ def _solve(model: Model, design: list[tuple[str, Column]], n: int, means: np.nda
     cross = np.where(flat[:, None] | flat[None, :], 0.0, cross)
     beta, inverse, kept = solve_normal(cross[:p, :p], cross[:p, p])
     used = np.where(kept, beta, 0.0)
-    rss = max(cross[p, p] - used @ cross[:p, p], 0.0)
+    rss = cross[p, p] - used @ cross[:p, p]
+    if rss <= EXACT * cross[p, p]:
+        rss = 0.0
     df = n - int(kept.sum()) - 1
     sigma2 = rss / df if df > 0 else math.nan
     variance = np.concatenate([[1 / n + means[:p] @ inverse @ means[:p]], np.where(kept, np.diag(inverse), np.nan)])

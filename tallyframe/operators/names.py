@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import flag_count
 from tallyframe.operators.scan import HOT_ROWS, Scan, ordered_scan
+from tallyframe.operators.skew import sized_join
 
 # Renames of the diet table to the names of the phylogeny.
 DIET_RENAMES = {
@@ -76,7 +77,7 @@ def remap_names(df: DataFrame, column: str, mapping: Mapping[str, str] | DataFra
     """
     if isinstance(mapping, DataFrame):
         synonyms = mapping.select(F.col("old").alias(column), F.col("new").alias("_new"))
-        joined = df.join(synonyms, column, "left")
+        joined = sized_join(df, synonyms, [column], "left")
         return joined.withColumn(column, F.coalesce("_new", column)).select(*df.columns)
     literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     return df.withColumn(column, F.coalesce(F.try_element_at(literal, F.col(column)), F.col(column)))
@@ -94,4 +95,4 @@ def level_codes(df: DataFrame, column: str, levels: Sequence[str] | None = None,
         return df.withColumn(out, F.nullif(position, F.lit(0)).cast("bigint"))
     values = df.filter(F.col(column).isNotNull()).select(column).distinct()
     codes = ordered_scan(values, [], [Scan([column], rank=out)], hot_rows)
-    return df.join(codes, column, "left")
+    return sized_join(df, codes, [column], "left")

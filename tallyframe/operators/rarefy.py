@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tallyframe.operators.composition import COUNT, GROUP, ITEM, entropy_of, ranked_spectrum
 from tallyframe.operators.ranks import rank_abundance
+from tallyframe.session import spread
 
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -75,7 +76,7 @@ def _per_group(blocks: DataFrame, group: str, count: str, fields: dict[str, T.Da
     def run(key, block):
         return rows(key[0], block).assign(**{group: key[0]})[out.names]
 
-    return blocks.groupBy(group).applyInPandas(run, out)
+    return spread(blocks, group).groupBy(group).applyInPandas(run, out)
 
 
 def rarefy(items: DataFrame, m: int = 100, reps: int = 200, seed: int = 1, group: str = GROUP,

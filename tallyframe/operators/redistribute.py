@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import genus_of
 from tallyframe.operators.composition import COUNT, GROUP, ITEM
+from tallyframe.operators.skew import sized_join
+from tallyframe.session import cut_lineage
 
 
 def genus_vocabulary(items: DataFrame, item: str = ITEM, level: str = "IDLevel") -> DataFrame:
@@ -37,9 +39,9 @@ def genus_matches(items: DataFrame, group: str = GROUP, item: str = ITEM, count:
     genus = items.filter(F.col(level) == "Genus").groupBy(group, F.col(item).alias("label")).agg(
         F.sum(count).alias("genus_count")).withColumn("word", genus_of("label"))
     present = items.groupBy(group, F.col(item).alias("name")).agg(F.sum(count).alias("name_count"))
+    named = sized_join(present, genus_vocabulary(items, item, level), ["name"])
     return (
-        present.join(genus_vocabulary(items, item, level), "name")
-        .join(genus, [group, "word"])
+        sized_join(named, genus, [group, "word"])
         .filter(F.col("name") != F.col("label"))
         .select(group, "label", "name", "name_count", "genus_count")
     )
@@ -54,17 +56,15 @@ def redistribute_genus(items: DataFrame, group: str = GROUP, item: str = ITEM, c
     or whose matching rows add up to zero, stays.  Genus rows with the same
     label are added up first and all genus rows are applied at once.
     """
-    matches = genus_matches(items, group, item, count, level)
+    matches = cut_lineage(genus_matches(items, group, item, count, level))
     totals = matches.groupBy(group, "label").agg(F.sum("name_count").alias("label_total")).filter(
         F.col("label_total") > 0)
     # What a row receives per own count: one entry per genus word in its name.
-    gains = matches.join(totals, [group, "label"]).groupBy(group, F.col("name").alias("_name")).agg(
+    gains = sized_join(matches, totals, [group, "label"]).groupBy(group, F.col("name").alias(item)).agg(
         F.collect_list(F.struct(
             "label", F.col("genus_count").cast("double").alias("n"), "label_total")).alias("_gains"))
-    spent = totals.select(group, F.col("label").alias("_name"), F.lit(True).alias("_spent"))
-    effects = gains.join(spent, [group, "_name"], "full").withColumnRenamed(group, "_group")
-    joined = items.join(
-        effects, (F.col(group) == F.col("_group")) & (F.col(item) == F.col("_name")), "left")
+    spent = totals.select(group, F.col("label").alias(item), F.lit(True).alias("_spent"))
+    joined = sized_join(items, gains.join(spent, [group, item], "full"), [group, item], "left")
     gained = F.aggregate(
         F.coalesce("_gains", F.array().cast("array<struct<label:string,n:double,label_total:bigint>>")),
         F.lit(0).cast("bigint"),

@@ -24,9 +24,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.skew import HOT_ROWS, sized_join
 from tallyframe.session import cut_lineage
 
-HOT_ROWS = 5_000_000
 CHUNK_ROWS = 1_000_000
 
 
@@ -94,14 +94,14 @@ def _scan_chunks(df: DataFrame, group: list[str], scans: Sequence[Scan], rows: i
         ])
         inside = Window.partitionBy(*group, "_chunk").orderBy(*scan.sort_keys(), "_row")
         upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        columns = {"_rank": F.row_number().over(inside)}
-        columns |= {f"_in_{name}": F.sum(c).over(upto) for name, c in scan.running.items()}
+        columns = {"_in_rank": F.row_number().over(inside)}
+        columns |= {f"_sum_{name}": F.sum(c).over(upto) for name, c in scan.running.items()}
         out = out.withColumns(columns).join(offsets, [*group, "_chunk"])
         added = {}
         if scan.rank:
-            added[scan.rank] = (F.col("_rank") + F.col("_before")).cast("bigint")
+            added[scan.rank] = (F.col("_in_rank") + F.col("_before")).cast("bigint")
         for name in scan.running:
-            added[name] = F.col(f"_in_{name}") + F.col(f"_before_{name}")
+            added[name] = F.col(f"_sum_{name}") + F.col(f"_before_{name}")
         out = out.withColumns(added).drop("_chunk", "_before", *columns, *sums)
     return out.drop("_row")
 
@@ -113,6 +113,6 @@ def grouped_median(df: DataFrame, group: Sequence[str], value: str, out: str = "
     rows = df.filter(F.col(value).isNotNull()).select(*group, value)
     ranked = ordered_scan(rows, group, [Scan([value], rank="_rank")], hot_rows)
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    joined = ranked.join(sizes, group) if group else ranked.withColumn("_n", sizes.select("_n").scalar())
+    joined = sized_join(ranked, sizes, group) if group else ranked.withColumn("_n", sizes.select("_n").scalar())
     middle = (2 * F.col("_rank") >= F.col("_n")) & (2 * F.col("_rank") <= F.col("_n") + 2)
     return joined.filter(middle).groupBy(*group).agg(F.avg(value).alias(out))

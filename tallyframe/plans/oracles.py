@@ -593,8 +593,8 @@ def fit_sql(source: str, model: Model) -> str:
     parts = ", ".join(f"{{'term': '{t}', 'b': CAST({b} AS DOUBLE), 'v': CAST({v} AS DOUBLE)}}" for t, b, v in rows)
     return f"""SELECT '{model.label}' AS model, term, b, e, b / nullif(e, 0) AS t, {p_value('(b / nullif(e, 0))', 'df')} AS p, r2, n
       FROM (SELECT u.term AS term, u.b AS b, CASE WHEN df > 0 THEN sqrt(rss / df * u.v) END AS e, df, r2, n FROM (
-        SELECT unnest([{parts}]) AS u, {df} AS df, greatest(s_{p}_{p}, 0) AS rss,
-               CASE WHEN d_{p} > 0 THEN 1 - greatest(s_{p}_{p}, 0) / d_{p} END AS r2, n FROM {swept}))"""
+        SELECT unnest([{parts}]) AS u, {df} AS df, CASE WHEN s_{p}_{p} > 1e-12 * d_{p} THEN s_{p}_{p} ELSE 0 END AS rss,
+               CASE WHEN d_{p} > 0 THEN CASE WHEN s_{p}_{p} > 1e-12 * d_{p} THEN 1 - s_{p}_{p} / d_{p} ELSE 1 END END AS r2, n FROM {swept}))"""
 
 
 _fit_out = (f"SELECT model, term, {r('b', 'estimate')}, {r('e', 'std_error')}, {r('t', 't')}, {r('p', 'p_value')}, "
