@@ -24,29 +24,32 @@ GROUP, ITEM, COUNT, MASS = "DataSet", "PreyScientificName", "CountInt", "PreyMas
 # --- building blocks -------------------------------------------------------
 
 def spectrum(items: DataFrame, group: str = GROUP, count: str = COUNT, *aggs: Column) -> DataFrame:
-    """(group, count) -> number of items with that count, plus further sums."""
-    return (
-        items.filter(F.col(count).isNotNull())
-        .groupBy(group, count)
-        .agg(F.count("*").alias("n_items"), *aggs)
-    )
+    """(group, count) -> number of items with that count, plus further sums.
+
+    Items of unknown count form a block of their own with a NULL count.
+    """
+    return items.groupBy(group, count).agg(F.count("*").alias("n_items"), *aggs)
 
 
 def ranked_spectrum(items: DataFrame, group: str = GROUP, count: str = COUNT, *aggs: Column) -> DataFrame:
     """The spectrum with what lies before each block in descending count order.
 
     ``items_before``/``count_before`` exclude the block; ``n``/``total`` are
-    the sums of the whole group.
+    the sums over the known counts of the group, ``unknown`` the number of items
+    whose count is not known.
     """
     every = Window.partitionBy(group)
-    before = every.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, -1)
+    before = every.orderBy(F.desc_nulls_last(count)).rowsBetween(Window.unboundedPreceding, -1)
     block = F.col(count) * F.col("n_items")
-    return spectrum(items, group, count, *aggs).withColumns({
+    known = F.col(count).isNotNull()
+    ranked = spectrum(items, group, count, *aggs).withColumns({
         "items_before": F.coalesce(F.sum("n_items").over(before), F.lit(0)),
         "count_before": F.coalesce(F.sum(block).over(before), F.lit(0)),
-        "n": F.sum("n_items").over(every),
+        "n": F.sum(F.when(known, F.col("n_items")).otherwise(0)).over(every),
+        "unknown": F.sum(F.when(known, 0).otherwise(F.col("n_items"))).over(every),
         "total": F.sum(block).over(every),
     })
+    return ranked.filter(known)
 
 
 def with_totals(items: DataFrame, totals: DataFrame, group: str = GROUP) -> DataFrame:

@@ -61,15 +61,14 @@ def draw_ranks(block: pd.DataFrame, key: object, count: str, m: int, reps: int,
 
 
 def _drawable(items: DataFrame, group: str, count: str) -> DataFrame:
-    """Spectra of the groups whose counts are all known; zero counts are never drawn."""
-    known = items.groupBy(group).agg(
-        F.count("*").alias("_rows"), F.count(count).alias("_known")).filter("_rows = _known").select(group)
-    return ranked_spectrum(items.join(known, group, "left_semi"), group, count).filter(F.col(count) > 0)
+    """Ranked spectra of the groups whose counts are all known."""
+    return ranked_spectrum(items, group, count).filter("unknown = 0")
 
 
 def _per_group(blocks: DataFrame, group: str, count: str, fields: dict[str, T.DataType], rows) -> DataFrame:
     """Run ``rows(key, spectrum)`` once per group; the key is added to its result."""
-    blocks = blocks.select(group, count, "items_before", "count_before", "total")
+    # Zero counts are never drawn.
+    blocks = blocks.filter(F.col(count) > 0).select(group, count, "items_before", "count_before", "total")
     out = T.StructType([T.StructField(group, blocks.schema[group].dataType),
                         *[T.StructField(name, type_) for name, type_ in fields.items()]])
 
@@ -135,15 +134,14 @@ def rarefied_metrics_from(blocks: DataFrame, m: int = 100, reps: int = 200, seed
         })
 
     names = ("rare_richness", "rare_entropy", "rare_top_frequency")
-    drawable = blocks.filter(F.col(count) > 0)
-    return _per_group(drawable, group, count, {n: T.DoubleType() for n in names}, rows)
+    return _per_group(blocks, group, count, {n: T.DoubleType() for n in names}, rows)
 
 
 def expected_rarefied_richness(items: DataFrame, m: int = 100, group: str = GROUP,
                                count: str = COUNT) -> DataFrame:
     """Closed form of the mean richness: sum of 1 - (1 - f)^m."""
     f = F.col(count) / F.col("total")
-    return _drawable(items, group, count).groupBy(group).agg(
+    return _drawable(items, group, count).filter(F.col(count) > 0).groupBy(group).agg(
         F.sum(F.col("n_items") * (1 - F.pow(1 - f, F.lit(float(m))))).alias("expected_richness"))
 
 

@@ -16,6 +16,7 @@ from tallyframe.operators.density import predict_density, slope_p_value
 from tallyframe.operators.ranks import rank_triplet
 from tallyframe.operators.rarefy import rarefied_metrics, rarefied_metrics_from
 from tallyframe.operators.redistribute import redistribute_genus
+from tallyframe.operators.skew import sized_join
 from tallyframe.session import cut_lineage
 
 CARRION = "Artiodactyla"
@@ -50,7 +51,7 @@ def diet_spectrum_core(items: DataFrame) -> DataFrame:
             GROUP, safe_ln("top_item_mass").alias("MMF"), F.col("top_item_id_level").alias("ID_MF")),
         comp.size_selectivity(items).select(
             GROUP, F.col("max_overselected_size").alias("MOS"), F.col("summed_deviance").alias("SD")),
-        rarefied_metrics_from(blocks, 100, 100).select(
+        rarefied_metrics_from(blocks.filter("unknown = 0"), 100, 100).select(
             GROUP, F.col("rare_richness").alias("rare_NT"), F.col("rare_top_frequency").alias("rare_MF"),
             F.col("rare_entropy").alias("rare_SE")),
         exp_fit_from(blocks).select(
@@ -101,7 +102,7 @@ def diet_meta_table(items: DataFrame, meta: DataFrame, rich: DataFrame, predator
     RaptorRichness.  Diets without a value get ``fill``.
     """
     wanted = names.contains_filter(meta, "RaptorScientificName", predator)
-    used = items.join(wanted.select(GROUP), GROUP, "left_semi")
+    used = sized_join(items, wanted.select(GROUP), [GROUP])
     rare = rarefied_metrics(used, m, reps).select(
         GROUP, F.col("rare_entropy").alias("ShannEnt_rare"), F.col("rare_richness").alias("DietRichness_rare"))
     table = lookup.attach_meta(wanted.select(
@@ -113,7 +114,7 @@ def diet_meta_table(items: DataFrame, meta: DataFrame, rich: DataFrame, predator
 def diet_items_table(items: DataFrame, trait: DataFrame, meta: DataFrame, predator: str) -> DataFrame:
     """Item rows of one predator with prey mass and family."""
     wanted = names.contains_filter(meta.select(GROUP, "RaptorScientificName"), "RaptorScientificName", predator)
-    rows = lookup.prey_mass(items.join(wanted, GROUP), trait)
+    rows = lookup.prey_mass(sized_join(items, wanted, [GROUP]), trait)
     rows = lookup.lookup(rows, trait, ITEM, "SciName", {"Family": "PreyFamily"})
     return rows.select(GROUP, "RaptorScientificName", "IDLevel", "PreyClass", "PreyOrder", ITEM, COUNT,
                        MASS, "PreyFamily")

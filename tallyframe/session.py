@@ -56,10 +56,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the keys into a fixed number of tasks.
 
     For small rows that mean much work each: Spark joins small partitions by
-    their bytes, which would leave such work to one task.
+    their bytes, which would leave such work to one task.  One task more than a
+    shuffle has, or the planner takes an earlier shuffle by the same keys (and
+    its joined partitions) to be good enough and drops this one.
     """
     spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = 1 + max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)
 
 
