@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+def component_roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index of each component after adding the edges a-b to ``label``."""
     while True:
         low = np.minimum(label[a], label[b])
@@ -119,7 +119,7 @@ def trie_join(values: np.ndarray, groups: np.ndarray, top: int, budget: int) ->
             a, b = al[leaf], bl[leaf]
             near = np.bitwise_count(values[a] ^ values[b]) <= budget
             if near.any():
-                label = _roots(n, a[near], b[near], label)
+                label = component_roots(label, a[near], b[near])
             al, ah, bl, bh, d = (x[~leaf] for x in (al, ah, bl, bh, d))
         if not len(al) or bit < 0:
             continue
