@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, embeddings, extraction, language, mixing, simhash, substrings, token_counts
+from tallyframe.llm import decontamination, embeddings, extraction, language, mixing, simhash, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = F.coalesce(language.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = toxicity.score_toxicity(docs, labels.filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
 
@@ -60,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_html_extraction": op9_html_extraction,

@@ -93,23 +93,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _span_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hasher(values: np.ndarray):
+    """A function from (start, end) to the mixed hashes of those spans of ``values``."""
     n = len(values)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values * _powers(n, BASE), out=total[1:])
-    inverse = pow(BASE, -1, 1 << 64)
-    return (total[end] - total[start]) * _powers(n + 1, inverse)[start]
+    inverse = _powers(n + 1, pow(BASE, -1, 1 << 64))
+
+    def hashes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((total[end] - total[start]) * inverse[start])
+
+    return hashes
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, the same wherever the word stands."""
-    return mix(_span_sums(buf.astype(np.uint64) + np.uint64(1), start, end))
+    return span_hasher(buf.astype(np.uint64) + np.uint64(1))(start, end)
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` values; text borders are not looked at."""
     at = np.arange(max(0, len(hashes) - size + 1))
-    return mix(_span_sums(hashes, at, at + size))
+    return span_hasher(hashes)(at, at + size)
 
 
 def within(first: np.ndarray, size: int, n: int) -> np.ndarray:
