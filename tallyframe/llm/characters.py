@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
+from tallyframe.llm.words import Local
+
 #: First and last code point of the script ranges (Unicode blocks).
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
@@ -24,9 +25,26 @@ SCRIPTS = {
 SCRIPT_NAMES = ["none", "other", *SCRIPTS]
 
 
-@lru_cache(maxsize=1)
-def letter_tables() -> tuple[np.ndarray, np.ndarray]:
-    """(script, lower case) per code point; script 0 is no letter, marks count as letters."""
+_TABLES = Local()
+
+
+def letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(script, lower case, folded letter) per code point.
+
+    Script 0 is no letter, marks count as letters.  Folded letters drop accents and
+    case: 1..26 for a..z, 27 for letters without a Latin base, 0 for the rest.
+    """
+    if "all" not in _TABLES:
+        _TABLES["all"] = _letter_tables()
+    return _TABLES["all"]
+
+
+def use_tables(tables: tuple[np.ndarray, ...]) -> None:
+    """Take tables that came with a broadcast, so that tasks need not build them."""
+    _TABLES["all"] = tables
+
+
+def _letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     script = np.zeros(0x110000, np.uint8)
     lower = np.arange(0x110000, dtype=np.uint32)
     for point in range(0x32000):
@@ -40,7 +58,13 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray]:
         for a, b in ranges:
             part = script[a:b + 1]
             part[part > 0] = k
-    return script, lower
+    folded = np.where(script > 0, 27, 0).astype(np.uint8)
+    for point in range(0x2000):
+        if script[point]:
+            base = unicodedata.normalize("NFKD", chr(point))[0].lower()
+            if "a" <= base <= "z":
+                folded[point] = ord(base) - 96
+    return script, lower, folded
 
 
 def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import words as W
-from tallyframe.llm.characters import SCRIPT_NAMES, code_points, letter_tables, runs
+from tallyframe.llm.characters import SCRIPT_NAMES, code_points, letter_tables, runs, use_tables
 
 SLOTS = 1 << 16
 SWITCH = 8.0
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 
 def _letters(buf: np.ndarray, off: np.ndarray):
     """Trigram slot per code point, its script, and the words."""
-    script, lower = letter_tables()
+    script, lower, _ = letter_tables()
     points, at = code_points(buf, off)
     scripts = script[points]
     small = np.where(scripts > 0, lower[points], 0).astype(np.uint64)
@@ -60,8 +60,10 @@ def _letters(buf: np.ndarray, off: np.ndarray):
 
 def count_trigrams(train: DataFrame) -> DataFrame:
     """(lang, slot, n) over whole texts; slots from SLOTS on are letters per script."""
+    tables = train.sparkSession.sparkContext.broadcast(letter_tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_tables(tables.value)
         width = SLOTS + len(SCRIPT_NAMES)
         held: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -214,13 +216,14 @@ def identify(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     for r in rows:
         counts[number[r["lang"]], r["slot"]] = r["n"]
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast({"langs": langs, "counts": counts})
+    shared = docs.sparkSession.sparkContext.broadcast({"langs": langs, "counts": counts, "tables": letter_tables()})
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double, spans array<struct<first:bigint,last:bigint,lang:string>>"
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
+        use_tables(held["tables"])
         if "model" not in held and held["langs"]:
             held["model"] = Model(held["langs"], held["counts"])
         for batch in batches:

@@ -10,9 +10,7 @@ word beginnings learnt from labelled texts.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -21,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import words as W
-from tallyframe.llm.characters import code_points, letter_tables, runs
+from tallyframe.llm.characters import code_points, letter_tables, runs, use_tables
+from tallyframe.llm.components import staged
+from tallyframe.llm.simhash import component_roots
 
 #: What a character may stand for besides itself (fixed values).
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -29,31 +29,25 @@ LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 LETTERS = 28  # 0: border, 1..26: a..z, 27: any other letter
 FIT_ROWS = 10_000
 THRESHOLD = 0.3
-SLOT_BITS = 20
 PREFIXES = (4, 5, 6)
-SURE = 0.98
+SURE, LEAST = 0.98, 0.01
+EXPLAINED = 0.5
+COPY_KEYS = 4
 #: Costs in the channel (negative logarithms).
 AS_LETTER, AS_ITSELF, DROPPED, GAP, BORDER, SECOND, FURTHER = 1.0, 6.0, 6.0, 0.2, 1.0, 4.0, 0.1
 CACHE = 1 << 16
 
 
-@lru_cache(maxsize=1)
 def folded() -> np.ndarray:
-    """Letter class per code point: accents and case are dropped; 0 is no letter."""
-    script, _ = letter_tables()
-    out = np.where(script > 0, 27, 0).astype(np.uint8)
-    for point in range(0x2000):
-        if script[point]:
-            base = unicodedata.normalize("NFKD", chr(point))[0].lower()
-            if "a" <= base <= "z":
-                out[point] = ord(base) - 96
-    return out
+    return letter_tables()[2]
 
 
 def count_letters(docs: DataFrame) -> DataFrame:
     """(code, n): letter trigrams of all words of the corpus, word borders included."""
+    tables = docs.sparkSession.sparkContext.broadcast(letter_tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_tables(tables.value)
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
             buf, off = W.string_parts(batch.column(0))
@@ -204,7 +198,7 @@ def restore(buf: np.ndarray, off: np.ndarray, costs: list[float], cache: dict[by
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of all words and word beginnings; letters i and l count as one.
 
-    The two lowest bits of a slot tell whole words (0) from beginnings.
+    A slot is a 63-bit hash; its two lowest bits tell whole words (0) from beginnings.
     """
     points, at = code_points(buf, off)
     kinds = folded()[points].astype(np.uint64)
@@ -220,47 +214,82 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(end - start > length) if length else slice(None)
         h = span(start[some], start[some] + length if length else end)
         texts.append(text[some])
-        slots.append(((h >> np.uint64(66 - SLOT_BITS)) << np.uint64(2)).astype(np.int64) | which)
+        slots.append(((h >> np.uint64(3)) << np.uint64(2)).astype(np.int64) | which)
     return np.concatenate(texts), np.concatenate(slots)
 
 
+def distinct_pairs(text: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((slot, text))
+    text, slot = text[order], slot[order]
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (slot[1:] != slot[:-1])
+    return text[new], slot[new]
+
+
+def copy_keys(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """COPY_KEYS smallest hashes of runs of five words per text; copies of a text share some of them."""
+    start, end, first = W.spans(buf, off)
+    hashes = W.window_hashes(W.word_hashes(_LOWER[buf], start, end), 5)
+    hashes[~W.within(first, 5, len(start))] = np.iinfo(np.uint64).max
+    out = np.zeros((len(off) - 1, COPY_KEYS), np.uint64)
+    for text, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        for k in range(COPY_KEYS):
+            runs_of = hashes[a:max(a, b - 4)]
+            out[text, k] = W.mix(runs_of ^ np.uint64(k + 1)).min() if len(runs_of) else np.uint64(off[text] + k)
+    return out
+
+
 def _fit_batches(shared, batches: Iterator[pa.RecordBatch]):
-    """(labels, distinct (text << SLOT_BITS | slot)) per piece of labelled texts."""
+    """(labels, text and slot of each text's distinct slots, copy keys) per piece of labelled texts."""
     held = shared.value
+    use_tables(held["tables"])
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         buf, off = W.string_parts(batch.column(0))
         for low, high, part, at in W.pieces(buf, off):
             text, slot = features(*restore(part, at, held["costs"], held["cache"])[:2])
-            yield toxic[low:high], np.unique((text << SLOT_BITS) | slot)
+            yield toxic[low:high], *distinct_pairs(text, slot), copy_keys(part, at)
 
 
-def choose_markers(slots: np.ndarray, toxic: np.ndarray, clean: np.ndarray, base: float, docs: np.ndarray,
-                   held: np.ndarray) -> dict[int, float]:
-    """{slot: chance}: slots that explain toxic texts no stronger slot explains.
+def copy_groups(keys: np.ndarray) -> np.ndarray:
+    """A group number per text; texts that share a key are one group."""
+    n = len(keys)
+    label = np.arange(n)
+    for k in range(keys.shape[1]):
+        order = np.argsort(keys[:, k], kind="stable")
+        same = np.flatnonzero(keys[order[1:], k] == keys[order[:-1], k])
+        label = component_roots(label, order[same], order[same + 1]) if len(same) else label
+    return label
 
-    ``docs`` and ``held`` are pairs of a toxic text and the index of a slot it holds.
-    Copies of one text share all their words, so a word counts only for texts that are
-    left; the slot with the most evidence goes first, of equals the whole word.
+
+def choose_markers(slots: np.ndarray, toxic: np.ndarray, clean: np.ndarray, base: float, start: float,
+                   docs: np.ndarray, held: np.ndarray) -> dict[int, float]:
+    """{slot: chance}: slots that explain toxic texts.
+
+    ``docs`` and ``held`` are pairs of a group of copies of a toxic text and the index of
+    a slot it holds.  The slot with the most evidence goes first, of equals the whole
+    word; a text that a chosen slot explains counts half for those that follow.
     """
-    start, one, none = log(20 / max(40, len(slots))), log(SURE / base), log((1 - SURE) / (1 - base))
-    left = np.ones(int(docs.max()) + 1 if len(docs) else 0, dtype=bool)
+    one, none = log(SURE / base), log((1 - SURE) / (1 - base))
+    left = np.ones(int(docs.max()) + 1 if len(docs) else 0)
+    open_ = np.ones(len(slots), dtype=bool)
     chosen: dict[int, float] = {}
     kind = slots & 3
     preference = np.where(kind == 0, 3, kind - 1) * 1e-3
     while len(docs):
-        count = np.bincount(held[left[docs]], minlength=len(slots))
-        odds = start + count * one + clean * none
+        count = np.bincount(held, left[docs], minlength=len(slots))
+        odds = np.where(open_, start + count * one + clean * none, -np.inf)
         best = int(np.argmax(odds + preference + 1e-6 * toxic))
         if odds[best] <= 0:
             break
+        open_[best] = False
         chosen[int(slots[best])] = SURE / (1 + np.exp(-min(odds[best], 50.0)))
-        left[docs[held == best]] = False
+        left[docs[held == best]] = EXPLAINED
     return chosen
 
 
-def fit_markers(train: DataFrame, costs: list[float]) -> np.ndarray:
-    """Chance per slot that a text holding it is toxic, 0 where it is no marker.
+def fit_markers(train: DataFrame, costs: list[float]) -> dict[int, float]:
+    """{slot: chance that a text holding it is toxic}, for the slots that are markers.
 
     ``train`` has text and toxic (0 or 1) and a bounded number of rows.  Each slot is
     weighed as a marker against the base rate; few slots are markers, so each starts at
@@ -268,51 +297,63 @@ def fit_markers(train: DataFrame, costs: list[float]) -> np.ndarray:
     """
     train = train.select("text", F.col("toxic").cast("int"))
     context = train.sparkSession.sparkContext
-    shared = context.broadcast({"costs": costs, "cache": {}})
+    rows = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    base = (rows.get(1, 0) + 0.5) / (sum(rows.values()) + 1)
+    shared = context.broadcast({"costs": costs, "cache": {}, "tables": letter_tables()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << SLOT_BITS), np.int32)
-        rows = np.zeros(2, np.int64)
-        for toxic, pairs in _fit_batches(shared, batches):
-            rows += np.bincount(toxic, minlength=2)
-            label, slot = toxic[pairs >> SLOT_BITS], pairs & ((1 << SLOT_BITS) - 1)
-            for k in (0, 1):
-                total[k] += np.bincount(slot[label == k], minlength=1 << SLOT_BITS).astype(np.int32)
-        slot = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.append(slot, -1), pa.int32()), pa.array(np.append(total[0, slot], rows[0]), pa.int64()),
-            pa.array(np.append(total[1, slot], rows[1]), pa.int64())], ["slot", "clean", "toxic"])
-
-    counted = train.mapInArrow(count, "slot int, clean bigint, toxic bigint").groupBy("slot").agg(
+        for toxic, text, slot, _ in _fit_batches(shared, batches):
+            found, at = np.unique(slot, return_inverse=True)
+            total = np.bincount(at, toxic[text], len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(found), pa.array(np.bincount(at, minlength=len(found)) - total), pa.array(total)],
+                ["slot", "clean", "toxic"])
+
+    counted = train.mapInArrow(count, "slot bigint, clean bigint, toxic bigint").groupBy("slot").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = counted.filter("slot = -1 or toxic > 1").collect()  # at most one row per slot
-    base = next(((r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in rows if r["slot"] < 0), 0.5)
-    rows = [r for r in rows if r["slot"] >= 0]
-    chance = np.zeros(1 << SLOT_BITS)
-    least = log(20 / max(40, len(rows)))
-    rows = [r for r in rows if least + r["toxic"] * log(SURE / base) + r["clean"] * log((1 - SURE) / (1 - base)) > 0]
-    if not rows:
-        return chance
-    slots = np.array(sorted(r["slot"] for r in rows))
-    by_slot = {r["slot"]: r for r in rows}
+    several = staged(counted.filter("toxic > 1"), "slots")
+    least = log(20 / max(40, several.count()))
+    odds = F.lit(least) + F.col("toxic") * log(SURE / base) + F.col("clean") * log((1 - SURE) / (1 - base))
+    found = sorted((r["slot"], r["toxic"], r["clean"]) for r in several.filter(odds > 0).collect())
+    if not found:
+        return {}
+    slots, toxic, clean = np.array(found, np.int64).T
     likely = context.broadcast(slots)
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, pairs in _fit_batches(shared, batches):
-            slot = pairs & ((1 << SLOT_BITS) - 1)
+        for label, text, slot, keys in _fit_batches(shared, batches):
             at = np.minimum(np.searchsorted(likely.value, slot), len(likely.value) - 1)
-            mine = (likely.value[at] == slot) & (toxic[pairs >> SLOT_BITS] == 1)
-            text, at = pairs[mine] >> SLOT_BITS, at[mine]
-            lists = [at[text == t].astype(np.int32).tobytes() for t in np.unique(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary())], ["held"])
-
-    lists = [np.frombuffer(r[0], np.int32) for r in train.mapInArrow(holders, "held binary").collect()]
-    docs = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            mine = (likely.value[at] == slot) & (label[text] == 1)
+            text, at = text[mine], at[mine]
+            some = np.unique(text)
+            lists = [at[text == t].astype(np.int32).tobytes() for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), pa.array(
+                [keys[t].tobytes() for t in some], pa.binary())], ["held", "keys"])
+
+    rows = train.mapInArrow(holders, "held binary, keys binary").collect()  # one per toxic text of the bounded sample
+    lists = [np.frombuffer(r["held"], np.int32) for r in rows]
+    keys = np.array([np.frombuffer(r["keys"], np.uint64) for r in rows], np.uint64).reshape(-1, COPY_KEYS)
+    docs = np.repeat(copy_groups(keys), [len(x) for x in lists])
     held = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-    toxic, clean = (np.array([by_slot[k][c] for k in slots.tolist()]) for c in ("toxic", "clean"))
-    for slot, value in choose_markers(slots, toxic, clean, base, docs, held).items():
-        chance[slot] = value
-    return chance
+    docs, held = np.unique(np.stack([docs, held]), axis=1) if len(docs) else (docs, held)
+    return choose_markers(slots, toxic, clean, base, least, docs, held)
+
+
+class Markers:
+    """Look-up of slots: a small bitmap first, then the sorted slots."""
+
+    def __init__(self, chances: dict[int, float]):
+        self.slots = np.array(sorted(chances), np.int64)
+        self.miss = np.log1p(-np.array([chances[k] for k in sorted(chances)]))
+        self.maybe = np.zeros(1 << 16, dtype=bool)
+        self.maybe[(self.slots >> 4) & 0xFFFF] = True
+
+    def scores(self, text: np.ndarray, slot: np.ndarray, texts: int) -> np.ndarray:
+        some = np.flatnonzero(self.maybe[(slot >> 4) & 0xFFFF])
+        at = np.searchsorted(self.slots, slot[some])
+        hit = np.append(self.slots, -1)[at] == slot[some]
+        text, at = distinct_pairs(text[some[hit]], at[hit])
+        return np.clip(1 - np.exp(np.bincount(text, self.miss[at], texts)) * (1 - LEAST), 0.0, 1.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -336,23 +377,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = max(1, known.count() // fit_rows)
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
-    chance = fit_markers(docs.join(F.broadcast(some), "doc_id"), costs)  # about fit_rows rows of 12 bytes
+    chances = fit_markers(docs.join(F.broadcast(some), "doc_id"), costs)  # about fit_rows rows of 12 bytes
     shared = docs.sparkSession.sparkContext.broadcast(
-        {"costs": costs, "cache": {}, "miss": np.log1p(-chance).astype(np.float32)})
+        {"costs": costs, "cache": {}, "chances": chances, "tables": letter_tables()})
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs_type = pa.list_(pa.struct([("observed", pa.string()), ("restored", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
+        use_tables(held["tables"])
+        markers = Markers(held["chances"])
         for batch in batches:
             buf, off = W.string_parts(batch.column(1))
             for low, high, part, at in W.pieces(buf, off):
                 new, cut, found = restore(part, at, held["costs"], held["cache"])
-                text, slot = features(new, cut)
-                marked = held["miss"][slot] < 0
-                pairs = np.unique((text[marked] << SLOT_BITS) | slot[marked])
-                miss = np.bincount(pairs >> SLOT_BITS, held["miss"][pairs & ((1 << SLOT_BITS) - 1)], high - low)
-                score = np.clip(1 - np.exp(miss) * 0.99, 0.0, 1.0)
+                score = markers.scores(*features(new, cut), high - low)
                 spans: list[list[dict]] = [[] for _ in range(high - low)]
                 for text, observed, restored in found:
                     spans[text].append({"observed": observed, "restored": restored})

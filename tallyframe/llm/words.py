@@ -71,7 +71,14 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, off)
 
 
-_POWERS: dict[int, np.ndarray] = {}
+class Local(dict):
+    """A cache that stays in its process: a copy sent along with a task arrives empty."""
+
+    def __reduce__(self):
+        return Local, ()
+
+
+_POWERS = Local()
 
 
 def _powers(n: int, base: int) -> np.ndarray:
