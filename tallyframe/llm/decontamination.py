@@ -208,6 +208,31 @@ class Matcher:
         return [(row, k, edits) for (row, k), edits in sorted(found.items())]
 
 
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, share: float, recall: float,
+            block_bytes: int) -> Iterator:
+    """The benchmark as broadcast blocks of about ``block_bytes`` of text."""
+    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")).filter(
+        F.col("text").isNotNull())
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    for block in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        hashes, first = plain_words(*W.string_parts(pa.array([r["text"] for r in rows], pa.string())))
+        words = [hashes[a:b].tolist() for a, b in zip(first.tolist(), first[1:].tolist())]
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            {"ids": [r["item_id"] for r in rows], "words": words, "share": share, "recall": recall})
+
+
+def _matches(shared, texts) -> tuple[Matcher, list[tuple[int, int, int]]]:
+    """The matcher of a block, compiled once per worker, and its (row, item, edits) in a column of texts."""
+    held = shared.value
+    if "matcher" not in held:
+        held["matcher"] = Matcher(held["words"], held["share"], held["recall"])
+    found = []
+    for low, _, part, at in W.pieces(*W.string_parts(texts)):
+        found += [(low + row, k, edits) for row, k, edits in held["matcher"].match(*plain_words(part, at))]
+    return held["matcher"], found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE,
                  recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -218,37 +243,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks of about ``block_bytes``, each broadcast and held against all texts.  Null
     and empty texts hold nothing; items of fewer than five words are too short to
     tell and are found nowhere; repeated items are found each; repeated rows and
-    null ids give rows of their own; other columns are not looked at.
+    null ids give rows of their own; very long texts are read whole; other columns are
+    not looked at.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")).filter(
-        F.col("text").isNotNull())
-    schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-              f"item_id {items.schema['item_id'].dataType.simpleString()}, n_edits bigint, n_words bigint, similarity double")
-    items_type = to_arrow_type(items.schema["item_id"].dataType)
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    item_kind = benchmark.schema[item_id_col].dataType
+    items_type = to_arrow_type(item_kind)
+    schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_kind.simpleString()}, "
+              "n_edits bigint, n_words bigint, similarity double")
     out = None
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        hashes, first = plain_words(*W.string_parts(pa.array([r["text"] for r in rows], pa.string())))
-        words = [hashes[a:b].tolist() for a, b in zip(first.tolist(), first[1:].tolist())]
-        shared = docs.sparkSession.sparkContext.broadcast(
-            {"ids": [r["item_id"] for r in rows], "words": words, "share": edit_share, "recall": recall})
+    for shared in _blocks(benchmark, item_id_col, item_text_col, edit_share, recall, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value
-            if "matcher" not in held:
-                held["matcher"] = Matcher(held["words"], held["share"], held["recall"])
-            matcher, ids = held["matcher"], held["ids"]
             for batch in batches:
-                buf, off = W.string_parts(batch.column(1))
-                found = []
-                for low, _, part, at in W.pieces(buf, off):
-                    found += [(low + row, k, edits) for row, k, edits in matcher.match(*plain_words(part, at))]
+                matcher, found = _matches(shared, batch.column(1))
                 size = [len(matcher.items[k]) for _, k, _ in found]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array([f[0] for f in found], pa.int64())),
-                    pa.array([ids[f[1]] for f in found], items_type),
+                    pa.array([shared.value["ids"][f[1]] for f in found], items_type),
                     pa.array([f[2] for f in found], pa.int64()), pa.array(size, pa.int64()),
                     pa.array([1 - f[2] / n for f, n in zip(found, size)], pa.float64())],
                     ["doc_id", "item_id", "n_edits", "n_words", "similarity"])
@@ -256,3 +268,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = docs.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                         item_text_col: str = "text", edit_share: float = EDIT_SHARE, recall: float = RECALL,
+                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; see :func:`contaminated`.  Nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    for shared in _blocks(benchmark, item_id_col, item_text_col, edit_share, recall, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[row for row, _, _ in _matches(shared, batch.column(at))[1]]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

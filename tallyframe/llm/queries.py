@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, embeddings, extraction, language, mixing, simhash, substrings, token_counts, toxicity
+from tallyframe.llm import decontamination, embeddings, extraction, language, mixing, quality, simhash, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _read(spark, sf_dir, "labels").filter("quality = 1")
+    return quality.classify_quality(_read(spark, sf_dir, "documents"), trusted)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = language.fold(F.col("doc_id"), 3) == 1
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,

@@ -47,17 +47,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per row; fp holds the 64 bits as a signed long.  Null text counts as empty."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, text_hash, fp) per row; fp holds the 64 bits as a signed long.  Null text counts as empty."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.col(text_col)).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = W.string_parts(batch.column(1))
             raw, at = buf.tobytes(), off.tolist()
             fp = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:])], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def component_roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,20 +216,39 @@ def near_links(fps: DataFrame, max_distance: int = MAX_DISTANCE, node_rows: int
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        max_distance: int = MAX_DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id.
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, text_hash and root.
 
     Fingerprints at ``max_distance`` bits or fewer are linked; component_id is the
     smallest doc_id reachable.  Texts without words (null, empty, only spaces) have
     fingerprint zero and are linked like any other.  Rows with one id or equal texts
     share a component; a null id has a component like any other, whose id is the
     smallest that is not null (null if there is none).  Copies are one fingerprint
-    before any pair is looked at.  Other columns are not looked at.
+    before any pair is looked at.  ``root``, a fingerprint, names the component when ids
+    cannot.  Very long texts are read whole; other columns are not looked at.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     low = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), "distinct")
     roots = connected_components(near_links(low.select("fp"), max_distance, node_rows))
     known = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = known.groupBy("root").agg(F.min("lo").alias("component_id"))
-    member = known.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    member = known.select("fp", "root").join(ids, "root").select("fp", "component_id", "root")
     return prints.join(member, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                      max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each component the smallest id stays.
+
+    A null id stays only where its component has no other; of rows with one id the
+    smallest text hash stays, of rows alike in id and text any one.
+    """
+    found = staged(simhash_components(docs, id_col, text_col, shingle, max_distance), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    winners = found.groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+    kept = docs.join(winners, same, "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_hash", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "_hash"]).drop("_hash")

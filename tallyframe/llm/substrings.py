@@ -23,6 +23,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +126,11 @@ def _covered(buf, off, start, end, first, hits: np.ndarray, window: int) -> np.n
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: id, word count, removed words and the kept words joined by one space.
+                     block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed and kept_text, the kept words joined by one space.
+
+    With ``carry`` there is a column ``row``, too, a struct of the other columns of the
+    input, and a text that loses nothing stays as it is.
 
     A word goes when a window of ``window`` consecutive words that covers it also
     starts anywhere else, in the same text too; windows are judged on the input,
@@ -135,7 +139,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     or a null id) are texts of their own and so lose their windows; other columns
     are not looked at; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others)
     row = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.sum(F.regexp_count("text", F.lit("[ \t-\r]"))).alias("w")).first()
     blocks = max(1, -(-(row["n"] or 0) // block_bytes))
     shards = max(1, -(-(row["w"] or 0) // (8 * SHARD_HASHES)))
@@ -167,11 +172,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         cover = _covered(buf, off, start, end, first, hits, window)
         total = np.zeros(len(start) + 1, np.int64)
         np.cumsum(cover, out=total[1:])
-        text = W.text_array(*W.kept_text(buf, off, start, end, first, ~cover))
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()),
-                         "n_removed": pa.array(np.diff(total[first]), pa.int64()), "kept_text": text.cast(pa.string())})
+        text = W.text_array(*W.kept_text(buf, off, start, end, first, ~cover)).cast(pa.string())
+        n_removed = np.diff(total[first])
+        out = {"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()),
+               "n_removed": pa.array(n_removed, pa.int64()), "kept_text": text}
+        if carry:
+            same = table.column("text").combine_chunks().cast(pa.string())
+            out |= {"kept_text": pc.if_else(pa.array(n_removed == 0), same, text), "row": table.column("row")}
+        return pa.table(out)
 
     repeated = _recurring(by_block.applyInArrow(anchors, _SENT))
     confirmed = _recurring(by_block.cogroup(repeated.groupBy("blk")).applyInArrow(windows, _SENT))
-    return by_block.cogroup(confirmed.groupBy("blk")).applyInArrow(
-        removed, _OUT.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    schema = _OUT.format(id=docs.schema["doc_id"].dataType.simpleString())
+    if carry:
+        schema += f", row {docs.schema['row'].dataType.simpleString()}"
+    return by_block.cogroup(confirmed.groupBy("blk")).applyInArrow(removed, schema)

@@ -357,9 +357,12 @@ class Markers:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+                   label_col: str = "toxic", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD,
+                   carry: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, score (0 to 1), predicted and the restored spans (observed, restored).
 
+    With ``carry`` there is a column ``row``, too, a struct of all columns of the input.
+
     The character model counts all of ``docs``; labels and ids are no part of a score.
     ``labels`` (id and 0/1 label) are the rows to learn from: about ``fit_rows`` of the
     labelled ids, taken by hash, a documented bound.  Labels other than 0 and 1 and null
@@ -368,6 +371,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     do.  Very long texts are read whole; repeated rows are rows of their own; other
     columns are not looked at.
     """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = np.zeros(LETTERS**3, np.int64)
     for r in count_letters(docs).collect():
@@ -388,7 +392,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         use_tables(held["tables"])
         markers = Markers(held["chances"])
         for batch in batches:
-            buf, off = W.string_parts(batch.column(1))
+            ids, texts = (batch.column(0).field(c) for c in (id_col, text_col)) if carry else batch.columns
+            buf, off = W.string_parts(texts)
             for low, high, part, at in W.pieces(buf, off):
                 new, cut, found = restore(part, at, held["costs"], held["cache"])
                 score = markers.scores(*features(new, cut), high - low)
@@ -396,9 +401,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 for text, observed, restored in found:
                     spans[text].append({"observed": observed, "restored": restored})
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(low, high - low), pa.array(score),
-                    pa.array((score >= threshold).astype(np.int32)), pa.array(spans, pairs_type)],
-                    ["doc_id", "score", "predicted", "restored"])
-
-    return docs.mapInArrow(
-        run, f"doc_id {kind}, score double, predicted int, restored array<struct<observed:string,restored:string>>")
+                    ids.slice(low, high - low), pa.array(score), pa.array((score >= threshold).astype(np.int32)),
+                    pa.array(spans, pairs_type), *([batch.column(0).slice(low, high - low)] if carry else [])],
+                    ["doc_id", "score", "predicted", "restored", *(["row"] if carry else [])])
+
+    schema = f"doc_id {kind}, score double, predicted int, restored array<struct<observed:string,restored:string>>"
+    if carry:
+        return whole.mapInArrow(run, f"{schema}, row {whole.schema['row'].dataType.simpleString()}")
+    return docs.mapInArrow(run, schema)
