@@ -178,7 +178,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                "n_removed": pa.array(n_removed, pa.int64()), "kept_text": text}
         if carry:
             same = table.column("text").combine_chunks().cast(pa.string())
-            out |= {"kept_text": pc.if_else(pa.array(n_removed == 0), same, text), "row": table.column("row")}
+            out |= {"kept_text": pc.if_else(pa.array(n_removed == 0), same, text), "row": W.nullable(table.column("row"))}
         return pa.table(out)
 
     repeated = _recurring(by_block.applyInArrow(anchors, _SENT))

@@ -402,7 +402,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                     spans[text].append({"observed": observed, "restored": restored})
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(low, high - low), pa.array(score), pa.array((score >= threshold).astype(np.int32)),
-                    pa.array(spans, pairs_type), *([batch.column(0).slice(low, high - low)] if carry else [])],
+                    pa.array(spans, pairs_type), *([W.nullable(batch.column(0).slice(low, high - low))] if carry else [])],
                     ["doc_id", "score", "predicted", "restored", *(["row"] if carry else [])])
 
     schema = f"doc_id {kind}, score double, predicted int, restored array<struct<observed:string,restored:string>>"

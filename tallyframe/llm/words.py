@@ -37,6 +37,19 @@ def string_parts(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
+def nullable(column):
+    """The column with a type whose nested fields may all be null, as Spark expects of what comes back."""
+
+    def wide(kind: pa.DataType) -> pa.DataType:
+        if pa.types.is_struct(kind):
+            return pa.struct([pa.field(f.name, wide(f.type)) for f in kind])
+        if pa.types.is_list(kind):
+            return pa.list_(pa.field(kind.value_field.name, wide(kind.value_type)))
+        return kind
+
+    return column.cast(wide(column.type))
+
+
 def pieces(buf: np.ndarray, off: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch between texts into (first row, last row, bytes, offsets) of about ``size`` bytes.
 
