@@ -51,7 +51,7 @@ AWAY = frozenset(
 TOWARDS = frozenset("article content post entry story main body text articlebody maincontent prose".split())
 NAME_AWAY, NAME_TOWARDS, HIDDEN = -14.0, 2.5, -20.0
 BIAS, LINKED, PER_WORD, MOST_WORDS, SENTENCE, MARK, HEADING = -0.6, -5.0, 0.12, 25, 0.8, -4.0, 0.8
-NEXT, NEAR, SIBLING = 0.3, 1.2, 0.5
+NEXT, NEAR, SIBLING = 0.2, 0.8, 0.5
 _MARK = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.IGNORECASE)
 
 

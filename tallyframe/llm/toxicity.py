@@ -82,6 +82,8 @@ def decode(observed: str, costs: list[float]) -> str:
     states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # (letter before last, last) -> cost, text as linked list
     last, run = "", 0
     chars = observed.lower()
+    if not any(kinds[ord(c)] for c in chars):
+        return chars
     # Behind the last letter a look-alike is most likely a mark or a number.
     letters_follow = [any(kinds[ord(c)] for c in chars[k + 1:k + 4]) for k in range(len(chars))]
     for k, char in enumerate(chars):
