@@ -22,7 +22,7 @@ from tallyframe.operators.skew import sized_join
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 FAN_IN = 64
 
 
