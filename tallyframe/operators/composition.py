@@ -413,11 +413,16 @@ def _average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
-    """Equal-width bins over min..max; the maximum falls into the last bin."""
+    """Equal-width bins over min..max, empty ones too; the maximum falls into the last bin.
+
+    Equal values all fall into bin 0; a column without values has no bins.
+    """
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
     ends = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     placed = values.select("x", ends.alias("e"))
     width = (F.col("e.hi") - F.col("e.lo")) / bins
     index = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("e.lo")) / width), F.lit(bins - 1))).otherwise(0)
-    return placed.groupBy(index.cast("int").alias("bin"), "e").agg(F.count("*").alias("n")).select(
-        "bin", (F.col("e.lo") + F.col("bin") * width).alias("left"), "n")
+    counts = placed.groupBy(index.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), ends.alias("e")).filter("e.lo is not null")
+    return every.join(counts, "bin", "left").select(
+        "bin", (F.col("e.lo") + F.col("bin") * width).alias("left"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))

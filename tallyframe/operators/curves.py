@@ -13,35 +13,30 @@ from pyspark.sql import types as T
 from tallyframe.operators.composition import COUNT, GROUP, ranked_spectrum
 from tallyframe.session import spread
 
-START = (0.2, -0.2)
-
-
-def power_sums(q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over j = 0..m-1 of q^j, j q^j and j^2 q^j, for arrays of (q, m).
+def power_sums(q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over j = 0..m-1 of q^j and j q^j, for arrays of (q, m).
 
     Built from the binary digits of m by joining two runs, so a block of equal
     counts costs log2(m) steps; every summand is positive, nothing cancels.
     """
     q = np.asarray(q, dtype=float)
     left = np.asarray(m, dtype=np.int64).copy()
-    s0 = s1 = s2 = np.zeros_like(q)
+    s0 = s1 = np.zeros_like(q)
     done, done_power = np.zeros_like(q), np.ones_like(q)
-    r0, r1, r2 = np.ones_like(q), np.zeros_like(q), np.zeros_like(q)
+    r0, r1 = np.ones_like(q), np.zeros_like(q)
     length, power = 1.0, q.copy()
     while left.any():
         take = (left & 1).astype(bool)
-        # Append the run (r0, r1, r2) of this length behind what is done.
-        s2 = np.where(take, s2 + done_power * (r2 + 2 * done * r1 + done * done * r0), s2)
+        # Append the run (r0, r1) of this length behind what is done.
         s1 = np.where(take, s1 + done_power * (r1 + done * r0), s1)
         s0 = np.where(take, s0 + done_power * r0, s0)
         done = np.where(take, done + length, done)
         done_power = np.where(take, done_power * power, done_power)
-        r2 = r2 + power * (r2 + 2 * length * r1 + length * length * r0)
         r1 = r1 + power * (r1 + length * r0)
         r0 = r0 + power * r0
         length, power = length * 2, power * power
         left >>= 1
-    return s0, s1, s2
+    return s0, s1
 
 
 class _Blocks:
@@ -55,55 +50,52 @@ class _Blocks:
         return np.add.reduceat(values, self.starts)
 
     def moments(self, b: np.ndarray) -> dict[str, np.ndarray]:
-        """Sums of e, re, r2e over exp(2br) and of f-weighted ones over exp(br)."""
+        """Sums of e and re over exp(2br), and of f-weighted ones over exp(br); r counts from 0."""
         rate = np.repeat(b, self.lengths)
         out = {}
         for tag, factor, weight in (("", 2.0, 1.0), ("f", 1.0, self.f)):
-            s0, s1, s2 = power_sums(np.exp(factor * rate), self.size)
+            s0, s1 = power_sums(np.exp(factor * rate), self.size)
             lead = np.exp(factor * rate * self.first) * weight
             out[f"{tag}0"] = self.total(lead * s0)
             out[f"{tag}1"] = self.total(lead * (s1 + self.first * s0))
-            out[f"{tag}2"] = self.total(lead * (s2 + 2 * self.first * s1 + self.first**2 * s0))
         return out
 
 
-def fit_exponentials(blocks: _Blocks, steps: int = 200, tol: float = 1e-8):
-    """Damped Gauss-Newton for f = a exp(b rank), all groups at once.
+def fit_exponentials(blocks: _Blocks, grid: int = 48, halvings: int = 70):
+    """Least squares of f = a exp(b rank), all groups at once: (a, b, residual sum of squares, converged).
 
-    Returns (a, b, residual sum of squares, converged).
+    For a given b the best a is known, and what is left to explain grows with b as
+    long as the mean rank under weights f exp(br) is above the one under exp(2br).
+    Frequencies fall with rank, so b lies between 0 and a bound from the first two of
+    them.  A grid finds the best stretch, halving finds b in it; the number of steps
+    is fixed and every group with two positive frequencies has a result.
     """
-    groups = len(blocks.starts)
-    a, b = np.full(groups, START[0]), np.full(groups, START[1])
-    squares = blocks.total(blocks.size * blocks.f**2)
-    damping, converged = np.full(groups, 1e-3), np.zeros(groups, dtype=bool)
-
-    def loss(a, m):
-        return squares - 2 * a * m["f0"] + a * a * m["0"]
-
+    second = np.where(blocks.size[blocks.starts] > 1, blocks.f[blocks.starts],
+                      blocks.f[np.minimum(blocks.starts + 1, len(blocks.f) - 1)])
+    found = second > 0
+    low = np.log(np.where(found, second / blocks.f[blocks.starts], 1.0)) - 1
+
+    def explained(m):
+        return m["f0"] ** 2 / m["0"]
+
+    def above(m):
+        return m["f1"] * m["0"] > m["f0"] * m["1"]
+
+    points = np.append(np.geomspace(1.0, 1e-9, grid - 1), 0.0)
+    gain = np.array([explained(blocks.moments(low * t)) for t in points])
+    best = gain.argmax(axis=0)
+    left, right = low * points[np.maximum(best - 1, 0)], low * points[np.minimum(best + 1, grid - 1)]
+    for _ in range(halvings):
+        b = (left + right) / 2
+        go_right = above(blocks.moments(b))
+        left, right = np.where(go_right, b, left), np.where(go_right, right, b)
+    b = (left + right) / 2
+    b = np.where(explained(blocks.moments(b)) >= gain.max(axis=0) * (1 - 1e-15), b, low * points[best])
+    b = np.where(np.minimum.reduceat(blocks.f, blocks.starts) == blocks.f[blocks.starts], 0.0, b)
     m = blocks.moments(b)
-    rss = loss(a, m)
-    for _ in range(steps):
-        # Normal equations of the residual f - a exp(br) in (a, b).
-        haa, hab, hbb = m["0"], a * m["1"], a * a * m["2"]
-        ga, gb = m["f0"] - a * m["0"], a * (m["f1"] - a * m["1"])
-        daa, dbb = haa * (1 + damping), hbb * (1 + damping)
-        det = daa * dbb - hab * hab
-        with np.errstate(all="ignore"):
-            step_a, step_b = (dbb * ga - hab * gb) / det, (daa * gb - hab * ga) / det
-            step_a, step_b = (np.where(np.isfinite(s) & ~converged, s, 0.0) for s in (step_a, step_b))
-            trial = blocks.moments(b + step_b)
-            new = loss(a + step_a, trial)
-            # Rounding of the sums can hide the last tiny improvements.
-            better = np.isfinite(new) & (new <= rss + 1e-15 * squares) & ~converged
-            small = (np.abs(step_a) <= tol * (np.abs(a) + tol)) & (np.abs(step_b) <= tol * (np.abs(b) + tol))
-        a, b = np.where(better, a + step_a, a), np.where(better, b + step_b, b)
-        rss = np.where(better, new, rss)
-        m = {k: np.where(better, trial[k], v) for k, v in m.items()}
-        damping = np.where(better, np.maximum(damping / 10, 1e-12), np.minimum(damping * 10, 1e12))
-        converged |= better & small
-        if converged.all():
-            break
-    return a, b, np.maximum(rss, 0.0), converged
+    a = m["f0"] / m["0"] * np.exp(-b)
+    rss = blocks.total(blocks.size * blocks.f**2) - explained(m)
+    return a, b, np.maximum(rss, 0.0), found
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], group: str) -> Iterator[pd.DataFrame]:
@@ -126,7 +118,8 @@ def exp_fit(items: DataFrame, group: str = GROUP, count: str = COUNT) -> DataFra
     """Net specialisation, intercept and r2 per group of more than two items.
 
     The fit reads the spectrum (at most sqrt(2N) rows per group).  A group with
-    two items or fewer, or whose fit does not converge, has NULLs.
+    two items or fewer has NULLs, as has one with a single positive count, whose
+    best curve is infinitely steep; ``converged`` is true for all others.
     """
     fitted = exp_fit_from(ranked_spectrum(items, group, count), group, count)
     return items.select(group).distinct().join(fitted, group, "left")
@@ -147,7 +140,7 @@ def exp_fit_from(blocks: DataFrame, group: str = GROUP, count: str = COUNT) -> D
             size = frame["n_items"].to_numpy(np.int64)
             f = (frame[count] / frame["total"]).to_numpy(float)
             a, b, rss, ok = fit_exponentials(
-                _Blocks(frame["items_before"].to_numpy(float) + 1, size, f, starts))
+                _Blocks(frame["items_before"].to_numpy(float), size, f, starts))
             mean = np.add.reduceat(size * f, starts) / np.add.reduceat(size, starts)
             around = f - np.repeat(mean, np.diff(np.append(starts, len(f))))
             tss = np.add.reduceat(size * around**2, starts)

@@ -96,17 +96,17 @@ def natural_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     shared = [c for c in a.columns if c in b.columns]
     if not shared:
         raise ValueError("the tables share no column")
-    return a.join(b, shared, "inner")
+    return sized_join(a, b, shared)
 
 
 def names_not_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct names of ``a`` without a row in ``b``."""
-    return a.select(column).distinct().join(b.select(column), column, "left_anti")
+    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_anti")
 
 
 def names_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct names of ``a`` with a row in ``b``."""
-    return a.select(column).distinct().join(b.select(column), column, "left_semi")
+    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi")
 
 
 def cross_candidates(df: DataFrame, values: Sequence[float], out: str = "cand_h") -> DataFrame:

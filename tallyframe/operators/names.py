@@ -41,7 +41,7 @@ def drop_missing(df: DataFrame, column: str) -> DataFrame:
 
 def exclude_values(df: DataFrame, column: str, values: Iterable) -> DataFrame:
     """Drop rows with one of the values; rows with NULL stay."""
-    return df.filter(~F.coalesce(F.col(column).isin(list(values)), F.lit(False)))
+    return df.filter(F.col(column).isNull() | ~F.col(column).isin(list(values)))
 
 
 def keep_id_levels(df: DataFrame, levels: Sequence[str] = ("Species", "Genus"),

@@ -260,7 +260,7 @@ def with_tables(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in order)
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in order)
 
 
 def oracle(name: str, uses: str, select: str) -> None:
@@ -272,8 +272,7 @@ def oracle(name: str, uses: str, select: str) -> None:
 
 oracle("read_table", "", f"""SELECT p_partkey, p_name, p_brand, p_type, {n('p_size', 'p_size')},
   {r('p_retailprice')} FROM part""")
-oracle("read_richness_layers", "layers", """SELECT layer, POLYFID, species FROM layers
-  WHERE layer IN ('ALL', 'BUILDING', 'SUPPLIERS')""")
+oracle("read_richness_layers", "layers", "SELECT layer, POLYFID, species FROM layers")
 oracle("read_sheet_export", "meta", "SELECT DataSet, PreyPerPellet FROM meta")
 oracle("parse_na", "items", """SELECT DataSet, PreyScientificName,
     CASE WHEN CountInt % 10 = 0 THEN 'NA' ELSE CAST(CountInt AS VARCHAR) END AS "Count",
@@ -347,8 +346,8 @@ oracle("attach_meta", "meta items", f"""SELECT m.*, {r('entropy')}, richness, {r
 oracle("natural_merge", "items obs", f"""SELECT PreyOrder, DataSet, CountInt, {r('top_mass')}
   FROM items JOIN (SELECT "Order", max(BodyMass) AS top_mass FROM obs GROUP BY "Order") ON PreyOrder = "Order" """)
 for _name, _word in (("names_not_in", "NOT IN"), ("names_in", "IN")):
-    oracle(_name, "items parts", f"""SELECT DISTINCT sciname AS name FROM parts
-      WHERE sciname {_word} (SELECT PreyScientificName FROM items WHERE CountInt >= 480)""")
+    oracle(_name, "items parts", f"""SELECT DISTINCT PreyScientificName AS name FROM items
+      WHERE PreyScientificName {_word} (SELECT sciname FROM parts)""")
 oracle("genus_matches", "matches_all", f"""SELECT DataSet, label, name, {n('name_count', 'name_count')},
   {n('genus_count', 'genus_count')} FROM matches_all""")
 oracle("cross_candidates", "items", """SELECT DataSet, PreyScientificName,
@@ -434,9 +433,9 @@ oracle("extreme_masses", "ranked", f"""SELECT DataSet, {r('max(CASE WHEN MassRan
 oracle("mass_of_most_common", "sums", f"SELECT DataSet, {r('mass_of_most_common')} FROM sums")
 oracle("top_item_flags", "sums", "SELECT DataSet, IsTopPreyBiggest, IsTopPreyMostDense FROM sums")
 oracle("presence_matrix", "items", "SELECT DataSet, " + ", ".join(
-    n(f"bool_or(PreyOrder = 'O{i}')", f"O{i}") for i in (1, 2, 3, 4)) + " FROM items WHERE CountInt > 300 GROUP BY DataSet")
+    n(f"bool_or(PreyOrder = 'O{i}')", f"O{i}") for i in (1, 2, 3, 4)) + " FROM items GROUP BY DataSet")
 oracle("diets_per_category", "items", """SELECT PreyScientificName, count(DISTINCT DataSet) AS Diets
-  FROM items WHERE CountInt > 300 GROUP BY PreyScientificName""")
+  FROM items GROUP BY PreyScientificName""")
 oracle("count_positive_share", "slopes", f"""SELECT {r('avg(CASE WHEN dens_slopes > 0 THEN 1.0 ELSE 0 END)', 'share_positive')}
   FROM slopes WHERE dens_slopes IS NOT NULL""")
 oracle("handling_time_lower_bound", "meta", f"SELECT {r('1 / avg(PreyPerPellet) / 3', 'h_lower_bound')} FROM meta")
@@ -471,7 +470,7 @@ oracle("group_share", "prey", f"SELECT DataSet, PreyScientificName, {r('Frequenc
 oracle("frequency_gap", "prey", f"""SELECT DataSet, PreyScientificName, {r('PreyMass')},
   {r('Frequencies - Rel_density', 'gap')} FROM {_shares}""")
 oracle("sorted_families", "enriched", """SELECT PreyFamily, count(DISTINCT DataSet) AS Diets FROM enriched
-  WHERE CountInt > 300 AND PreyFamily IS NOT NULL GROUP BY PreyFamily ORDER BY Diets DESC, PreyFamily""")
+  WHERE PreyFamily IS NOT NULL GROUP BY PreyFamily ORDER BY Diets DESC, PreyFamily""")
 oracle("first_crossing", "curve", f"""SELECT DataSet, arg_min(PreyScientificName, rank) AS crossing_item,
   {r('min(upto / CAST(total AS DOUBLE))', 'crossing_share')} FROM curve
   WHERE upto / CAST(total AS DOUBLE) > 0.3 GROUP BY DataSet""")
@@ -488,8 +487,8 @@ oracle("redistribute_genus", "shared",
 
 # --- rarefaction ----------------------------------------------------------------------------
 
-oracle("rarefy_draws", "curve", f"SELECT * FROM ({draws(100, 10)})")
-oracle("frequency_table", "curve", f"SELECT DataSet, rep, rank, count(*) AS n FROM ({draws(100, 20)}) GROUP BY ALL")
+oracle("rarefy_draws", "curve", f"SELECT * FROM ({draws(100, 100)})")
+oracle("frequency_table", "curve", f"SELECT DataSet, rep, rank, count(*) AS n FROM ({draws(100, 200)}) GROUP BY ALL")
 oracle("rarefied_richness", "curve", f"SELECT DataSet, {r('rare_richness')} FROM ({rare_sql(100, 200)})")
 oracle("rarefied_entropy", "curve", f"SELECT DataSet, {r('rare_entropy')} FROM ({rare_sql(100, 200)})")
 oracle("rarefied_top_frequency", "curve", f"SELECT DataSet, {r('rare_top_frequency')} FROM ({rare_sql(100, 100)})")
@@ -499,7 +498,7 @@ _known = """(SELECT * FROM curve WHERE DataSet NOT IN (SELECT DataSet FROM items
   WHERE DataSet % 4 = 1 AND PreyScientificName = 'gear sp'))"""
 oracle("rarefaction_skips_unknown", "curve", f"""SELECT d.DataSet, {r('coalesce(rare_richness, 0)', 'rare_richness')},
   {r('coalesce(rare_entropy, 0)', 'rare_entropy')}, {r('coalesce(rare_top_frequency, 0)', 'rare_top_frequency')}
-  FROM (SELECT DISTINCT DataSet FROM items) d LEFT JOIN ({rare_sql(50, 20, _known)}) s ON s.DataSet = d.DataSet""")
+  FROM (SELECT DISTINCT DataSet FROM items) d LEFT JOIN ({rare_sql(100, 200, _known)}) s ON s.DataSet = d.DataSet""")
 oracle("rarefaction_effect", "curve", f"""SELECT e.DataSet, richness, {r('entropy')}, {r('rare_richness')}, {r('rare_entropy')}
   FROM {_entropy} e JOIN ({rare_sql(100, 200)}) s ON s.DataSet = e.DataSet""")
 
@@ -609,8 +608,9 @@ oracle("residuals", "model_table", f"""SELECT DataSet, {r('''dens_slopes - m_2 -
 
 
 def _residual(y: str, alias: str) -> str:
-    controls = Model(y, ("DietRichness_rare", "numb_prey"))
-    return f"""(SELECT DataSet, {y} - m_2 - s_0_2 * (DietRichness_rare - m_0) - s_1_2 * (numb_prey - m_1) AS {alias}
+    controls = Model(y, ("DietRichness_rare", "PreyPerPellet", "largest_prey_mass"))
+    return f"""(SELECT DataSet, {y} - m_3 - s_0_3 * (DietRichness_rare - m_0) - s_1_3 * (PreyPerPellet - m_1)
+        - s_2_3 * (largest_prey_mass - m_2) AS {alias}
       FROM model_table, {sweep_sql('model_table', y, _design(controls))})"""
 
 
@@ -618,9 +618,35 @@ _resid = f"""(SELECT dens_slopes_residual, ShannEnt_rare_residual FROM {_residua
   JOIN {_residual('ShannEnt_rare', 'ShannEnt_rare_residual')} USING (DataSet))"""
 oracle("partial_regression", "model_table",
        _fit_out + "(" + fit_sql(_resid, Model("dens_slopes_residual", ("ShannEnt_rare_residual",))) + ")")
-oracle("histogram", "", f"""SELECT bin, {r('lo + bin * (hi - lo) / 8', '"left"')}, count(*) AS n FROM (
-  SELECT lo, hi, CAST(least(floor((p_retailprice - lo) / ((hi - lo) / 8)), 7) AS BIGINT) AS bin
-  FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)) GROUP BY bin, lo, hi""")
+oracle("histogram", "", f"""SELECT bin, {r('lo + bin * (hi - lo) / 8', '"left"')}, count(p_retailprice) AS n
+  FROM (SELECT unnest(range(8)) AS bin), (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)
+  LEFT JOIN part ON bin = CAST(least(floor((p_retailprice - lo) / ((hi - lo) / 8)), 7) AS BIGINT) GROUP BY bin, lo, hi""")
+
+# The slope of the exponential fit: the mean rank under weights f exp(br) falls to the one under exp(2br); halving from
+# a bound that the first two counts give.
+CTES["steep"] = """
+  SELECT DataSet, lo, hi, 0 AS k FROM (
+    SELECT DataSet, ln(max(CASE WHEN rank = 2 THEN CountInt END) / CAST(max(CountInt) AS DOUBLE)) - 1 AS lo,
+           CAST(0 AS DOUBLE) AS hi FROM curve WHERE n > 2 GROUP BY DataSet)
+  UNION ALL
+  SELECT DataSet, CASE WHEN up THEN b ELSE lo END, CASE WHEN up THEN hi ELSE b END, k + 1 FROM (
+    SELECT s.DataSet, lo, hi, k, (lo + hi) / 2 AS b,
+           sum(rank * CountInt * exp((lo + hi) / 2 * rank)) * sum(exp((lo + hi) * rank))
+             > sum(CountInt * exp((lo + hi) / 2 * rank)) * sum(rank * exp((lo + hi) * rank)) AS up
+    FROM steep s JOIN curve c ON s.DataSet = c.DataSet WHERE k < 60 GROUP BY s.DataSet, lo, hi, k)"""
+CTES["fits"] = """
+  SELECT DataSet, b, a, 1 - sum(pow(f - a * exp(b * rank), 2)) / sum(pow(f - 1.0 / n, 2)) AS rsquare FROM (
+    SELECT c.DataSet, b, rank, n, CountInt / CAST(total AS DOUBLE) AS f,
+           sum(CountInt / CAST(total AS DOUBLE) * exp(b * rank)) OVER (PARTITION BY c.DataSet)
+             / sum(exp(2 * b * rank)) OVER (PARTITION BY c.DataSet) AS a
+    FROM curve c JOIN (SELECT DataSet, (lo + hi) / 2 AS b FROM steep WHERE k = 60) s ON s.DataSet = c.DataSet)
+  GROUP BY DataSet, a, b"""
+DEPENDS |= {"steep": ["curve"], "fits": ["curve", "steep"]}
+oracle("exp_fit", "items fits", f"""SELECT DataSet, {r('b', 'specialization')}, {r('a', 'y_intercept')}, {r('rsquare')},
+  CASE WHEN b IS NOT NULL THEN true END AS converged
+  FROM (SELECT DISTINCT DataSet FROM items) LEFT JOIN fits USING (DataSet)""")
+oracle("exp_curve", "fits", f"""SELECT DataSet, {r('1 + step * 0.1', 'x')}, {r('a * exp(b * (1 + step * 0.1))', 'y')}
+  FROM fits, (SELECT unnest(range(291)) AS step)""")
 
 # --- foraging ---------------------------------------------------------------------------------------
 
@@ -661,11 +687,11 @@ oracle("diet_items_table", "meta enriched", f"""SELECT e.DataSet, RaptorScientif
 oracle("foraging_table", "meta sums slopes totals birds tested", f"SELECT {FORAGING_OUT} FROM ({foraging_rows(0.02)})")
 oracle("handling_time_sweep", "tests", f"""SELECT cand_h,
   {r('avg(CASE WHEN passes THEN 1.0 ELSE 0 END)', 'prop_meeting_rule')} FROM tests WHERE cand_h < 0.2 GROUP BY cand_h""")
-oracle("phylo_ready_table", "meta items", f"""SELECT sp, rare_NT, {r('rare_SE')}, Biome, {r('Mass')} FROM (
+oracle("phylo_ready_table", "meta curve", f"""SELECT sp, {r('rare_NT')}, {r('rare_SE')}, Biome, {r('Mass')} FROM (
   SELECT CASE s WHEN 'ASIA_NATION_2' THEN 'ASIA_NATION_7' WHEN 'AFRICA_NATION_0' THEN 'AFRICA_NATION_5' ELSE s END AS sp,
-         richness AS rare_NT, entropy AS rare_SE, ecozone AS Biome
+         rare_richness AS rare_NT, rare_entropy AS rare_SE, ecozone AS Biome
   FROM (SELECT DataSet, replace(RaptorScientificName, ' ', '_') AS s, ecozone FROM meta) m
-  LEFT JOIN {_entropy} e ON e.DataSet = m.DataSet) JOIN (
+  LEFT JOIN ({rare_sql(100, 200)}) e ON e.DataSet = m.DataSet) JOIN (
   SELECT CASE s WHEN 'AFRICA_NATION_0' THEN 'AFRICA_NATION_5' ELSE s END AS sp2, n_nationkey AS Mass
   FROM (SELECT replace(r_name || ' ' || n_name, ' ', '_') AS s, n_nationkey FROM nation JOIN region
         ON n_regionkey = r_regionkey)) ON sp = sp2""")

@@ -101,7 +101,7 @@ def read_richness_layers(spark, d):
     paths = {
         name: files.write_table(
             layers.filter(F.col("layer") == name).select("POLYFID", "species"), stage_path(spark, "layer"), "csv")
-        for name in ("ALL", "BUILDING", "SUPPLIERS")
+        for name in star.LAYERS
     }
     return files.read_richness_layers(spark, paths).select("layer", "POLYFID", "species")
 
@@ -300,20 +300,18 @@ def natural_merge(spark, d):
     return lookup.natural_merge(a, orders)
 
 
+def _caught(spark, d):
+    return star.diet_items(spark, d).select(F.col(ITEM).alias("name"))
+
+
 @query
 def names_not_in(spark, d):
-    parts = star.parts(spark, d).select(F.col("SciName").alias("name"))
-    return lookup.names_not_in(parts, _big_catches(spark, d), "name")
+    return lookup.names_not_in(_caught(spark, d), star.parts(spark, d).select(F.col("SciName").alias("name")), "name")
 
 
 @query
 def names_in(spark, d):
-    parts = star.parts(spark, d).select(F.col("SciName").alias("name"))
-    return lookup.names_in(parts, _big_catches(spark, d), "name")
-
-
-def _big_catches(spark, d):
-    return star.diet_items(spark, d).filter(F.col(COUNT) >= 480).select(F.col(ITEM).alias("name"))
+    return lookup.names_in(_caught(spark, d), star.parts(spark, d).select(F.col("SciName").alias("name")), "name")
 
 
 @query
@@ -482,13 +480,12 @@ def top_item_flags(spark, d):
 
 @query
 def presence_matrix(spark, d):
-    items = star.diet_items(spark, d).filter(F.col(COUNT) > 300)
-    return comp.presence_matrix(items, "PreyOrder", ["O1", "O2", "O3", "O4"])
+    return comp.presence_matrix(star.diet_items(spark, d), "PreyOrder", ["O1", "O2", "O3", "O4"])
 
 
 @query
 def diets_per_category(spark, d):
-    return comp.diets_per_category(star.diet_items(spark, d).filter(F.col(COUNT) > 300), ITEM)
+    return comp.diets_per_category(star.diet_items(spark, d), ITEM)
 
 
 @query
@@ -558,7 +555,7 @@ def frequency_gap(spark, d):
 @query
 def sorted_families(spark, d):
     counts = comp.diets_per_category(
-        lookup.lookup(star.diet_items(spark, d).filter(F.col(COUNT) > 300), star.trait_mass(spark, d), ITEM,
+        lookup.lookup(star.diet_items(spark, d), star.trait_mass(spark, d), ITEM,
                       "SciName", {"Family": "PreyFamily"}), "PreyFamily")
     return counts.orderBy(F.desc("Diets"), "PreyFamily")
 
@@ -600,12 +597,12 @@ def redistribute_genus(spark, d):
 
 @query
 def rarefy_draws(spark, d):
-    return rarefy.rarefy(star.diet_items(spark, d), m=100, reps=10)
+    return rarefy.rarefy(star.diet_items(spark, d), m=100, reps=100)
 
 
 @query
 def frequency_table(spark, d):
-    return rarefy.frequency_table(star.diet_items(spark, d), m=100, reps=20)
+    return rarefy.frequency_table(star.diet_items(spark, d), m=100, reps=200)
 
 
 @query
@@ -632,7 +629,7 @@ def expected_rarefied_richness(spark, d):
 def rarefaction_skips_unknown(spark, d):
     unknown = (F.col(GROUP) % 4 == 1) & (F.col(ITEM) == "gear sp")
     items = star.diet_items(spark, d).withColumn(COUNT, F.when(~unknown, F.col(COUNT)))
-    return rarefy.rarefied_metrics(items, m=50, reps=20, fill=0.0)
+    return rarefy.rarefied_metrics(items, m=100, reps=200, fill=0.0)
 
 
 @query
@@ -727,7 +724,7 @@ def residuals(spark, d):
 @query
 def partial_regression(spark, d):
     fit = models.partial_regression(
-        model_table(spark, d), "dens_slopes", "ShannEnt_rare", ["DietRichness_rare", "numb_prey"])
+        model_table(spark, d), "dens_slopes", "ShannEnt_rare", ["DietRichness_rare", "PreyPerPellet", "largest_prey_mass"])
     return models.coefficient_table(spark, [fit])
 
 
@@ -755,7 +752,7 @@ def random_intercept_lm(spark, d):
 
 @query
 def exp_fit(spark, d):
-    return curves.exp_fit(star.diet_items(spark, d)).drop("converged")
+    return curves.exp_fit(star.diet_items(spark, d))
 
 
 @query
@@ -894,8 +891,8 @@ def phylo_ready_table(spark, d):
     items = cut_lineage(star.diet_items(spark, d))
     diets = lookup.attach_meta(
         star.diet_meta(spark, d).select(GROUP, F.col("RaptorScientificName").alias("Species"), F.col("ecozone").alias("Biome")),
-        comp.richness(items).select(GROUP, F.col("richness").alias("rare_NT")),
-        comp.shannon_entropy(items).select(GROUP, F.col("entropy").alias("rare_SE")))
+        rarefy.rarefied_metrics(items).select(
+            GROUP, F.col("rare_richness").alias("rare_NT"), F.col("rare_entropy").alias("rare_SE")))
     traits = star.table(spark, d, "nation").join(
         star.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat_ws(" ", "r_name", "n_name").alias("Species1"), F.col("n_nationkey").cast("double").alias("Mass"))
