@@ -48,13 +48,16 @@ def rank_triplet(items: DataFrame, group: str = GROUP, item: str = ITEM, count:
     """DensRank, CountRank and MassRank, ascending and unique within the group.
 
     Each sort keeps the order of the one before it on ties, so equal counts go
-    by density and equal masses by count.
+    by density and equal masses by count.  Densities are compared by their logarithm
+    to nine decimals, so that ranks do not hang on the last bits, however small the
+    densities are.
     """
-    return ordered_scan(items, [group], [
-        Scan([density, item], rank="DensRank"),
-        Scan([count, density, item], rank="CountRank"),
-        Scan([mass, count, density, item], rank="MassRank"),
-    ], hot_rows)
+    level = F.when(F.col(density) > 0, F.round(F.log(density), 9)).when(F.col(density).isNotNull(), F.lit(float("-inf")))
+    return ordered_scan(items.withColumn("_level", level), [group], [
+        Scan(["_level", item], rank="DensRank"),
+        Scan([count, "_level", item], rank="CountRank"),
+        Scan([mass, count, "_level", item], rank="MassRank"),
+    ], hot_rows).drop("_level")
 
 
 def diet_shares(items: DataFrame, group: str = GROUP, count: str = COUNT,

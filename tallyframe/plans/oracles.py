@@ -105,14 +105,14 @@ CTES["shared"] = """
     SELECT 1 FROM label_totals t WHERE t.DataSet = i.DataSet AND t.label = i.PreyScientificName))"""
 CTES["prey"] = """
   SELECT s.*, log10(PreyMass) AS LogMass, intercept + slope * log10(PreyMass) AS LogDensity,
-         round(exp(intercept + slope * log10(PreyMass)), 9) AS Density
+         exp(intercept + slope * log10(PreyMass)) AS Density
   FROM shared s JOIN lines l ON s.PreyOrder = l."Order"
   WHERE PreyClass = 'Mammalia' AND PreyMass <> 0"""
 CTES["ranked"] = """
-  SELECT *, row_number() OVER (PARTITION BY DataSet ORDER BY Density, PreyScientificName) AS DensRank,
-         row_number() OVER (PARTITION BY DataSet ORDER BY CountInt, Density, PreyScientificName) AS CountRank,
-         row_number() OVER (PARTITION BY DataSet ORDER BY PreyMass, CountInt, Density, PreyScientificName) AS MassRank
-  FROM prey"""
+  SELECT * EXCLUDE (level), row_number() OVER (PARTITION BY DataSet ORDER BY level, PreyScientificName) AS DensRank,
+         row_number() OVER (PARTITION BY DataSet ORDER BY CountInt, level, PreyScientificName) AS CountRank,
+         row_number() OVER (PARTITION BY DataSet ORDER BY PreyMass, CountInt, level, PreyScientificName) AS MassRank
+  FROM (SELECT *, round(ln(Density), 9) AS level FROM prey)"""
 CTES["totals"] = """
   SELECT p.DataSet, sum(CountInt) AS diet_count, count(*) AS diet_prey,
          sum(CountInt * PreyMass) / sum(CountInt) AS diet_mass, any_value(PreyPerPellet) AS diet_p
@@ -232,10 +232,13 @@ FORAGING_OUT = ", ".join(
     ["DataSet", "RaptorScientificName", "Continent", "ecozone"]
     + [r(c) for c in FORAGING_DOUBLES] + [n(c, c) for c in FORAGING_WHOLE])
 
+MODEL_COLUMNS = ", ".join(
+    ["DataSet", "RaptorScientificName", "Continent", "ecozone"]
+    + [f"CAST({c} AS DOUBLE) AS {c}" for c in FORAGING_DOUBLES] + [n(c, c) for c in FORAGING_WHOLE])
 CTES["model_table"] = f"""
-  SELECT {FORAGING_OUT}, {r('rare_entropy', 'ShannEnt_rare')}, {r('rare_richness', 'DietRichness_rare')},
-         LocalRichness, RERichness, RaptorRichness, {r('log10(RERichness)', 'l_re')},
-         {r('log10(numb_prey_spp)', 'l_ns')}, {r('ln(LocalRichness)', 'log_LocalRichness')}
+  SELECT {MODEL_COLUMNS}, rare_entropy AS ShannEnt_rare, rare_richness AS DietRichness_rare,
+         LocalRichness, RERichness, RaptorRichness, log10(RERichness) AS l_re,
+         log10(numb_prey_spp) AS l_ns, ln(LocalRichness) AS log_LocalRichness
   FROM ({foraging_rows(0.16)}) LEFT JOIN ({rare_sql(100, 200)}) USING (DataSet) LEFT JOIN rich USING (DataSet)"""
 
 DEPENDS = {

@@ -32,13 +32,13 @@ def query(fn):
     return fn
 
 
-def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded (no negative zero), whole numbers as BIGINT, flags as BOOLEAN."""
+def tidy(df: DataFrame, digits: int | None = DIGITS) -> DataFrame:
+    """Doubles rounded (no negative zero; not at all for None), whole numbers as BIGINT, flags as BOOLEAN."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits) + F.lit(0.0)
+            c = c if digits is None else F.round(c, digits) + F.lit(0.0)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.LongType)):
             c = c.cast("bigint")
         out.append(c.alias(field.name))
@@ -79,7 +79,7 @@ def model_table(spark: SparkSession, d: str) -> DataFrame:
         "l_re": col.safe_log10("RERichness"), "l_ns": col.safe_log10("numb_prey_spp"),
         "log_LocalRichness": col.safe_ln("LocalRichness"),
     })
-    return cut_lineage(tidy(full))
+    return cut_lineage(tidy(full, None))
 
 
 def totals(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:

@@ -120,20 +120,17 @@ def diet_items_table(items: DataFrame, trait: DataFrame, meta: DataFrame, predat
                        MASS, "PreyFamily")
 
 
-def foraging_items(items: DataFrame, coefficients: DataFrame, prey_class: str = "Mammalia",
-                   digits: int = 9) -> DataFrame:
+def foraging_items(items: DataFrame, coefficients: DataFrame, prey_class: str = "Mammalia") -> DataFrame:
     """Items that enter the foraging analysis: identified, of the class, with a
     mass, genus rows shared out, density predicted.
 
-    The density is rounded so that ranks do not hang on the last bits.  The
-    filtered rows are staged, because the genus step reads them several times.
+    The filtered rows are staged, because the genus step reads them several times.
     """
     rows = names.keep_id_levels(items)
     rows = names.contains_filter(rows, "PreyClass", prey_class)
     rows = rows.filter(F.col(MASS) != 0)
     rows = names.exclude_values(rows, "PreyOrder", [NO_DENSITY])
-    return predict_density(redistribute_genus(cut_lineage(rows)), coefficients).withColumn(
-        "Density", F.round("Density", digits))
+    return predict_density(redistribute_genus(cut_lineage(rows)), coefficients)
 
 
 def diet_foraging_metrics(prey: DataFrame, meta: DataFrame, h: float = HANDLING_TIME,
