@@ -149,6 +149,8 @@ def within(first: np.ndarray, size: int, n: int) -> np.ndarray:
 
 def sliding(values: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
     """``pick`` over each run of ``size`` values, by doubling."""
+    if len(values) < size:
+        return values[:0]
     width, out = 1, values
     while 2 * width <= size:
         out = pick(out[:len(out) - width], out[width:])
