@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.stats import solve_normal, t_quantile, t_two_sided
+from tallyframe.operators.skew import sized_join
 from tallyframe.session import cut_lineage
 
 Term = str | tuple[str, ...]
 
-MAX_LEVELS = 1000       # a factor with more levels is a grouping, not a factor
+MAX_LEVELS = 1000       # a factor with more levels is absorbed, not listed
 BATCH_SUMS = 200        # aggregate expressions per job
+GLM_STEPS = 100         # most iterations of a generalised linear model
 EXACT = 1e-12           # a residual share below this is rounding: an exact fit
 LOCAL_SIZES = 50_000    # distinct group sizes that are searched on the driver
 
@@ -80,21 +82,28 @@ class Fit:
 
 # --- design ------------------------------------------------------------------
 
-def _factor_levels(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
-    levels = {}
+def _number(column: Column) -> Column:
+    """As a double; what is not a finite number is missing."""
+    value = column.cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def _factor_levels(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, list[str]], set[str]]:
+    """Sorted levels of each factor, and the names of those with too many to list."""
+    levels, many = {}, set()
     for name in names:
         rows = df.select(name).filter(F.col(name).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"{name} has more than {MAX_LEVELS} levels; use it as a group instead")
         levels[name] = sorted(r[0] for r in rows)
-    return levels
+        if len(rows) > MAX_LEVELS:
+            many.add(name)
+    return levels, many
 
 
 def _design(model: Model, levels: dict[str, list[str]]) -> list[tuple[str, Column]]:
     def one(name: str) -> list[tuple[str, Column]]:
         if name in levels:
             return [(f"{name}={v}", (F.col(name) == v).cast("double")) for v in levels[name][1:]]
-        return [(name, F.col(name).cast("double"))]
+        return [(name, _number(F.col(name)))]
 
     out = []
     for term in model.terms:
@@ -106,19 +115,31 @@ def _design(model: Model, levels: dict[str, list[str]]) -> list[tuple[str, Colum
     return out
 
 
+def _term_names(model: Model) -> set[str]:
+    return {n for t in model.terms for n in ((t,) if isinstance(t, str) else t)}
+
+
 def _factors(df: DataFrame, models: Sequence[Model]) -> list[str]:
-    used = {n for m in models for t in m.terms for n in ((t,) if isinstance(t, str) else t)}
+    used = {n for m in models for n in _term_names(m)}
     return sorted(n for n in used if isinstance(df.schema[n].dataType, T.StringType))
 
 
 # --- least squares -----------------------------------------------------------
 
 def ols_many(df: DataFrame, models: Sequence[Model]) -> list[Fit]:
-    """Fit several models in two passes; rows with a NULL leave only their model."""
-    levels = _factor_levels(df, _factors(df, models))
+    """Fit several models in two passes; rows with a NULL leave only their model.
+
+    NaN and infinity count as missing.  A factor of more than MAX_LEVELS levels is
+    absorbed (see :func:`_absorbed`).
+    """
+    levels, many = _factor_levels(df, _factors(df, models))
+    wide_models = [m for m in models if many & {t for t in _term_names(m)}]
+    if wide_models:
+        listed = iter(ols_many(df, [m for m in models if m not in wide_models]) if len(wide_models) < len(models) else [])
+        return [_absorbed(df, m, levels, many) if m in wide_models else next(listed) for m in models]
     designs = [_design(m, levels) for m in models]
     # Every distinct column once; (name, column) with the response of each model last.
-    variables = [[*d, (f"{m.response}", F.col(m.response).cast("double"))] for m, d in zip(models, designs)]
+    variables = [[*d, (f"{m.response}", _number(F.col(m.response)))] for m, d in zip(models, designs)]
     index: dict[str, int] = {}
     columns: list[Column] = []
     for name, column in (v for vs in variables for v in vs):
@@ -168,6 +189,44 @@ def ols_many(df: DataFrame, models: Sequence[Model]) -> list[Fit]:
     return fits
 
 
+def _absorbed(df: DataFrame, model: Model, levels: dict[str, list[str]], many: set[str]) -> Fit:
+    """A model with one factor of very many levels: that factor's level means are taken out on the cluster.
+
+    All other coefficients, their errors and r2 are those of the model with every level
+    listed; the intercept, which each level has for itself, is left empty.
+    """
+    absorbed = [t for t in model.terms if t in many]
+    if len(absorbed) != 1 or any(not isinstance(t, str) and many & set(t) for t in model.terms):
+        raise ValueError(f"{model.label}: one factor with more than {MAX_LEVELS} levels, and not in a product")
+    rest = Model(model.response, tuple(t for t in model.terms if t != absorbed[0]))
+    design = _design(rest, levels)
+    names = [f"z{i}" for i in range(len(design) + 1)]
+    rows = df.select(F.col(absorbed[0]).alias("g"), *[c.alias(n) for n, c in zip(
+        names, [*[c for _, c in design], _number(F.col(model.response))])]).na.drop()
+    means = rows.groupBy("g").agg(*[F.avg(n).alias(f"m_{n}") for n in names])
+    inside = sized_join(rows, means, ["g"]).select("g", names[-1], *[
+        (F.col(n) - F.col(f"m_{n}")).alias(f"d_{n}") for n in names])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = inside.agg(
+        F.count("*").alias("n"), F.count_distinct("g").alias("groups"), F.var_pop(names[-1]).alias("spread"),
+        *[F.sum(F.col(f"d_z{i}") * F.col(f"d_z{j}")).alias(f"s_{i}_{j}") for i, j in pairs]).first()
+    if not row["n"]:
+        return _no_fit(model, design)
+    cross = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        cross[i, j] = cross[j, i] = row[f"s_{i}_{j}"]
+    p = len(design)
+    beta, inverse, kept = solve_normal(cross[:p, :p], cross[:p, p])
+    rss = max(cross[p, p] - np.where(kept, beta, 0.0) @ cross[:p, p], 0.0)
+    df_left = row["n"] - int(kept.sum()) - row["groups"]
+    sigma2 = rss / df_left if df_left > 0 else math.nan
+    total = row["spread"] * row["n"]
+    return Fit(model=model, names=[d[0] for d in design], columns=[d[1] for d in design], n=row["n"], means=np.zeros(p + 1),
+               coef=np.concatenate([[np.nan], beta]),
+               errors=np.sqrt(sigma2 * np.concatenate([[np.nan], np.where(kept, np.diag(inverse), np.nan)])),
+               r2=1 - rss / total if total > 0 else math.nan, sigma2=sigma2, inverse=inverse, df=df_left)
+
+
 def ols(df: DataFrame, response: str, terms: Sequence[Term]) -> Fit:
     return ols_many(df, [Model(response, tuple(terms))])[0]
 
@@ -261,10 +320,12 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str, link: s
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    rows = df.select(F.col(response).cast("double").alias("label"), *[F.col(t).cast("double") for t in terms])
+    rows = df.select(_number(F.col(response)).alias("label"), *[_number(F.col(t)).alias(t) for t in terms])
     rows = VectorAssembler(inputCols=list(terms), outputCol="features").transform(rows.na.drop())
-    fit = GeneralizedLinearRegression(family=family, link=link, maxIter=50, tol=1e-10).fit(rows)
+    fit = GeneralizedLinearRegression(family=family, link=link, maxIter=GLM_STEPS, tol=1e-10).fit(rows)
     summary = fit.summary
+    # A fit that used up its steps says so.
+    converged = summary.numIterations < GLM_STEPS
     # Spark lists the intercept last, and has no errors for a singular design.
     estimates = [float(b) for b in [*fit.coefficients, fit.intercept]]
     try:
@@ -273,8 +334,8 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], family: str, link: s
         errors = z = p = [None] * len(estimates)
     label = f"{response} ~ {' + '.join(terms)}"
     return df.sparkSession.createDataFrame(
-        [(label, *row) for row in zip([*terms, "(Intercept)"], estimates, errors, z, p)],
-        "model string, term string, estimate double, std_error double, z double, p_value double")
+        [(label, *row, converged) for row in zip([*terms, "(Intercept)"], estimates, errors, z, p)],
+        "model string, term string, estimate double, std_error double, z double, p_value double, converged boolean")
 
 
 def poisson_glm(df: DataFrame, response: str, terms: Sequence[str]) -> DataFrame:
@@ -354,16 +415,19 @@ class _Profile:
         return cross, total, mean, float(groups @ np.log1p(size * tau))
 
     def _spark_sums(self, taus: Sequence[float]):
+        """All ratios of a round in one grouped aggregate."""
+        share = "(size / (1 + size * tau))"
+        rows = self.table.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus]))).groupBy("tau").agg(*map(F.expr, [
+            f"sum(groups * {share}) AS total", "sum(groups * log1p(size * tau)) AS logdet",
+            *[f"sum(groups * {share} * mean_{a}) AS at_{a}" for a in range(self.width)],
+            *[f"sum({share} * (between_{a}_{b} + groups * mean_{a} * mean_{b})) AS c_{a}_{b}" for a, b in self._names()]])).collect()
+        by_tau = {row["tau"]: row for row in rows}
         out = []
         for tau in taus:
-            share = f"(size / (1 + size * {float(tau)!r}D))"
-            row = self.table.selectExpr(
-                f"sum(groups * {share})", f"sum(groups * log1p(size * {float(tau)!r}D))",
-                *[f"sum(groups * {share} * mean_{a})" for a in range(self.width)],
-                *[f"sum({share} * (between_{a}_{b} + groups * mean_{a} * mean_{b}))" for a, b in self._names()]).first()
-            total, at = row[0], np.array(row[2:2 + self.width]) / row[0]
-            cross = self._square(row[2 + self.width:]) - total * np.outer(at, at)
-            out.append((self.within + cross, total, at, row[1]))
+            row = by_tau[float(tau)]
+            total, at = row["total"], np.array([row[f"at_{a}"] for a in range(self.width)]) / row["total"]
+            cross = self._square([row[f"c_{a}_{b}"] for a, b in self._names()]) - total * np.outer(at, at)
+            out.append((self.within + cross, total, at, row["logdet"]))
         return out
 
     def deviance(self, cross: np.ndarray, logdet: float) -> float:
@@ -389,9 +453,11 @@ class _Profile:
 
 def random_intercept_lm(df: DataFrame, model: Model) -> MixedFit:
     """Linear model with one random intercept, by maximum likelihood."""
-    levels = _factor_levels(df, _factors(df, [model]))
+    levels, many = _factor_levels(df, _factors(df, [model]))
+    if many:
+        raise ValueError(f"{', '.join(sorted(many))}: more than {MAX_LEVELS} levels; use it as the group")
     design = _design(model, levels)
-    values = [c for _, c in design] + [F.col(model.response).cast("double")]
+    values = [c for _, c in design] + [_number(F.col(model.response))]
     width = len(values)
     names = [f"z{j}" for j in range(width)]
     rows = df.select(F.col(model.group).alias("g"), *[v.alias(n) for v, n in zip(values, names)]).na.drop()

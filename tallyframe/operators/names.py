@@ -73,10 +73,11 @@ def remap_names(df: DataFrame, column: str, mapping: Mapping[str, str] | DataFra
     """Replace names by a synonym table, one step only.
 
     A dict is a short fixed list and becomes a literal map.  A DataFrame with
-    columns ``old`` and ``new`` (one row per ``old``) is joined.
+    columns ``old`` and ``new`` is joined; of several ``new`` for one ``old`` the
+    first by sort counts.
     """
     if isinstance(mapping, DataFrame):
-        synonyms = mapping.select(F.col("old").alias(column), F.col("new").alias("_new"))
+        synonyms = mapping.groupBy(F.col("old").alias(column)).agg(F.min("new").alias("_new"))
         joined = sized_join(df, synonyms, [column], "left")
         return joined.withColumn(column, F.coalesce("_new", column)).select(*df.columns)
     literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])

@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,9 +57,11 @@ def ordered_scan(df: DataFrame, group: Sequence[str], scans: Sequence[Scan],
         return _scan_windows(df, group, scans)
     if not group:
         return _scan_chunks(df, group, scans, found["rows"], chunk_rows)
-    keys = cut_lineage(sizes.select(*group))
-    cold = _scan_windows(df.join(keys, group, "left_anti"), group, scans)
-    hot = _scan_chunks(df.join(keys, group, "left_semi"), group, scans, found["rows"], chunk_rows)
+    keys = cut_lineage(sizes.select(*[F.col(g).alias(f"_key_{g}") for g in group]))
+    # A hot group may be the one without a name.
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_key_{g}")) for g in group])
+    cold = _scan_windows(df.join(keys, same, "left_anti"), group, scans)
+    hot = _scan_chunks(df.join(keys, same, "left_semi"), group, scans, found["rows"], chunk_rows)
     return cold.unionByName(hot.select(*cold.columns))
 
 
@@ -96,7 +100,9 @@ def _scan_chunks(df: DataFrame, group: list[str], scans: Sequence[Scan], rows: i
         upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         columns = {"_in_rank": F.row_number().over(inside)}
         columns |= {f"_sum_{name}": F.sum(c).over(upto) for name, c in scan.running.items()}
-        out = out.withColumns(columns).join(offsets, [*group, "_chunk"])
+        named = offsets.withColumnsRenamed({c: f"_key_{c}" for c in [*group, "_chunk"]})
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in [*group, "_chunk"]])
+        out = out.withColumns(columns).join(named, same).drop(*[f"_key_{c}" for c in [*group, "_chunk"]])
         added = {}
         if scan.rank:
             added[scan.rank] = (F.col("_in_rank") + F.col("_before")).cast("bigint")

@@ -66,11 +66,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and continue from there.
+    """Write ``df`` to the shared folder once, as Parquet, and continue from there.
 
     Used where several branches read the same expensive result, and wherever a
     value that Spark could compute differently on a second run (a partition id)
-    must stay fixed.
+    must stay fixed.  A branch reads only the columns it needs.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = stage_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    _STAGES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STAGES: list[str] = []
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete what :func:`cut_lineage` has written; call it when results that read it are done."""
+    paths, _STAGES[:] = list(_STAGES), []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)

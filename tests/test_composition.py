@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from conftest import by_key
@@ -180,3 +181,54 @@ def test_draws_are_the_first_item_over_the_threshold(make_items):
             cumulative += counts[rank]
             rank += 1
         assert drawn[(i // 40 + 1, i % 40 + 1)] == rank
+
+
+def _fit(counts):
+    import numpy as np
+
+    values, sizes = np.unique(-np.array(counts, float), return_counts=True)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(float)
+    blocks = curves._Blocks(first, sizes.astype(np.int64), -values / sum(counts), np.array([0]))
+    return [x[0] for x in curves.fit_exponentials(blocks)]
+
+
+def test_no_diet_is_lost_to_the_exponential_fit():
+    import numpy as np
+
+    rng = random.Random(1)
+    cases = [[1000, 1, 1, 1], [100000, 1, 1, 1, 1, 1], [50000] + [1] * 5000, [5] * 7, [3, 2, 1], [9, 9, 9, 1]]
+    cases += [[int(rng.paretovariate(0.5)) + 1 for _ in range(rng.randint(3, 80))] for _ in range(300)]
+    for counts in cases:
+        a, b, rss, converged = _fit(counts)
+        f = np.array(sorted(counts, reverse=True)) / sum(counts)
+        rank = np.arange(1, len(f) + 1)
+        best = np.inf
+        for trial in [*-np.geomspace(1e-7, 25, 2500), 0.0]:
+            e = np.exp(trial * (rank - 1))
+            best = min(best, ((f - (f @ e) / (e @ e) * e) ** 2).sum())
+        found = ((f - a * np.exp(b * rank)) ** 2).sum()
+        assert converged and found <= best * (1 + 1e-9) + 1e-18 and rss == pytest.approx(found, abs=1e-12)
+    assert not _fit([9, 0, 0])[3]
+
+
+def test_small_densities_keep_their_ranks(make_items):
+    from tallyframe.operators import ranks
+
+    rows = [(1, f"a{i}", c, float(i + 1)) for i, c in enumerate([5, 9, 2])]
+    items = make_items(rows).withColumn("Density", F.exp(-F.col("PreyMass") - 22))
+    found = {r.PreyScientificName: r.DensRank for r in ranks.rank_triplet(items).collect()}
+    assert found == {"a0": 3, "a1": 2, "a2": 1}
+
+
+def test_histogram_has_its_empty_bins(spark):
+    rows = comp.histogram(spark.createDataFrame([(0.0,), (1.0,), (8.0,), (None,)], "x double"), "x", 8).orderBy("bin").collect()
+    assert [(r.bin, r.left, r.n) for r in rows] == [(0, 0.0, 1), (1, 1.0, 1)] + [(k, float(k), 0) for k in range(2, 7)] + [(7, 7.0, 1)]
+    assert comp.histogram(spark.createDataFrame([(None,)], "x double"), "x").collect() == []
+
+
+def test_remapping_by_a_table_renames_each_row_once(spark):
+    from tallyframe.operators import names
+
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "d")], "old string, new string")
+    found = names.remap_names(spark.createDataFrame([("a",), ("x",), (None,), ("c",)], "sp string"), "sp", pairs)
+    assert sorted(str(r.sp) for r in found.collect()) == ["None", "b", "d", "x"]

@@ -142,3 +142,34 @@ def test_glm_against_newton(table):
     assert found["(Intercept)"] == pytest.approx(beta[0], abs=1e-6) and found["b"] == pytest.approx(beta[1], abs=1e-6)
     probit = {r.term: r.estimate for r in models.probit_glm(table, "hit", ["b"]).collect()}
     assert probit["b"] > 0.5
+
+
+def test_what_is_no_number_is_missing(table):
+    odd = table.withColumn("b", F.when(F.col("a") > 1003, float("nan")).when(F.col("a") < 997, float("inf")).otherwise(F.col("b")))
+    gaps = table.withColumn("b", F.when(F.col("a").between(997, 1003), F.col("b")))
+    one, two = (models.ols(t, "y", ("a", "b")) for t in (odd, gaps))
+    assert one.n == two.n < 288 and np.allclose(one.coef, two.coef)
+
+
+def test_a_factor_of_many_levels_is_absorbed(table, monkeypatch):
+    listed = models.ols_many(table, [Model("y", ("a", "g")), Model("y", ("a",))])
+    monkeypatch.setattr(models, "MAX_LEVELS", 3)
+    absorbed = models.ols_many(table, [Model("y", ("a", "g")), Model("y", ("a",))])
+    assert absorbed[0].names == ["a"] and math.isnan(absorbed[0].coef[0]) and absorbed[0].df == listed[0].df
+    assert absorbed[0].coef[1] == pytest.approx(listed[0].coef[1]) and absorbed[0].errors[1] == pytest.approx(listed[0].errors[1])
+    assert absorbed[0].r2 == pytest.approx(listed[0].r2) and absorbed[1].coef[1] == pytest.approx(listed[1].coef[1])
+
+
+def test_five_thousand_levels(spark):
+    rows = spark.range(15_000).selectExpr("concat('g', id % 5000) AS g", "cast(id % 97 AS double) AS x").selectExpr(
+        "g", "x", "3 * x + length(g) AS y")
+    fit = models.ols(rows, "y", ("x", "g"))
+    assert fit.coef[1] == pytest.approx(3) and fit.n == 15_000
+
+
+def test_search_on_the_cluster_finds_the_same_ratio(table, monkeypatch):
+    model = Model("y", ("a", "b"), "g")
+    here = models.random_intercept_lm(table, model)
+    monkeypatch.setattr(models, "LOCAL_SIZES", 0)
+    there = models.random_intercept_lm(table, model)
+    assert there.tau == pytest.approx(here.tau, rel=1e-6) and np.allclose(there.coef, here.coef) and np.allclose(there.errors, here.errors)

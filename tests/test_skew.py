@@ -45,3 +45,46 @@ def test_operators_do_not_depend_on_the_salts(make_items, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     assert run() == plain
+
+
+def _largest_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+
+
+def test_rows_without_a_key_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 100 == 0, F.col("id") % 7).alias("k"), "id")
+        joined = skew_join(left, spark.createDataFrame([(k, k) for k in range(5)], "k bigint, w bigint"), ["k"], "left", hot_rows=200)
+        assert joined.count() == 4000 and _largest_task(joined) < 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_small_side_is_broadcast_whichever_it_is(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 100)
+    small, large = spark.createDataFrame([(1, 2)], "k int, v int"), spark.range(500).select(F.lit(1).alias("k"), "id")
+    joined = skew.sized_join(small, large, ["k"])
+    assert joined.count() == 500 and "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 10)
+    assert not skew.is_small(small)
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 20])
+def test_a_hot_group_without_a_name_is_scanned(spark, hot_rows):
+    from tallyframe.operators.scan import Scan, ordered_scan
+
+    rows = spark.createDataFrame([(None, i % 17) for i in range(60)] + [("a", i) for i in range(5)], "g string, v int").repartition(4)
+    found = ordered_scan(rows, ["g"], [Scan(["v"], rank="r", running={"s": "v"})], hot_rows, 25).collect()
+    assert len(found) == 65 and sorted(r.r for r in found if r.g is None) == list(range(1, 61))
+    assert max(r.s for r in found if r.g is None) == sum(i % 17 for i in range(60))
+
+
+def test_stages_are_deleted_when_asked(spark):
+    from tallyframe.session import clear_stages, cut_lineage
+
+    clear_stages(spark)
+    cut_lineage(spark.range(3))
+    assert clear_stages(spark) == 1 and clear_stages(spark) == 0
