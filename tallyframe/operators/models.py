@@ -291,17 +291,23 @@ def residuals(df: DataFrame, fit: Fit, out: str) -> DataFrame:
     return df.withColumn(out, F.col(fit.model.response) - fit.fitted())
 
 
-def predict_interval(df: DataFrame, fit: Fit, points: int = 10, level: float = 0.95) -> DataFrame:
-    """Prediction and confidence band of the mean on a grid over the term's range."""
-    (name,) = fit.names
-    term = fit.model.terms[0]
-    ends = df.agg(F.struct(F.min(term).cast("double").alias("lo"), F.max(term).cast("double").alias("hi"))).scalar()
+def predict_interval(df: DataFrame, fit: Fit, points: int = 10, level: float = 0.95, along: str | None = None) -> DataFrame:
+    """Prediction and confidence band of the mean on a grid over the range of one term.
+
+    ``along`` is that term, by default the first; other terms stay at their means.  The
+    width is t * sqrt(s2 (1/n + x' (X'X)^-1 x)) with x centred.
+    """
+    name = along or fit.names[0]
+    at = fit.names.index(name)
+    ends = df.agg(F.struct(F.min(name).cast("double").alias("lo"), F.max(name).cast("double").alias("hi"))).scalar()
     grid = df.sparkSession.range(points).select(ends.alias("e"), F.col("id").alias("step")).select(
         (F.col("e.lo") + (F.col("e.hi") - F.col("e.lo")) * F.col("step") / (points - 1)).alias(name))
     t = t_quantile(0.5 + level / 2, fit.df)
-    centred = F.col(name) - F.lit(float(fit.means[0]))
-    width = t * F.sqrt(fit.sigma2 * (1 / fit.n + centred * centred * float(fit.inverse[0, 0])))
-    prediction = F.lit(float(fit.coef[0])) + float(fit.coef[1]) * F.col(name)
+    beta = np.nan_to_num(fit.coef[1:])
+    others = float(fit.coef[0] + sum(b * m for k, (b, m) in enumerate(zip(beta, fit.means)) if k != at))
+    centred = F.col(name) - F.lit(float(fit.means[at]))
+    width = t * F.sqrt(fit.sigma2 * (1 / fit.n + centred * centred * float(fit.inverse[at, at])))
+    prediction = F.lit(others) + float(beta[at]) * F.col(name)
     return grid.select(
         name, prediction.alias("prediction"), (prediction - width).alias("lower"), (prediction + width).alias("upper"))
 

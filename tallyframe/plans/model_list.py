@@ -91,4 +91,8 @@ MIXED = [
     Model(_SLOPE, (*_THREE, _PAIRS[2]), "ecozone"),
     Model(_SLOPE, ("RERichness", "RaptorRichness", _PAIRS[2]), "ecozone"),
     Model(_SLOPE, (), "Continent"),
+    Model("NumPos", ("log_sum_R", "log_numb_prey_spp", "log_NE_intake", "FreqBirds", "RERichness"), "ecozone"),
 ]
+
+# Models of the rarefied metrics with an intercept per biome.
+BIOME = [Model(y, (x,), "Biome") for x in ("Mass", "FairProp") for y in ("rare_NT", "rare_SE")]

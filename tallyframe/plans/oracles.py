@@ -238,7 +238,8 @@ MODEL_COLUMNS = ", ".join(
 CTES["model_table"] = f"""
   SELECT {MODEL_COLUMNS}, rare_entropy AS ShannEnt_rare, rare_richness AS DietRichness_rare,
          LocalRichness, RERichness, RaptorRichness, log10(RERichness) AS l_re,
-         log10(numb_prey_spp) AS l_ns, ln(LocalRichness) AS log_LocalRichness
+         log10(numb_prey_spp) AS l_ns, ln(LocalRichness) AS log_LocalRichness, ln(sum_R) AS log_sum_R,
+         ln(numb_prey_spp) AS log_numb_prey_spp, CASE WHEN NE_intake > 0 THEN ln(NE_intake) END AS log_NE_intake
   FROM ({foraging_rows(0.16)}) LEFT JOIN ({rare_sql(100, 200)}) USING (DataSet) LEFT JOIN rich USING (DataSet)"""
 
 DEPENDS = {
@@ -610,6 +611,28 @@ oracle("residuals", "model_table", f"""SELECT DataSet, {r('''dens_slopes - m_2 -
   - s_1_2 * (sum_R - m_1)''', 'residual')} FROM model_table, {_two}""")
 
 
+def _interval(name: str, terms: tuple[str, ...], at: int) -> None:
+    """Band along one term: the t quantile by halving, the other terms at their means."""
+    p, along = len(terms), terms[at]
+    CTES[f"{name}_fit"] = f"""SELECT *, n - 1 - {p} AS df,
+      m_{p} + {' + '.join(f's_{i}_{p} * (0 - m_{i})' for i in range(p) if i == at)} AS base
+      FROM {sweep_sql('model_table', 'l_ns', _design(Model('l_ns', terms)))}"""
+    CTES[f"{name}_t"] = f"""SELECT df, CAST(0 AS DOUBLE) AS lo, CAST(1000 AS DOUBLE) AS hi, 0 AS k FROM {name}_fit
+      UNION ALL SELECT df, CASE WHEN {p_value('((lo + hi) / 2)', 'df')} > 0.05 THEN (lo + hi) / 2 ELSE lo END,
+        CASE WHEN {p_value('((lo + hi) / 2)', 'df')} > 0.05 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM {name}_t WHERE k < 60"""
+    DEPENDS.update({f"{name}_fit": ["model_table"], f"{name}_t": [f"{name}_fit"]})
+    oracle(name, f"{name}_fit {name}_t", f"""SELECT {r('x', along)}, {r('y', 'prediction')}, {r('y - w', 'lower')}, {r('y + w', 'upper')}
+      FROM (SELECT x, base + s_{at}_{p} * x AS y,
+                   t * sqrt(s_{p}_{p} / f.df * (1.0 / f.n + (x - m_{at}) * (x - m_{at}) * s_{at}_{at})) AS w
+            FROM {name}_fit f, (SELECT (lo + hi) / 2 AS t FROM {name}_t WHERE k = 60),
+                 (SELECT lo + (hi - lo) * step / 9 AS x FROM (SELECT min({along}) AS lo, max({along}) AS hi FROM model_table),
+                         (SELECT unnest(range(10)) AS step)))""")
+
+
+_interval("predict_interval", ("l_re",), 0)
+_interval("predict_interval_of_several", ("l_re", "log_LocalRichness", "FreqBirds"), 1)
+
+
 def _residual(y: str, alias: str) -> str:
     controls = Model(y, ("DietRichness_rare", "PreyPerPellet", "largest_prey_mass"))
     return f"""(SELECT DataSet, {y} - m_3 - s_0_3 * (DietRichness_rare - m_0) - s_1_3 * (PreyPerPellet - m_1)

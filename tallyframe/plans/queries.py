@@ -77,7 +77,8 @@ def model_table(spark: SparkSession, d: str) -> DataFrame:
         GROUP, F.col("rare_entropy").alias("ShannEnt_rare"), F.col("rare_richness").alias("DietRichness_rare"))
     full = lookup.attach_meta(table, rare, richness_columns(spark, d)).withColumns({
         "l_re": col.safe_log10("RERichness"), "l_ns": col.safe_log10("numb_prey_spp"),
-        "log_LocalRichness": col.safe_ln("LocalRichness"),
+        "log_LocalRichness": col.safe_ln("LocalRichness"), "log_sum_R": col.safe_ln("sum_R"),
+        "log_numb_prey_spp": col.safe_ln("numb_prey_spp"), "log_NE_intake": col.safe_ln("NE_intake"),
     })
     return cut_lineage(tidy(full, None))
 
@@ -711,7 +712,14 @@ def ols_r2(spark, d):
 @query
 def predict_interval(spark, d):
     table = model_table(spark, d)
-    return models.predict_interval(table, models.ols(table, "dens_slopes", ["FreqBirds"]))
+    return models.predict_interval(table, models.ols(table, "l_ns", ["l_re"]))
+
+
+@query
+def predict_interval_of_several(spark, d):
+    table = model_table(spark, d)
+    fit = models.ols(table, "l_ns", ["l_re", "log_LocalRichness", "FreqBirds"])
+    return models.predict_interval(table, fit, along="log_LocalRichness")
 
 
 @query
@@ -740,8 +748,7 @@ def poisson_glm(spark, d):
 
 @query
 def probit_glm(spark, d):
-    table = model_table(spark, d).withColumn("heavy", (F.col("numb_prey") % 2).cast("double"))
-    return models.probit_glm(table, "heavy", ["mass_of_most_common_dropones"])
+    return models.probit_glm(model_table(spark, d), "IsTopPreyBiggest", ["mass_of_most_common_dropones"])
 
 
 @query
@@ -886,15 +893,29 @@ def handling_time_sweep(spark, d):
     return tables.handling_time_sweep(tables.foraging_items(enriched(spark, d), lines), star.diet_meta(spark, d))
 
 
-@query
-def phylo_ready_table(spark, d):
+def _phylo_rows(spark, d):
     items = cut_lineage(star.diet_items(spark, d))
     diets = lookup.attach_meta(
-        star.diet_meta(spark, d).select(GROUP, F.col("RaptorScientificName").alias("Species"), F.col("ecozone").alias("Biome")),
+        star.diet_meta(spark, d).select(
+            GROUP, F.col("RaptorScientificName").alias("Species"), "Continent", F.col("ecozone").alias("Biome")),
         rarefy.rarefied_metrics(items).select(
             GROUP, F.col("rare_richness").alias("rare_NT"), F.col("rare_entropy").alias("rare_SE")))
     traits = star.table(spark, d, "nation").join(
         star.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat_ws(" ", "r_name", "n_name").alias("Species1"), F.col("n_nationkey").cast("double").alias("Mass"))
+    return diets, traits
+
+
+@query
+def phylo_ready_table(spark, d):
     renames = {"ASIA_NATION_2": "ASIA_NATION_7", "AFRICA_NATION_0": "AFRICA_NATION_5"}
-    return tables.phylo_ready_table(diets, traits, renames, {"AFRICA_NATION_0": "AFRICA_NATION_5"})
+    return tables.phylo_ready_table(*_phylo_rows(spark, d), renames, {"AFRICA_NATION_0": "AFRICA_NATION_5"})
+
+
+@query
+def random_intercept_biome(spark, d):
+    """Rarefied metrics against predator mass and distinctiveness, with an intercept per biome."""
+    diets, traits = _phylo_rows(spark, d)
+    rows = lookup.lookup(diets, traits, "Species", "Species1", {"Mass": "Mass"})
+    rows = cut_lineage(lookup.lookup(rows, predator_traits(spark, d), "Continent", "species", {"FairProp": "FairProp"}))
+    return models.mixed_table(spark, [models.random_intercept_lm(rows, m) for m in model_list.BIOME])

@@ -65,14 +65,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder once, as Parquet, and continue from there.
 
     Used where several branches read the same expensive result, and wherever a
     value that Spark could compute differently on a second run (a partition id)
     must stay fixed.  A branch reads only the columns it needs.
     """
-    path = stage_path(df.sparkSession, "stage")
+    path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     _STAGES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
