@@ -721,3 +721,62 @@ oracle("phylo_ready_table", "meta curve", f"""SELECT sp, {r('rare_NT')}, {r('rar
   SELECT CASE s WHEN 'AFRICA_NATION_0' THEN 'AFRICA_NATION_5' ELSE s END AS sp2, n_nationkey AS Mass
   FROM (SELECT replace(r_name || ' ' || n_name, ' ', '_') AS s, n_nationkey FROM nation JOIN region
         ON n_regionkey = r_regionkey)) ON sp = sp2""")
+
+# --- the whole spectrum table -------------------------------------------------------------
+
+_spectrum_layers = {"RichBirds": "ALL", "RichMamms": "SUPPLIERS", "RichStrigB": "BUILDING", "RichStrigNB": "FURNITURE",
+                    "RichAccB": "HOUSEHOLD", "RichAccNB": "MACHINERY"}
+
+
+def _of(name: str, **columns: str) -> str:
+    """Columns of the plain subquery ``name`` under new names, joined by diet."""
+    return "LEFT JOIN (SELECT DataSet, " + ", ".join(f"{c} AS {out}" for out, c in columns.items()) + f" FROM {name}) USING (DataSet)"
+
+
+def _share(condition: str) -> str:
+    return f"sum(CASE WHEN {condition} THEN CountInt ELSE 0 END) / CAST(sum(CountInt) AS DOUBLE)"
+
+
+_sums = f"""(SELECT DataSet, count(*) AS types, max(CountInt) / CAST(sum(CountInt) AS DOUBLE) AS top, ln(min(PreyMass)) AS least,
+    ln(max(PreyMass)) AS most, max(PreyMass) - min(PreyMass) AS reach, {_share("PreyClass = 'Aves'")} AS birds,
+    {_share("PreyClass = 'Mammalia'")} AS mammals, {_share("PreyClass = 'Insecta'")} AS insects,
+    {_share("PreyScientificName = 'Aves'")} AS plain_birds, {_share("PreyScientificName = 'Mammalia'")} AS plain_mammals
+  FROM enriched GROUP BY DataSet)"""
+_climate = """(SELECT l_suppkey AS DataSet, avg(l_discount) AS temp, avg(l_tax) AS season, avg(l_quantity) AS rain,
+  avg(l_extendedprice) AS rain_season FROM lineitem GROUP BY l_suppkey)"""
+_doubles = {
+    "Lat": "s_acctbal / 1000", "Long": "s_acctbal / 500", "rare_NT": None, "NetSpec": "-slope", "yInt": None, "MF": None,
+    "rare_MF": None, "sp50": "half", "Gini": None, "SE": None, "rare_SE": None, "Mass": "ln(abs(s_acctbal) + 1)", "MMF": "ln(top_mass)",
+    "MSP": None, "MLP": None, "MassRange": None, "RangeSize": None, "fBirds": None, "fMamms": None, "fIns": None,
+    "funidBird": "coalesce(funidBird, 0)", "funidMamm": "coalesce(funidMamm, 0)", "MOS": None, "SD": None, "Temp": None,
+    "Seasonality": None, "AnnPrecip": None, "PrecipSeason": None, "EqSplit": None, "FairProp": None}
+oracle("diet_spectrum_table", "enriched meta curve fits cells layers", f"""SELECT DataSet, ecozone AS "Order", Continent AS "Family",
+  split_part(Continent, '_', 2) AS Genus, Continent AS Species, {n('Num_obs', 'NumObs')}, {n('NumPreyTypes', 'NumPreyTypes')}, ID_MF,
+  {', '.join(r(source or out, out) for out, source in _doubles.items())},
+  {', '.join(n(f"(SELECT max(species) FROM layers l WHERE layer = '{layer}' AND l.POLYFID = c.POLYFID)", out)
+             for out, layer in _spectrum_layers.items())},
+  CAST((DataSet % 2 = 0)::INT + (DataSet % 3 = 0)::INT + (DataSet % 5 = 0)::INT AS BIGINT) AS NumHabs,
+  CAST(DataSet % 4 AS VARCHAR) AS Season, CAST(POLYFID % 14 AS BIGINT) AS Biome
+FROM meta JOIN (SELECT s_suppkey AS DataSet, s_acctbal FROM supplier) USING (DataSet) LEFT JOIN cells c USING (DataSet)
+  LEFT JOIN {_predators} ON Continent = n_name
+  {_of(_sums, NumPreyTypes='types', MF='top', MSP='least', MLP='most', MassRange='reach', fBirds='birds', fMamms='mammals',
+       fIns='insects', funidBird='plain_birds', funidMamm='plain_mammals')}
+  {_of(f"({rare_sql(100, 100)})", rare_NT='rare_richness', rare_MF='rare_top_frequency', rare_SE='rare_entropy')}
+  {_of('fits', slope='b', yInt='a')} {_of(f"({ORACLES['sp50']})", half='sp50')} {_of(f"({gini_sql('rank')})", Gini='gini')}
+  {_of(_entropy, SE='entropy')} {_of(f"({_top_items})", top_mass='top_item_mass', ID_MF='top_item_id_level')}
+  {_of(f"({_select})", MOS='max_overselected_size', SD='summed_deviance')}
+  {_of(_climate, Temp='temp', Seasonality='season', AnnPrecip='rain', PrecipSeason='rain_season')}""")
+
+
+def _fitted(model: Model) -> str:
+    """Fitted values, which stay put where near copies make the coefficients drift."""
+    design = _design(model)
+    p = len(design)
+    parts = "".join(f" + s_{i}_{p} * ({e} - m_{i})" for i, (_, e) in enumerate(design))
+    known = " AND ".join(f"({e}) IS NOT NULL" for _, e in design)
+    return f"""SELECT DataSet, '{model.label}' AS model, {r(f'CASE WHEN {known} THEN m_{p}{parts} END', 'fitted')}
+      FROM model_table, {sweep_sql('model_table', model.response, design)}"""
+
+
+oracle("ols_fitted_near_copies", "model_table",
+       " UNION ALL ".join(f"({_fitted(m)})" for m in model_list.OLS if model_list.near_copies(m)))

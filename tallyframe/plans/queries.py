@@ -704,6 +704,15 @@ def ols_formulas_near_copies(spark, d):
     return models.coefficient_table(spark, models.ols_many(model_table(spark, d), wanted))
 
 
+@query
+def ols_fitted_near_copies(spark, d):
+    """Fitted values of the models whose terms nearly copy each other; their coefficients are not stable."""
+    table = model_table(spark, d)
+    fits = models.ols_many(table, [m for m in model_list.OLS if model_list.near_copies(m)])
+    rows = [F.struct(F.lit(f.model.label).alias("model"), f.fitted().alias("fitted")) for f in fits]
+    return table.select(GROUP, F.explode(F.array(*rows)).alias("f")).select(GROUP, "f.*")
+
+
 @query
 def ols_r2(spark, d):
     return models.r2_table(spark, models.ols_many(model_table(spark, d), model_list.OLS))
