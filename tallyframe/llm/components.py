@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.session import stage_path
+from tallyframe.session import cut_lineage as staged
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder once and read from there."""
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "staged"]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
