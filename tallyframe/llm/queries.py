@@ -80,4 +80,23 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: Hashes, walks, models and random rounding have no SQL; these two results have.
+ORACLES: dict[str, str] = {
+    "op7_embedding_near_dedup": """WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS low FROM v UNION SELECT link.a, reach.low FROM reach JOIN link ON link.b = reach.vec_id)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, min(low) AS component_id, vec_id = min(low) AS kept
+FROM reach GROUP BY vec_id""",
+    "op10_substring_dedup": r"""WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT r, unnest(range(1, len(words) - 33)) AS s, words FROM d WHERE len(words) >= 35),
+windows AS (SELECT r, s, array_to_string(words[s:s + 34], ' ') AS passage FROM places),
+often AS (SELECT passage FROM windows GROUP BY passage HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, s + unnest(range(35)) AS p FROM windows WHERE passage IN (SELECT passage FROM often)),
+word AS (SELECT r, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM d)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT r, count(gone.p) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (gone.p IS NULL) AS kept
+                  FROM word LEFT JOIN gone USING (r, p) GROUP BY r) USING (r)""",
+}
