@@ -614,7 +614,7 @@ oracle("residuals", "model_table", f"""SELECT DataSet, {r('''dens_slopes - m_2 -
 def _interval(name: str, terms: tuple[str, ...], at: int) -> None:
     """Band along one term: the t quantile by halving, the other terms at their means."""
     p, along = len(terms), terms[at]
-    CTES[f"{name}_fit"] = f"""SELECT *, n - 1 - {p} AS df,
+    CTES[f"{name}_fit"] = f"""SELECT *, n - 1 - {' - '.join(f'CAST(k_{i} AS INT)' for i in range(p))} AS df,
       m_{p} + {' + '.join(f's_{i}_{p} * (0 - m_{i})' for i in range(p) if i == at)} AS base
       FROM {sweep_sql('model_table', 'l_ns', _design(Model('l_ns', terms)))}"""
     CTES[f"{name}_t"] = f"""SELECT df, CAST(0 AS DOUBLE) AS lo, CAST(1000 AS DOUBLE) AS hi, 0 AS k FROM {name}_fit
