@@ -1,15 +1,23 @@
-"""Quality by the perplexity under a Kneser-Ney model of trusted text.
-
-Characters fall into 44 classes, so a model of four classes in a row has at most
-44^4 entries however large the corpus is.  Counts of the trusted texts are summed on
-the cluster, sharded by context; joins with the context totals and with the shorter
-contexts give interpolated modified Kneser-Ney probabilities.  Texts are scored against
-the finished table, and a text whose perplexity lies outside the quantiles of the
-trusted texts of its language is rejected: too high is noise, too low is repetition.
+"""Quality by the perplexity under word models of trusted text, one per language.
+
+Words are taken as they are written: letters of any script, case and accents kept; in
+scripts without spaces each character is a word, and runs of marks and of line ends
+are words, too.  Pairs of neighbouring words of the trusted texts are counted per
+language; joins with the context totals and with the shorter contexts give interpolated
+modified Kneser-Ney probabilities, tables that grow with the corpus and stay on the
+cluster.  Single words fall back on those of all languages, and a word no trusted text
+has on its spelling in 44 classes of characters, four in a row.  The different pairs of
+all texts are priced once by joins, the counts of each text are joined with the prices.
+
+A text is scored by the model of the half of the trusted texts it is not in, so trusted
+texts are as new to their model as the others.  A text whose perplexity lies outside the
+quantiles of the trusted texts of its language is rejected: too high is noise, too low
+is repetition.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import words as W
-from tallyframe.llm.characters import code_points, letter_tables
+from tallyframe.llm.characters import SCRIPTS, code_points, letter_tables
 from tallyframe.llm.components import staged
 from tallyframe.operators.skew import sized_join
 
@@ -28,8 +36,15 @@ QUANTILES = (0.005, 0.99)
 SPACE, VOWEL, CONSONANT, OTHER_LETTER, DIGIT, LINE = 0, 27, 28, 29, 30, 31
 MARKS = ".", ",", ";:?'\"()-", "!", "*", "$", "%", "&", "#", "|", "@"
 CLASSES = 44
+_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for name in ("han", "kana", "thai", "lao", "khmer") for a, b in SCRIPTS[name])
+_UNSPACED += "\u1000-\u109f"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[^\w\s]+|\n+")
 #: Fewer trusted texts of a language than this have no quantiles of their own.
 LEAST_TRUSTED = 50
+#: Chance that the next word goes by what the text itself has done before.
+CACHE = 0.2
+#: So many characters of usual perplexity are thought to be added to each text, so few characters do not decide.
+PRIOR_CHARS = 20.0
 
 
 def class_table() -> np.ndarray:
@@ -135,29 +150,187 @@ def cost_table(model: list[DataFrame]) -> np.ndarray:
     return (-np.log(lower)).astype(np.float32)
 
 
-def perplexities(docs: DataFrame, costs: np.ndarray) -> DataFrame:
-    """``docs`` (with text) without text and with perplexity; null for a text without characters."""
-    shared = docs.sparkSession.sparkContext.broadcast({"costs": costs, "table": class_table()})
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+def character_costs(texts: DataFrame) -> np.ndarray:
+    """-log p of each code point within its class, from its counts; at most one row a code point is collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            for _, _, part, at in W.pieces(*W.string_parts(batch.column(0))):
+                total += np.bincount(code_points(part, at)[0], minlength=len(total))
+        point = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(point, pa.int32()), pa.array(total[point])], ["point", "n"])
+
+    counts, table = np.full(0x110000, 0.5), class_table()
+    for r in texts.select("text").mapInArrow(run, "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n")).collect():
+        counts[r["point"]] += r["n"]
+    return -np.log(counts / np.bincount(table, counts, CLASSES)[table]).astype(np.float32)
+
+
+def spelling_costs(words: list[str], costs: np.ndarray, table: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """-log p of the spelling of each word, its end included: of the classes, and of the characters ``within`` them."""
+    buf, off = W.string_parts(pa.array([f" {w} " for w in words], pa.string()))
+    code, at = gram_codes(buf, off, table)
+    total = np.zeros(len(code) + 1)
+    np.cumsum(costs[code] + within[code_points(buf, off)[0]], dtype=np.float64, out=total[1:])
+    return total[at[1:]] - total[at[:-1] + 1]
+
+
+def word_pairs(texts: list[str], sides: np.ndarray, costs: np.ndarray, table: np.ndarray,
+               within: np.ndarray) -> dict[str, np.ndarray]:
+    """The different pairs of neighbouring words of each text: text, pair, before, word, n,
+    the share of the pair, its first use left out, in the text's uses of before, and the spelling cost of word.
+
+    ``before`` and ``word`` are hashes, the first word stands behind 0; ``pair`` is a hash of side, before and word.
+    """
+    known: dict[str, int] = {}
+    ids, size = [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        found = _WORD.findall(text)
+        size[k] = len(found)
+        ids += [known.setdefault(w, len(known)) for w in found]
+    if not ids:
+        return {c: np.zeros(0, np.int64) for c in ("text", "pair", "before", "word", "n", "again", "spelling")}
+    words = list(known)
+    buf, off = W.string_parts(pa.array(words, pa.string()))
+    hashes = W.word_hashes(buf, off[:-1], off[1:])
+    at = np.array(ids)
+    text = np.repeat(np.arange(len(texts)), size)
+    before = np.zeros(len(at), np.uint64)
+    before[1:] = hashes[at[:-1]]
+    before[(np.cumsum(size) - size)[size > 0]] = 0
+    base = np.uint64(W.BASE)
+    pair = W.mix(W.mix(W.mix(sides.view(np.uint64))[text] * base + before) * base + hashes[at])
+    order = np.lexsort((pair, text))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (text[order[1:]] != text[order[:-1]]) | (pair[order[1:]] != pair[order[:-1]])
+    some = order[new]
+    n = np.diff(np.append(np.flatnonzero(new), len(order)))
+    _, context = np.unique(W.mix(before[some] ^ W.mix(text[some].astype(np.uint64))), return_inverse=True)
+    again = (n - 1) / np.bincount(context, n)[context]
+    return {"text": text[some], "pair": pair[some].view(np.int64), "before": before[some].view(np.int64),
+            "word": hashes[at[some]].view(np.int64), "n": n, "again": again,
+            "spelling": spelling_costs(words, costs, table, within)[at[some]]}
+
+
+_PAIRS = "pair bigint, half int, side bigint, before bigint, word bigint, n bigint, again double, spelling double"
+
+
+def pair_rows(docs: DataFrame, costs: np.ndarray, within: np.ndarray) -> DataFrame:
+    """A row per text and different pair of words of ``docs`` (row, doc_id, lang, half, side, text).
+
+    The first row of a text has doc_id, lang and chars, which are null in the others; a
+    text without words has one row without a word.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({"costs": costs, "table": class_table(), "within": within})
+    names = ["row", "doc_id", "lang", "chars", *[c.split()[0] for c in _PAIRS.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            buf, off = W.string_parts(batch.column("text"))
-            parts = [np.zeros(0)]
-            for _, _, part, cut in W.pieces(buf, off):
-                code, at = gram_codes(part, cut, held["table"])
-                total = np.zeros(len(code) + 1)
-                np.cumsum(held["costs"][code], dtype=np.float64, out=total[1:])
-                size = np.diff(at)
-                parts.append(np.where(size > 0, np.exp((total[at[1:]] - total[at[:-1]]) / np.maximum(size, 1)), np.nan))
-            value = np.concatenate(parts)
-            columns = [batch.column(f.name) for f in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value, mask=np.isnan(value))],
-                                             [*[f.name for f in rest], "perplexity"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.mapInArrow(run, f"{fields}, perplexity double")
+            _, off = W.string_parts(batch.column("text"))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(off, off[low] + W.PIECE_BYTES, "right")) - 1)
+                part = batch.slice(low, high - low)
+                low = high
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                sides = part.column("side").to_numpy()
+                got = word_pairs(texts, sides, held["costs"], held["table"], held["within"])
+                bare = np.setdiff1d(np.arange(len(texts)), got["text"])
+                text = np.concatenate([got["text"], bare])
+                order = np.argsort(text, kind="stable")
+                text, real = text[order], order < len(got["text"])
+                lead = np.ones(len(text), dtype=bool)
+                lead[1:] = text[1:] != text[:-1]
+
+                def column(name: str, fill: np.ndarray, mask: bool = False) -> pa.Array:
+                    return pa.array(np.concatenate([got[name], fill])[order], mask=~real if mask else None)
+
+                def first(values: pa.Array) -> pa.Array:
+                    return values.take(pa.array(text, mask=~lead))
+
+                rows = part.column("row")
+                zero = np.zeros(len(bare), np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    rows.take(pa.array(text)), first(part.column("doc_id")), first(part.column("lang")),
+                    first(pa.array([len(t) for t in texts], pa.int64())),
+                    column("pair", W.mix(rows.to_numpy()[bare].view(np.uint64)).view(np.int64)),
+                    part.column("half").take(pa.array(text)), part.column("side").take(pa.array(text)),
+                    column("before", zero, True), column("word", zero, True), column("n", zero), column("again", zero.astype(float)),
+                    column("spelling", zero.astype(float), True)], names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return docs.mapInArrow(run, f"row bigint, doc_id {kinds['doc_id']}, lang {kinds['lang']}, chars bigint, {_PAIRS}")
+
+
+def discounted(counts: DataFrame, context: list[str], model: str) -> tuple[DataFrame, DataFrame]:
+    """(``counts`` with ``share``, contexts with ``rest``): Kneser-Ney shares of the seen and the mass left to the shorter context.
+
+    ``counts`` has n; the discounts are those of each ``model`` (a column).
+    """
+    of = counts.groupBy(model).agg(*[F.sum((F.col("n") == r).cast("double")).alias(f"n{r}") for r in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    of = of.select(model, *[
+        F.when((F.col("n1") > 0) & (F.col(f"n{r}") > 0),
+               F.least(F.greatest(r - (r + 1) * y * F.col(f"n{r + 1}") / F.col(f"n{r}"), F.lit(0.1)), F.lit(r - 0.05))
+               ).otherwise(0.5).alias(f"d{r}") for r in (1, 2, 3)])
+    off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    counts = sized_join(counts, of, [model]).withColumn("off", off).drop("d1", "d2", "d3")
+    totals = staged(counts.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("rest")), "totals")
+    shares = counts.join(totals.select(*context, "total"), context).withColumn("share", (F.col("n") - F.col("off")) / F.col("total"))
+    return staged(shares.drop("n", "off", "total"), "shares"), totals.drop("total")
+
+
+def pair_costs(pairs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(pair, cost): -log p of the word behind the one before, of all different ``pairs``.
+
+    Pairs, then words of the language, then words of all languages, then the spelling.
+    """
+    counts = staged(trusted.groupBy("pair", "half", "side", "before", "word").agg(F.sum("n").alias("n")), "counts")
+    words = staged(counts.groupBy("half", "side", "word").agg(F.count("*").alias("n")), "counts")
+    every = staged(words.groupBy("half", "word").agg(F.sum("n").alias("n")), "counts")
+    share2, rest2 = discounted(counts, ["side", "before"], "side")
+    share1, rest1 = discounted(words, ["side"], "side")
+    share0, rest0 = discounted(every, ["half"], "half")
+    out = pairs.join(share2.select("pair", F.col("share").alias("s2")), "pair", "left")
+    out = out.join(rest2.withColumnRenamed("rest", "r2"), ["side", "before"], "left")
+    out = out.join(share1.select("side", "word", F.col("share").alias("s1")), ["side", "word"], "left")
+    out = out.join(share0.select("half", "word", F.col("share").alias("s0")), ["half", "word"], "left")
+    out = sized_join(out, rest1.withColumnRenamed("rest", "r1"), ["side"], "left")
+    out = sized_join(out, rest0.withColumnRenamed("rest", "r0"), ["half"], "left")
+    s2, s1, s0 = (F.coalesce(c, F.lit(0.0)) for c in ("s2", "s1", "s0"))
+    r2, r1, r0 = (F.coalesce(c, F.lit(1.0)) for c in ("r2", "r1", "r0"))
+    seen = s2 + r2 * (s1 + r1 * s0)
+    cost = F.when(seen > 0, -F.log(seen + r2 * r1 * r0 * F.exp(-F.col("spelling")))).otherwise(F.col("spelling") - F.log(r2 * r1 * r0))
+    return out.select("pair", cost.alias("cost"))
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, lang, text): doc_id, lang, chars and perplexity; null for a text without words.
+
+    Repeats of a pair in a text are cheap, by the share they have in it, so repetition has a low perplexity.
+    """
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    lang = F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))
+
+    def halves(of: DataFrame, other: bool) -> DataFrame:
+        # A text is counted in its own half and priced by the other one.
+        of = of.withColumn("half", 1 - half if other else half)
+        return of.withColumn("side", F.xxhash64("half", lang)).withColumn("row", F.monotonically_increasing_id())
+
+    texts = staged(sized_join(docs, trusted_ids, ["doc_id"]), "trusted")
+    spelling = cost_table(kneser_ney(count_grams(texts))), character_costs(texts)
+    trusted = pair_rows(halves(texts, False), *spelling).filter("word is not null")
+    rows = pair_rows(halves(docs, True), *spelling)
+    different = rows.filter("word is not null").select("pair", "half", "side", "before", "word", "spelling").dropDuplicates(["pair"])
+    prices = pair_costs(different, trusted)
+    repeat = -F.log((1 - CACHE) * F.exp(-F.col("cost")) + CACHE * F.col("again"))
+    joined = rows.select("row", "doc_id", "lang", "chars", "pair", "n", "again").join(prices, "pair", "left")
+    found = joined.groupBy("row").agg(
+        F.first("doc_id", True).alias("doc_id"), F.first("lang", True).alias("lang"),
+        F.max("chars").alias("chars"), F.sum(F.col("cost") + (F.col("n") - 1) * repeat).alias("total"))
+    return found.select("doc_id", "lang", "chars", F.exp(F.col("total") / F.col("chars")).alias("perplexity"))
 
 
 def classify_quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -167,25 +340,29 @@ def classify_quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc
 
     ``trusted_ids`` has the ids of the texts to learn from (column as ``id_col``); all of
     them are counted.  The limits are quantiles of the perplexity of the trusted texts of
-    the same language; a null language is one of its own; a language with fewer than
+    the same language, wider for texts of few characters; a null language is one of its own; a language with fewer than
     ``least_trusted`` of them has the limits of all trusted texts.  A null or empty text has
-    no perplexity and is not kept; without trusted texts there are no limits and every text
+    no perplexity and is not kept, nor has a text without words; without trusted texts there are no limits and every text
     with characters is kept.  Very long texts are read whole; repeated rows and null ids are
     rows of their own; other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     trusted_ids = trusted_ids.select(F.col(id_col).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
-    trusted = sized_join(docs.select("doc_id", "text"), trusted_ids, ["doc_id"])
-    costs = cost_table(kneser_ney(count_grams(trusted)))
-    scored = staged(perplexities(docs, costs).withColumn(
+    scored = staged(perplexities(docs, trusted_ids).withColumn(
         "key", F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))), "scored")
-    known = sized_join(scored.filter("perplexity is not null").select("doc_id", "key", "perplexity"), trusted_ids, ["doc_id"])
-    limits = [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]
+    logs = scored.withColumn("x", F.log("perplexity"))
+    known = staged(sized_join(logs.filter("x is not null").select("doc_id", "key", "x", "chars"), trusted_ids, ["doc_id"]), "known")
+    middle = F.percentile_approx("x", 0.5, 10_000)
+    pooled = F.lit(known.agg(middle).first()[0]).cast("double")
+    own = known.groupBy("key").agg(middle.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= least_trusted).drop("n")
+    part = F.when(F.col("chars") > 0, F.col("chars") / (F.col("chars") + PRIOR_CHARS))
+    known = sized_join(known, own, ["key"], "left").withColumn("apart", (F.col("x") - F.coalesce("own", pooled)) * part)
+    limits = [F.percentile_approx("apart", q, 10_000) for q in quantiles]
     everything = known.agg(*limits).first()
-    own = known.groupBy("key").agg(limits[0].alias("low"), limits[1].alias("high"), F.count("*").alias("n")).filter(
-        F.col("n") >= least_trusted).drop("n")
-    joined = sized_join(scored, own, ["key"], "left")
-    lowest, highest = (F.coalesce(c, F.lit(v).cast("double")) for c, v in zip(("low", "high"), everything))
+    own = known.filter("own is not null").groupBy("key").agg(F.first("own").alias("own"), limits[0].alias("low"), limits[1].alias("high"))
+    joined = sized_join(logs, own, ["key"], "left")
+    lowest, highest = (F.exp(F.coalesce("own", pooled) + F.coalesce(c, F.lit(v).cast("double")) / part)
+                       for c, v in zip(("low", "high"), everything))
     inside = F.coalesce(F.col("perplexity") >= lowest, F.lit(True)) & F.coalesce(F.col("perplexity") <= highest, F.lit(True))
     return joined.select("doc_id", "lang", "perplexity", lowest.alias("lowest"), highest.alias("highest"),
                          (F.col("perplexity").isNotNull() & inside).alias("kept"))

@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,32 @@ def test_noise_and_repetition_go(spark, make_docs, prose, edges):
     nothing = Q.classify_quality(make_docs(rows[:5]), trusted.filter("doc_id > 9000")).collect()
     assert [r.kept for r in nothing] == [True] * 5
     assert Q.classify_quality(make_docs(rows).limit(0), trusted).collect() == []
+
+
+def test_words_and_their_order_count_in_any_script(spark, make_docs):
+    rng = random.Random(3)
+    rows, swap = [], str.maketrans("абвгдежзиклмнопрст", "тсрпонмлкизжедгвба")
+    words = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    after = {w: rng.sample(words, 2) for w in words}
+
+    def text(ordered=True):
+        out = [rng.choice(words)]
+        while len(out) < 60:
+            out.append(rng.choice(after[out[-1]]))
+        if not ordered:
+            rng.shuffle(out)
+        return " ".join(out)
+
+    rows = [(k, text(), "ru") for k in range(300)] + [(1000 + k, text().translate(swap), "ru") for k in range(10)]
+    rows += [(1100 + k, text(False), "ru") for k in range(10)]
+    trusted = spark.createDataFrame([(k,) for k in range(200)], "doc_id bigint")
+    kept = {r.doc_id: r.kept for r in Q.classify_quality(make_docs(rows), trusted).collect()}
+    assert sum(kept[k] for k in range(200, 300)) >= 90
+    assert not any(kept[1000 + k] or kept[1100 + k] for k in range(10))
+
+
+def test_pair_costs_are_kneser_ney():
+    got = Q.word_pairs(["Ab cd Ab cd.", "", "漢字 x"], np.array([1, 1, 2]), np.ones(Q.CLASSES**Q.ORDER, np.float32), Q.class_table(),
+                       np.zeros(0x110000, np.float32))
+    assert np.bincount(got["text"], got["n"]).tolist() == [5, 0, 3]
+    assert sorted(got["n"].tolist()) == [1, 1, 1, 1, 1, 1, 2]
