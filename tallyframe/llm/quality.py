@@ -39,8 +39,8 @@ CLASSES = 44
 _UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for name in ("han", "kana", "thai", "lao", "khmer") for a, b in SCRIPTS[name])
 _UNSPACED += "\u1000-\u109f"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[^\w\s]+|\n+")
-#: Fewer trusted texts of a language than this have no quantiles of their own.
-LEAST_TRUSTED = 50
+#: The limits of a language count as much as the pooled ones with so many trusted texts; its level does with LEVEL_SHRINK.
+SHRINK, LEVEL_SHRINK = 50.0, 2.0
 #: Chance that the next word goes by what the text itself has done before.
 CACHE = 0.2
 #: So many characters of usual perplexity are thought to be added to each text, so few characters do not decide.
@@ -335,13 +335,16 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 
 def classify_quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      lang_col: str = "lang", quantiles: tuple[float, float] = QUANTILES,
-                     least_trusted: int = LEAST_TRUSTED) -> DataFrame:
+                     shrink: float = SHRINK) -> DataFrame:
     """Per row of ``docs``: doc_id, lang, perplexity (per character), lowest and highest allowed, and kept.
 
     ``trusted_ids`` has the ids of the texts to learn from (column as ``id_col``); all of
-    them are counted.  The limits are quantiles of the perplexity of the trusted texts of
-    the same language, wider for texts of few characters; a null language is one of its own; a language with fewer than
-    ``least_trusted`` of them has the limits of all trusted texts.  A null or empty text has
+    them are counted.  Perplexities are compared by their logarithm with the level of the
+    language: the median of its trusted texts, with the median of all its texts as
+    LEVEL_SHRINK texts more.  The limits are quantiles of what trusted texts are apart from
+    that, of the language and of all languages, which count as ``shrink`` texts more; so
+    one rule holds for any number of trusted texts, also none.  Limits are wider for texts
+    of few characters; a null language is one of its own.  A null or empty text has
     no perplexity and is not kept, nor has a text without words; without trusted texts there are no limits and every text
     with characters is kept.  Very long texts are read whole; repeated rows and null ids are
     rows of their own; other columns are not looked at.
@@ -353,16 +356,20 @@ def classify_quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc
     logs = scored.withColumn("x", F.log("perplexity"))
     known = staged(sized_join(logs.filter("x is not null").select("doc_id", "key", "x", "chars"), trusted_ids, ["doc_id"]), "known")
     middle = F.percentile_approx("x", 0.5, 10_000)
-    pooled = F.lit(known.agg(middle).first()[0]).cast("double")
-    own = known.groupBy("key").agg(middle.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= least_trusted).drop("n")
+    n = F.coalesce("n", F.lit(0))
+    levels = logs.groupBy("key").agg(middle.alias("all")).join(
+        known.groupBy("key").agg(middle.alias("own"), F.count("*").alias("n")), "key", "left")
+    levels = staged(levels.select("key", n.alias("n"), (
+        (n * F.coalesce("own", F.lit(0.0)) + LEVEL_SHRINK * F.col("all")) / (n + LEVEL_SHRINK)).alias("level")), "levels")
     part = F.when(F.col("chars") > 0, F.col("chars") / (F.col("chars") + PRIOR_CHARS))
-    known = sized_join(known, own, ["key"], "left").withColumn("apart", (F.col("x") - F.coalesce("own", pooled)) * part)
+    known = sized_join(known, levels, ["key"]).withColumn("apart", (F.col("x") - F.col("level")) * part)
     limits = [F.percentile_approx("apart", q, 10_000) for q in quantiles]
     everything = known.agg(*limits).first()
-    own = known.filter("own is not null").groupBy("key").agg(F.first("own").alias("own"), limits[0].alias("low"), limits[1].alias("high"))
-    joined = sized_join(logs, own, ["key"], "left")
-    lowest, highest = (F.exp(F.coalesce("own", pooled) + F.coalesce(c, F.lit(v).cast("double")) / part)
-                       for c, v in zip(("low", "high"), everything))
+    own = known.groupBy("key").agg(limits[0].alias("low"), limits[1].alias("high"))
+    joined = sized_join(logs, levels.join(own, "key", "left"), ["key"], "left")
+    lowest, highest = (
+        F.exp(F.col("level") + (n * F.coalesce(c, F.lit(0.0)) + shrink * F.lit(v).cast("double")) / (n + shrink) / part)
+        for c, v in zip(("low", "high"), everything))
     inside = F.coalesce(F.col("perplexity") >= lowest, F.lit(True)) & F.coalesce(F.col("perplexity") <= highest, F.lit(True))
     return joined.select("doc_id", "lang", "perplexity", lowest.alias("lowest"), highest.alias("highest"),
                          (F.col("perplexity").isNotNull() & inside).alias("kept"))

@@ -103,3 +103,14 @@ def test_pair_costs_are_kneser_ney():
                        np.zeros(0x110000, np.float32))
     assert np.bincount(got["text"], got["n"]).tolist() == [5, 0, 3]
     assert sorted(got["n"].tolist()) == [1, 1, 1, 1, 1, 1, 2]
+
+
+def test_rare_language_has_limits_near_its_own_level(spark, make_docs, prose):
+    rng = random.Random(8)
+    rows = [(k, prose(60, k), "en") for k in range(300)]
+    rows += [(1000 + k, " ".join("".join(rng.choice("αβγδεζηθικλμνξοπρσ") for _ in range(rng.randint(2, 9))) for _ in range(60)), "el")
+             for k in range(60)]
+    for few in (0, 5, 20):
+        trusted = spark.createDataFrame([(k,) for k in range(200)] + [(1000 + k,) for k in range(few)], "doc_id bigint")
+        found = Q.classify_quality(make_docs(rows), trusted).collect()
+        assert sum(r.kept for r in found if r.doc_id >= 1020) >= 20
