@@ -27,6 +27,8 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 RAW = frozenset("script style noscript template svg math iframe object audio video canvas textarea select title head".split())
+#: Of these the text runs on to the end of the page if they are never closed.
+RAW_TEXT = frozenset("script style noscript iframe textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split())
@@ -48,6 +50,9 @@ AWAY = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar comment "
     "comments commentlist reply replies respond disqus discussion copyright legal disclaimer skip search hidden "
     "complementary contentinfo teaser outbrain taboola form toc tags hide".split())
+#: Names that say little as part of a longer one (overflow-hidden, more-space), and parts that make it a layout (has-sidebar).
+ALONE = frozenset("hidden hide more side skip follow search legal popular share rail reply register".split())
+LAYOUT = frozenset("has have no not non with without by is overflow".split())
 TOWARDS = frozenset("article content post entry story main body text articlebody maincontent prose".split())
 NAME_AWAY, NAME_TOWARDS, HIDDEN = -14.0, 2.5, -20.0
 BIAS, LINKED, PER_WORD, MOST_WORDS, SENTENCE, MARK, HEADING = -0.6, -5.0, 0.12, 25, 0.8, -4.0, 0.8
@@ -55,12 +60,25 @@ NEXT, NEAR, SIBLING = 0.2, 0.8, 0.5
 _MARK = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.IGNORECASE)
 
 
+def _names(value: str) -> tuple[set[str], set[str]]:
+    """(whole names, parts of longer names) of an attribute; layout names have no parts that count."""
+    whole, parts = {name.lower() for name in value.split()}, set()
+    for name in value.split():
+        found = [p.lower() for p in _NAME_PART.findall(name)]
+        if len(found) > 1 and not LAYOUT.intersection(found):
+            parts.update(p for p in found if p not in ALONE)
+        elif len(found) == 1:
+            whole.update(found)
+    return whole, parts
+
+
 def _element_weight(tag: str, attributes: str, inside: float) -> float:
     """What an element adds to the score of all blocks below it."""
     weight = ELEMENTS.get(tag, 0.0)
     if tag == "header" and inside >= 4.0:
         weight = 0.0  # the head of the article, not of the site
     if attributes:
+        named: list[tuple[set[str], set[str]]] = []
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("hidden", "aria-hidden"):
@@ -68,11 +86,13 @@ def _element_weight(tag: str, attributes: str, inside: float) -> float:
             elif name == "style":
                 weight += HIDDEN if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) else 0.0
             else:
-                parts = {p.lower() for p in _NAME_PART.findall(value)} | {value.lower()}
-                if parts & AWAY and tag not in ("body", "html"):
-                    weight += NAME_AWAY
-                elif parts & TOWARDS:
-                    weight += NAME_TOWARDS
+                named.append(_names(value))
+        aims = tag in ("article", "main") or any(whole & TOWARDS for whole, _ in named)
+        for whole, parts in named:
+            if (whole & AWAY or parts & AWAY and not aims) and tag not in ("body", "html"):
+                weight += NAME_AWAY
+            elif (whole | parts) & TOWARDS:
+                weight += NAME_TOWARDS
     return weight
 
 
@@ -135,7 +155,7 @@ def blocks_of(page: str) -> list[Block]:
                     at = (stop.start() if stop and stop.group().lower().startswith("<body") else stop.end() if stop else at)
                 else:
                     stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                    at = stop.end() if stop else end
+                    at = stop.end() if stop else end if tag in RAW_TEXT else at
             continue
         if tag == "br":
             parts.append(" ")

@@ -46,3 +46,21 @@ def test_operator(spark):
     assert sorted((str(r.page_id), str(r.url), r.text) for r in found) == sorted((str(a), str(b), X.main_text(c)) for a, b, c in rows)
     assert all(r.n_chars == len(r.text) for r in found)
     assert X.extract_main_text(pages.limit(0)).collect() == []
+
+LONG = "The long text of an article with its many words, which go on and on for a while, as every article's words must do here."
+
+
+@pytest.mark.parametrize("names", ["article overflow-hidden", "layout has-sidebar", "content no-sidebar", "post more-space", "col side-by-side"])
+def test_layout_names_do_not_cut_the_article(names):
+    assert X.main_text(f'<body><div class="{names}"><article><p>{LONG}</p></article></div></body>') == LONG
+    assert X.main_text(f'<body><article class="{names}"><p>{LONG}</p></article></body>') == LONG
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "related-posts", "commentList", "site_footer"])
+def test_names_of_surroundings_cut(name):
+    assert X.main_text(f'<body><article><p>{LONG}</p></article><div class="{name}"><p>{LONG}</p></div></body>') == LONG
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "video", "audio", "select"])
+def test_unclosed_element_is_skipped_alone(tag):
+    assert X.main_text(f"<body><article><{tag}><p>{LONG}</p></article></body>") == LONG
