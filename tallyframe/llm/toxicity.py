@@ -126,22 +126,25 @@ def decode(observed: str, costs: list[float]) -> str:
     return "".join(reversed(out))
 
 
-_IS_LETTER = np.zeros(256, dtype=bool)
-_IS_LETTER[[b for b in range(256) if b >= 0x80 or chr(b).isalpha()]] = True
-_LIKE = np.zeros(256, dtype=bool)
-_LIKE[[ord(c) for c in LOOK_ALIKES if ord(c) < 128]] = True
-_STRONG = np.zeros(256, dtype=bool)
-_STRONG[[ord(c) for c in LOOK_ALIKES if c.isdigit() or c == "@"]] = True
+_LIKE = np.array(sorted(ord(c) for c in LOOK_ALIKES), np.uint32)
+_STRONG = np.array(sorted(ord(c) for c in LOOK_ALIKES if c.isdigit() or c in "@€£"), np.uint32)
+#: Bytes of a character by its first byte.
+_WIDTH = np.select([np.arange(256) < 0xC0, np.arange(256) < 0xE0, np.arange(256) < 0xF0], [1, 2, 3], 4)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans that show signs of disguise: look-alikes among letters, long repeats, letters set apart."""
+    """Byte spans that show signs of disguise: marks or look-alikes among letters, repeats, letters set apart."""
     start, end, first = W.spans(buf, off)
     if not len(start):
         return []
-    letter, low = _IS_LETTER[buf], _LOWER[buf]
+    points, _ = code_points(buf, off)
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    kinds = folded()[points] > 0
+    looks = np.isin(points, _LIKE)
+    letter, like = np.zeros(len(buf), dtype=bool), np.zeros(len(buf), dtype=bool)
+    letter[lead], like[lead] = kinds, looks
     total = np.zeros(len(buf) + 1, np.int32)
     np.cumsum(letter, out=total[1:])
     sign = np.zeros(len(start), dtype=bool)
@@ -149,22 +152,22 @@ def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
     def word_of(at: np.ndarray) -> np.ndarray:
         return np.searchsorted(start, at, "right") - 1
 
-    at = np.flatnonzero(_LIKE[buf])
+    at = lead[~kinds & ((buf[lead] > 0x20) | (buf[lead] < 0x09))]
+    word = np.maximum(word_of(at), 0)
+    inside = (at < end[word]) & (total[end[word]] > total[at]) & (total[at] > total[start[word]])
+    sign[word[inside]] = True
+    at = lead[looks]
     word = word_of(at)
-    inside = (total[end[word]] > total[at]) & (total[at] > total[start[word]])
-    strong = _STRONG[buf[at]] & (total[end[word]] > total[start[word]])
+    strong = np.isin(points[looks], _STRONG) & (total[end[word]] > total[start[word]])
     leads = (at == start[word]) & (total[end[word]] > total[at])
-    sign[word[inside | strong | leads]] = True
-    if len(buf) > 4:
-        at = np.flatnonzero((low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2] & (buf[:-2] < 0x80))
-        sign[word_of(at)] = True
-        apart = letter[:-4] & ~letter[1:-3] & letter[2:-2] & ~letter[3:-1] & letter[4:]
-        word = word_of(np.flatnonzero(apart))
-        at = np.flatnonzero(apart)
-        sign[word[at + 5 <= end[word]]] = True
+    sign[word[strong | leads]] = True
+    small = letter_tables()[1][points]
+    word = np.maximum(word_of(lead), 0)
+    twice = kinds[1:] & (small[1:] == small[:-1]) & (word[1:] == word[:-1])
+    sign[word[:-1][twice]] = True
     # Three or more single characters in a row.
     size = end - start
-    single = (size == 1) & (letter[start] | _LIKE[buf[start]]) | (size == 2) & (buf[start] >= 0xC3)
+    single = (size == 1) & (letter[start] | like[start]) | (size > 1) & (letter[start] | like[start]) & (size == _WIDTH[buf[start]])
     begin, stop, _ = runs(single, first)
     many = stop - begin >= 3
     spans = [(int(start[a]), int(end[b - 1])) for a, b in zip(begin[many].tolist(), stop[many].tolist())]

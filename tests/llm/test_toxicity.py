@@ -98,3 +98,17 @@ def test_without_labels_and_empty(spark, make_docs, prose):
 def test_copies_count_once():
     keys = np.array([[1, 2, 3, 4], [9, 2, 8, 7], [5, 6, 10, 11], [12, 13, 10, 14], [20, 21, 22, 23]], np.uint64)
     assert T.copy_groups(keys).tolist() == [0, 0, 2, 2, 4]
+
+
+@pytest.mark.parametrize("observed", ["sc-um", "stu.pid", "i--d--i--o--t", "iiddiioott", "s·cum", "id​iot", "st€pid", "foo£", "mоr-on"])
+def test_signs_inside_a_word_are_seen(observed):
+    text = f"this one {observed} here"
+    spans = T.disguised(*W.string_parts(pa.array([text])))
+    assert [text.encode()[a:b].decode() for a, b in spans] == [observed]
+
+
+@pytest.mark.parametrize("observed, restored", [("sc-um", "scum"), ("stu.pid", "stupid"), ("i--d--i--o--t", "idiot"),
+                                                ("iiddiioott", "idiot"), ("s·cum", "scum"), ("id​iot", "idiot")])
+def test_signs_inside_a_word_are_decoded(costs, observed, restored):
+    new, _, found = T.restore(*W.string_parts(pa.array([f"this one {observed} here"])), costs, {})
+    assert new.tobytes().decode() == f"this one {restored} here" and found == [(0, observed, restored)]
