@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, embeddings, extraction, language, mixing, quality, simhash, substrings, token_counts, toxicity
+from tallyframe.llm import (
+    decontamination,
+    embeddings,
+    extraction,
+    language,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    substrings,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +79,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = secrets.train(secrets.labelled_strings(docs))
+    found = secrets.scan_secrets(docs, model)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_random",
+                        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+                        secrets.joined(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -78,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_secret_scans": op13_secret_scans,
 }
 
 #: Hashes, walks, models and random rounding have no SQL; these two results have.
