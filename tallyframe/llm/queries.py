@@ -13,6 +13,7 @@ from tallyframe.llm import (
     extraction,
     language,
     mixing,
+    negatives,
     quality,
     secrets,
     simhash,
@@ -79,6 +80,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = secrets.train(secrets.labelled_strings(docs))
@@ -99,10 +106,11 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_secret_scans": op13_secret_scans,
 }
 
-#: Hashes, walks, models and random rounding have no SQL; these two results have.
+#: Hashes, walks, models and random rounding have no SQL; these results have.
 ORACLES: dict[str, str] = {
     "op7_embedding_near_dedup": """WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -121,4 +129,16 @@ word AS (SELECT r, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FRO
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT r, count(gone.p) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (gone.p IS NULL) AS kept
                   FROM word LEFT JOIN gone USING (r, p) GROUP BY r) USING (r)""",
+    "op12_hard_negatives": """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.q) = len(v.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
 }
