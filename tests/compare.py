@@ -37,7 +37,7 @@ def _ordered(columns, rows):
 
 def _kind(text: str) -> str:
     text = text.upper()
-    return {"LONG": "BIGINT", "VARCHAR": "STRING"}.get(text, text)
+    return {"LONG": "BIGINT", "VARCHAR": "STRING", "INTEGER": "INT"}.get(text, text)
 
 
 def differences(df, con, sql: str, tolerance: float = 0.0) -> list[str]:
