@@ -81,10 +81,29 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 _STAGES: list[str] = []
 
 
+def drop_stage(*frames: DataFrame) -> None:
+    """Delete the stages that ``frames`` read, for jobs of many steps; nothing may read them any more.
+
+    Shuffle files go when the driver's JVM finds that no plan refers to them, so it is asked to look.
+    """
+    for df in frames:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        for path in [p for p in _STAGES if any(p.rsplit("/", 1)[-1] in file for file in files)]:
+            _STAGES.remove(path)
+            _delete(spark, path)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear_stages(spark: SparkSession) -> int:
     """Delete what :func:`cut_lineage` has written; call it when results that read it are done."""
     paths, _STAGES[:] = list(_STAGES), []
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     return len(paths)
