@@ -14,6 +14,7 @@ from tallyframe.llm import (
     language,
     mixing,
     negatives,
+    phrases,
     quality,
     secrets,
     simhash,
@@ -80,6 +81,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -106,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_secret_scans": op13_secret_scans,
 }
@@ -129,6 +135,25 @@ word AS (SELECT r, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FRO
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT r, count(gone.p) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (gone.p IS NULL) AS kept
                   FROM word LEFT JOIN gone USING (r, p) GROUP BY r) USING (r)""",
+    "op11_phrase_collocations": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+piece AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (SELECT lang, size, unnest([w[s:s + size - 1] for s in range(1, len(w) - size + 2)]) AS g
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS size)),
+f AS (SELECT lang, g, len(g) AS size, count(*) AS a FROM gram GROUP BY lang, g),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+often AS (SELECT * FROM f WHERE a >= 30),
+wider AS (SELECT lang, sub, max(a) AS most FROM (
+  SELECT lang, a, unnest([g[s:s + k - 1] for k in range(2, size) for s in range(1, size - k + 2)]) AS sub FROM often) GROUP BY lang, sub),
+cut AS (SELECT c.lang, c.g, c.a, k, lf.a AS l, rf.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (lf.a + rf.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1) c
+  JOIN f lf ON lf.lang = c.lang AND lf.g = c.g[1:k] JOIN f rf ON rf.lang = c.lang AND rf.g = c.g[k + 1:size]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1)
+SELECT cut.lang AS lang, row_number() OVER (PARTITION BY cut.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM cut JOIN n ON n.lang = cut.lang LEFT JOIN wider ON wider.lang = cut.lang AND wider.sub = cut.g
+WHERE most IS NULL OR 100 * most < 80 * a QUALIFY rank <= 2000""",
     "op12_hard_negatives": """WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
     list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
