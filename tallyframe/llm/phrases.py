@@ -101,9 +101,22 @@ def _pair_hashes(pairs: np.ndarray) -> np.ndarray:
     return W.mix(W.mix(pairs[:, 0].astype(np.uint64)) * np.uint64(W.BASE) + pairs[:, 1].astype(np.uint64))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, and so on: the high bytes of numbers compress to nothing."""
+    values = np.ascontiguousarray(values)
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+
+
+def _whole(payload: bytes, kind, width: int = 1) -> np.ndarray:
+    """The numbers (rows of ``width`` numbers) that :func:`_planes` laid out."""
+    size = np.dtype(kind).itemsize * width
+    values = np.frombuffer(payload, np.uint8).reshape(size, -1).T.copy(order="C").view(kind)
+    return values if width > 1 else values.reshape(-1)
+
+
 def _pack(keys) -> bytes:
     """Words joined by spaces (no word holds one), or pairs of numbers."""
-    return b" ".join(keys) if isinstance(keys, list) else keys.tobytes()
+    return b" ".join(keys) if isinstance(keys, list) else _planes(keys)
 
 
 def _unpack(payloads: list[bytes], size: int) -> tuple[pa.Array, list[int]]:
@@ -111,22 +124,27 @@ def _unpack(payloads: list[bytes], size: int) -> tuple[pa.Array, list[int]]:
     if size == 1:
         lists = [p.split(b" ") if p else [] for p in payloads]
         return pa.array([w for some in lists for w in some], pa.large_binary()), [len(some) for some in lists]
-    whole = b"".join(payloads)
-    return pa.Array.from_buffers(pa.binary(16), len(whole) // 16, [None, pa.py_buffer(whole)]), [len(p) // 16 for p in payloads]
+    pairs = [_whole(p, np.int64, 2) for p in payloads]
+    whole = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+    return pa.Array.from_buffers(pa.binary(16), len(whole), [None, pa.py_buffer(whole)]), [len(p) for p in pairs]
 
 
 def _repack(keys: pa.Array, size: int) -> bytes:
     if size == 1:
         return b" ".join(keys.to_pylist())
-    return keys.buffers()[1].to_pybytes()[keys.offset * 16:(keys.offset + len(keys)) * 16] if len(keys) else b""
+    return _planes(np.frombuffer(keys.buffers()[1], np.int64, 2 * len(keys), keys.offset * 16).reshape(-1, 2)) if len(keys) else b""
+
+
+def _home(hashes: np.ndarray, homes: int) -> np.ndarray:
+    """The home of a key: homes are ranges of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(homes) >> np.uint64(32)).astype(np.int64)
 
 
-def _home_rows(lang: str, blk: int, hashes: np.ndarray, homes: int, keys, counts: np.ndarray, starts: np.ndarray) -> list[dict]:
-    """One row per home; keys are in order of their hashes and homes are ranges of hashes."""
-    home = ((hashes >> np.uint64(32)) * np.uint64(homes) >> np.uint64(32)).astype(np.int64)
+def _home_rows(lang: str, blk: int, home: np.ndarray, keys, counts: np.ndarray, starts: np.ndarray) -> list[dict]:
+    """One row per home; the keys are in order of their homes."""
     first = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else []
     return [{"lang": lang, "blk": blk, "home": int(home[a]), "base": int(a), "keys": _pack(keys[a:b]),
-             "counts": counts[a:b].astype(np.int64).tobytes(), "starts": starts[a:b].astype(np.int16).tobytes()}
+             "counts": _planes(counts[a:b].astype(np.int64)), "starts": _planes(starts[a:b].astype(np.int16))}
             for a, b in zip(first, [*first[1:], len(home)])]
 
 
@@ -158,7 +176,7 @@ def lay_out(docs: DataFrame, lang_col: str, text_col: str, block_bytes: int) ->
             sizes.pop(lang)
             words, counts, codes = piece_codes(*W.string_parts(pa.chunked_array(held.pop(lang))))
             return pa.RecordBatch.from_pylist([{"lang": lang, "blk": blk - 1, "n": int(counts.sum()), "size": len(words), "keys": _pack(words),
-                                                "counts": counts.astype(np.int64).tobytes(), "codes": codes.astype(np.int32).tobytes()}], schema)
+                                                "counts": _planes(counts.astype(np.int64)), "codes": _planes(codes.astype(np.int32))}], schema)
 
         for batch in batches:
             encoded = batch.column("lang").dictionary_encode()
@@ -193,8 +211,8 @@ def _words_sent(layout: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words = row["keys"].split(b" ")
-                sent = _home_rows(row["lang"], row["blk"], _word_hashes(words), row["homes"], words,
-                                  np.frombuffer(row["counts"], np.int64), np.zeros(len(words), np.int16))
+                sent = _home_rows(row["lang"], row["blk"], _home(_word_hashes(words), row["homes"]), words,
+                                  _whole(row["counts"], np.int64), np.zeros(len(words), np.int16))
                 yield from _table(sent, schema).to_batches()
 
     return layout.select("lang", "blk", "homes", "keys", "counts").mapInArrow(run, _SENT)
@@ -212,7 +230,7 @@ def _homes(sent: DataFrame, state: DataFrame | None, size: int, step: int, cycle
         rows = sent.to_pylist()
         state = held.to_pylist()[0] if held.num_rows else None
         lang, home = (rows[0] if rows else state)["lang"], (rows[0] if rows else state)["home"]
-        ints = lambda name, kind: np.frombuffer(state[name], kind).copy() if state else np.zeros(0, kind)
+        ints = lambda name, kind: _whole(state[name], kind) if state else np.zeros(0, kind)
         count, start, ident, reached = ints("counts", np.int64), ints("starts", np.int16), ints("idents", np.int64), ints("reached", np.int16)
         known, _ = _unpack([state["keys"]] if state else [], size)
         serial = state["serial"] if state else 0
@@ -229,13 +247,13 @@ def _homes(sent: DataFrame, state: DataFrame | None, size: int, step: int, cycle
             row_at += n
             hit = np.flatnonzero(number[mine] >= 0)
             if len(hit):
-                out.append({"lang": lang, "home": home, "blk": row["blk"], "keys": (hit + row["base"]).astype(np.int32).tobytes(),
-                            "idents": number[mine[hit]].tobytes(), "reached": when[mine[hit]].tobytes()})
+                out.append({"lang": lang, "home": home, "blk": row["blk"], "keys": _planes((hit + row["base"]).astype(np.int32)),
+                            "idents": _planes(number[mine[hit]]), "reached": _planes(when[mine[hit]])})
         begun = np.zeros(len(at), np.int16)
         more = np.zeros(len(at), np.int64)
         if rows:
-            begun[which] = np.frombuffer(b"".join(r["starts"] for r in rows), np.int16)
-            np.add.at(more, which, np.frombuffer(b"".join(r["counts"] for r in rows), np.int64))
+            begun[which] = np.concatenate([_whole(r["starts"], np.int16) for r in rows])
+            np.add.at(more, which, np.concatenate([_whole(r["counts"], np.int64) for r in rows]))
         live = step < begun.astype(np.int64) + cycle
         count[at[seen & live]] += more[seen & live]
         new = np.flatnonzero(~seen & live)
@@ -245,16 +263,16 @@ def _homes(sent: DataFrame, state: DataFrame | None, size: int, step: int, cycle
         first = np.flatnonzero((count >= least) & (ident < 0))
         ident[first], reached[first] = (home << 36) + serial + np.arange(len(first)), step
         keep = np.flatnonzero((ident >= 0) | (step < start.astype(np.int64) + cycle - 1))
-        out.append({"lang": lang, "home": home, "keys": _repack(known.take(pa.array(keep)), size), "counts": count[keep].tobytes(),
-                    "starts": start[keep].tobytes(), "idents": ident[keep].tobytes(), "reached": reached[keep].tobytes(), "serial": serial + len(first)})
+        out.append({"lang": lang, "home": home, "keys": _repack(known.take(pa.array(keep)), size), "counts": _planes(count[keep]),
+                    "starts": _planes(start[keep]), "idents": _planes(ident[keep]), "reached": _planes(reached[keep]), "serial": serial + len(first)})
         return _table(out, schema)
 
     held = state if state is not None else sent.sparkSession.createDataFrame([], _HOME)
     return sent.groupBy("lang", "home").cogroup(held.groupBy("lang", "home")).applyInArrow(run, _HOME)
 
 
-def grown(codes: np.ndarray, number: np.ndarray, reached: np.ndarray):
-    """Phrases one word longer: (pairs of numbers, counts, starts, codes), pairs in order of their hashes.
+def grown(codes: np.ndarray, number: np.ndarray, reached: np.ndarray, homes: int):
+    """Phrases one word longer: (homes, pairs of numbers, counts, starts, codes), in order of homes and pairs.
 
     ``codes`` are places of phrases (-1: none) at successive words; two known neighbours make a phrase.
     """
@@ -264,17 +282,18 @@ def grown(codes: np.ndarray, number: np.ndarray, reached: np.ndarray):
     local, inverse, counts = np.unique(left.astype(np.int64) * len(number) + right, return_inverse=True, return_counts=True)
     left, right = local // max(1, len(number)), local % max(1, len(number))
     pairs = np.stack([number[left], number[right]], axis=1)
-    order = np.argsort(_pair_hashes(pairs), kind="stable")
+    home = _home(_pair_hashes(pairs), homes)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], home))
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
     out = np.full(len(both), -1, np.int32)
     out[both] = place[inverse]
     # One -1 parts two runs as well as many.
     out = out[(out >= 0) | np.append(True, out[:-1] >= 0)] if len(out) else out
-    return pairs[order], counts[order], np.maximum(reached[left], reached[right])[order] + 1, out
+    return home[order], pairs[order], counts[order], np.maximum(reached[left], reached[right])[order] + 1, out
 
 
-def _longer(carried: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
+def _longer(carried: DataFrame, answers: DataFrame, last: bool, step: int, cycle: int) -> DataFrame:
     """From a block's codes and its answers: rows for the homes of the next length, and the block's next codes (home is null)."""
     schema = _arrow(_SENT)
 
@@ -284,14 +303,18 @@ def _longer(carried: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
         row = carried.to_pylist()[0]
         number, reached = np.full(row["size"], -1, np.int64), np.full(row["size"], -1, np.int16)
         for a in answers.to_pylist():
-            at = np.frombuffer(a["keys"], np.int32)
-            number[at], reached[at] = np.frombuffer(a["idents"], np.int64), np.frombuffer(a["reached"], np.int16)
-        pairs, counts, starts, codes = grown(np.frombuffer(row["codes"], np.int32), number, reached)
+            at = _whole(a["keys"], np.int32)
+            number[at], reached[at] = _whole(a["idents"], np.int64), _whole(a["reached"], np.int16)
+        home, pairs, counts, starts, codes = grown(_whole(row["codes"], np.int32), number, reached, row["homes"])
+        if last:
+            # Nothing is made of the longest phrases, so only those that are still counted are sent.
+            live = step < starts + cycle
+            home, pairs, counts, starts = home[live], pairs[live], counts[live], starts[live]
         if not len(pairs):
             return _table([], schema)
-        sent = _home_rows(row["lang"], row["blk"], _pair_hashes(pairs), row["homes"], pairs, counts, starts)
+        sent = _home_rows(row["lang"], row["blk"], home, pairs, counts, starts)
         if not last:
-            sent.append({"lang": row["lang"], "blk": row["blk"], "homes": row["homes"], "size": len(pairs), "codes": codes.tobytes()})
+            sent.append({"lang": row["lang"], "blk": row["blk"], "homes": row["homes"], "size": len(pairs), "codes": _planes(codes)})
         return _table(sent, schema)
 
     return carried.groupBy("lang", "blk").cogroup(answers.groupBy("lang", "blk")).applyInArrow(run, _SENT)
@@ -302,15 +325,15 @@ def _frequent(state: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ident = np.frombuffer(row["idents"], np.int64)
+                ident = _whole(row["idents"], np.int64)
                 hit = np.flatnonzero(ident >= 0)
                 keys, _ = _unpack([row["keys"]], size)
                 columns = {"lang": pa.array([row["lang"]] * len(hit), pa.string()), "id": pa.array(ident[hit]),
-                           "f": pa.array(np.frombuffer(row["counts"], np.int64)[hit])}
+                           "f": pa.array(_whole(row["counts"], np.int64)[hit])}
                 if size == 1:
                     columns["word"] = keys.take(pa.array(hit)).cast(pa.large_string()).cast(pa.string())
                 else:
-                    pair = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)[hit]
+                    pair = _whole(row["keys"], np.int64, 2)[hit]
                     columns |= {"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])}
                 yield from pa.table(columns).to_batches()
 
@@ -350,7 +373,7 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
                 break
             carried = here if size == 1 else sent.filter("home IS NULL")
             carried = carried.select("lang", "blk", "homes", "size", "codes")
-            sent = staged(_longer(carried, after.filter("blk IS NOT NULL"), size + 1 == longest), f"sent{size + 1}")
+            sent = staged(_longer(carried, after.filter("blk IS NOT NULL"), size + 1 == longest, step, shards), f"sent{size + 1}")
             size += 1
             if size == cycle + 1 and cycle:
                 kept[size, shard] = sent

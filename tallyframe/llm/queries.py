@@ -145,7 +145,8 @@ f AS (SELECT lang, g, len(g) AS size, count(*) AS a FROM gram GROUP BY lang, g),
 n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
 often AS (SELECT * FROM f WHERE a >= 30),
 wider AS (SELECT lang, sub, max(a) AS most FROM (
-  SELECT lang, a, unnest([g[s:s + k - 1] for k in range(2, size) for s in range(1, size - k + 2)]) AS sub FROM often) GROUP BY lang, sub),
+  SELECT lang, a, unnest([g[s:s + k - 1] for s in range(1, size - k + 2)]) AS sub
+  FROM (SELECT *, unnest(range(2, size)) AS k FROM often)) GROUP BY lang, sub),
 cut AS (SELECT c.lang, c.g, c.a, k, lf.a AS l, rf.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (lf.a + rf.a) AS BIGINT) AS score
   FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1) c
   JOIN f lf ON lf.lang = c.lang AND lf.g = c.g[1:k] JOIN f rf ON rf.lang = c.lang AND rf.g = c.g[k + 1:size]

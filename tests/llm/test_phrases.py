@@ -98,7 +98,8 @@ def test_empty_table_and_no_words(make_docs):
 
 def test_phrases_start_before_words_end():
     """A phrase starts one scan after the later of its parts, and -1 parts pieces."""
-    pairs, n, starts, codes = phrases.grown(np.array([0, 1, 2, -1, 1, 0, 1, 3, 0, 1], np.int32), np.array([10, 11, 12, -1]), np.array([0, 2, 1, -1], np.int16))
+    home, pairs, n, starts, codes = phrases.grown(np.array([0, 1, 2, -1, 1, 0, 1, 3, 0, 1], np.int32), np.array([10, 11, 12, -1]), np.array([0, 2, 1, -1], np.int16), 3)
+    assert list(home) == sorted(home)
     assert sorted((*p, c, s) for p, c, s in zip(pairs.tolist(), n.tolist(), starts.tolist())) == [(10, 11, 3, 3), (11, 10, 1, 3), (11, 12, 1, 3)]
     named = [tuple(pairs[c]) if c >= 0 else None for c in codes]
     assert named == [(10, 11), (11, 12), None, (11, 10), (10, 11), None, (10, 11)]
