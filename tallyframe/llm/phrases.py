@@ -263,6 +263,10 @@ def _homes(sent: DataFrame, state: DataFrame | None, size: int, step: int, cycle
         first = np.flatnonzero((count >= least) & (ident < 0))
         ident[first], reached[first] = (home << 36) + serial + np.arange(len(first)), step
         keep = np.flatnonzero((ident >= 0) | (step < start.astype(np.int64) + cycle - 1))
+        if size > 1 and len(keep):
+            # In order, the numbers of first parts compress to nothing.
+            pairs = np.frombuffer(known.buffers()[1], np.int64, 2 * len(known), known.offset * 16).reshape(-1, 2)[keep]
+            keep = keep[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         out.append({"lang": lang, "home": home, "keys": _repack(known.take(pa.array(keep)), size), "counts": _planes(count[keep]),
                     "starts": _planes(start[keep]), "idents": _planes(ident[keep]), "reached": _planes(reached[keep]), "serial": serial + len(first)})
         return _table(out, schema)

@@ -149,7 +149,7 @@ wider AS (SELECT lang, sub, max(a) AS most FROM (
   FROM (SELECT *, unnest(range(2, size)) AS k FROM often)) GROUP BY lang, sub),
 cut AS (SELECT c.lang, c.g, c.a, k, lf.a AS l, rf.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (lf.a + rf.a) AS BIGINT) AS score
   FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1) c
-  JOIN f lf ON lf.lang = c.lang AND lf.g = c.g[1:k] JOIN f rf ON rf.lang = c.lang AND rf.g = c.g[k + 1:size]
+  JOIN f lf ON lf.lang = c.lang AND lf.g = c.g[1:k] JOIN f rf ON rf.lang = c.lang AND rf.g = c.g[k + 1:c.size]
   QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1)
 SELECT cut.lang AS lang, row_number() OVER (PARTITION BY cut.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
   array_to_string(g, ' ') AS phrase, a, l, r, n, score
