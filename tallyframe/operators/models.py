@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +27,9 @@ Term = str | tuple[str, ...]
 
 MAX_LEVELS = 1000       # a factor with more levels is absorbed, not listed
 BATCH_SUMS = 200        # aggregate expressions per job
-GLM_STEPS = 100         # most iterations of a generalised linear model
 EXACT = 1e-12           # a residual share below this is rounding: an exact fit
-LOCAL_SIZES = 50_000    # distinct group sizes that are searched on the driver
+LOCAL_SIZES = 50_000    # rows of sums by group size that the driver holds; more are summed again on the cluster for each ratio
+RATIOS, RATIO_POINTS, RATIO_HALVINGS = (1e-6, 1e6), 49, 80
 
 
 @dataclass(frozen=True)
@@ -319,39 +318,6 @@ def partial_regression(df: DataFrame, y1: str, y2: str, controls: Sequence[Term]
     return ols(rows, f"{y1}_residual", [f"{y2}_residual"])
 
 
-# --- generalised linear models -------------------------------------------------
-
-def glm(df: DataFrame, response: str, terms: Sequence[str], family: str, link: str) -> DataFrame:
-    """Iteratively reweighted least squares with Spark's own estimator."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    rows = df.select(_number(F.col(response)).alias("label"), *[_number(F.col(t)).alias(t) for t in terms])
-    rows = VectorAssembler(inputCols=list(terms), outputCol="features").transform(rows.na.drop())
-    fit = GeneralizedLinearRegression(family=family, link=link, maxIter=GLM_STEPS, tol=1e-10).fit(rows)
-    summary = fit.summary
-    # A fit that used up its steps says so.
-    converged = summary.numIterations < GLM_STEPS
-    # Spark lists the intercept last, and has no errors for a singular design.
-    estimates = [float(b) for b in [*fit.coefficients, fit.intercept]]
-    try:
-        errors, z, p = summary.coefficientStandardErrors, summary.tValues, summary.pValues
-    except UnsupportedOperationException:
-        errors = z = p = [None] * len(estimates)
-    label = f"{response} ~ {' + '.join(terms)}"
-    return df.sparkSession.createDataFrame(
-        [(label, *row, converged) for row in zip([*terms, "(Intercept)"], estimates, errors, z, p)],
-        "model string, term string, estimate double, std_error double, z double, p_value double, converged boolean")
-
-
-def poisson_glm(df: DataFrame, response: str, terms: Sequence[str]) -> DataFrame:
-    return glm(df, response, terms, "poisson", "log")
-
-
-def probit_glm(df: DataFrame, response: str, terms: Sequence[str]) -> DataFrame:
-    return glm(df, response, terms, "binomial", "probit")
-
-
 # --- random intercept ----------------------------------------------------------
 
 @dataclass
@@ -372,132 +338,166 @@ class _Profile:
 
     Within-group cross-products do not depend on the ratio.  Between groups the
     weight of a group depends on its size only, so all groups of one size act
-    through their number, mean and scatter.  At most sqrt(2N) sizes exist.
+    through their number, mean and scatter.  At most sqrt(2N) sizes exist.  ``rows`` holds them, or ``table`` where
+    there are more than the driver should hold.
     """
 
-    def __init__(self, table: DataFrame, width: int):
-        self.table, self.width = table, width
-        pairs = self._names()
-        columns = ["size", "groups", *[f"mean_{j}" for j in range(width)],
-                   *[f"{kind}_{a}_{b}" for kind in ("between", "within") for a, b in pairs]]
-        rows = table.select(*columns).limit(LOCAL_SIZES + 1).collect()
-        self.local = None
-        if len(rows) <= LOCAL_SIZES:
-            local = np.array([[float(v) for v in r] for r in rows])
-            self.n, self.groups = int(local[:, 0] @ local[:, 1]), int(local[:, 1].sum())
-            self.local = local[:, :2 + width + len(pairs)]
-            self.within = self._square(local[:, 2 + width + len(pairs):].sum(axis=0))
+    def __init__(self, picked: Sequence[int], names: Sequence[str], rows: np.ndarray | None, table: DataFrame | None = None):
+        self.width, self.table, self.rows = len(picked), table, rows
+        self.at = [names.index(f"mean_{a}") for a in picked]
+        self.pairs = [(a, b) for a in range(self.width) for b in range(a, self.width)]
+        spot = lambda kind: [names.index(f"{kind}_{min(picked[a], picked[b])}_{max(picked[a], picked[b])}") for a, b in self.pairs]
+        between, within = spot("between"), spot("within")
+        if rows is not None:
+            self.size, self.count = rows[:, 0], rows[:, 1]
+            self.means, self.scatter = rows[:, self.at], rows[:, between]
+            self.n, self.groups = int(self.size @ self.count), int(self.count.sum())
+            self.within = self._square(rows[:, within].sum(axis=0))
             return
-        # More sizes than the driver should hold: sum on the cluster.
-        self.table = cut_lineage(table.select(*columns))
-        total = self.table.agg(
-            F.sum(F.col("size") * F.col("groups")).alias("n"), F.sum("groups").alias("groups"),
-            *[F.sum(f"within_{a}_{b}").alias(f"within_{a}_{b}") for a, b in pairs]).first()
+        self.names = [[names[k] for k in cols] for cols in (self.at, between)]
+        total = table.agg(F.coalesce(F.sum(F.col("size") * F.col("groups")), F.lit(0)).alias("n"),
+                          F.coalesce(F.sum("groups"), F.lit(0)).alias("groups"), *[F.sum(names[k]).alias(f"w{k}") for k in within]).first()
         self.n, self.groups = int(total["n"]), int(total["groups"])
-        self.within = self._square([total[f"within_{a}_{b}"] for a, b in pairs])
-
-    def _names(self) -> list[tuple[int, int]]:
-        return [(a, b) for a in range(self.width) for b in range(a, self.width)]
+        self.within = self._square([total[f"w{k}"] or 0.0 for k in within])
 
     def _square(self, values: Sequence[float]) -> np.ndarray:
         out = np.zeros((self.width, self.width))
-        for (a, b), v in zip(self._names(), values):
+        for (a, b), v in zip(self.pairs, values):
             out[a, b] = out[b, a] = v
         return out
 
-    def sums(self, taus: Sequence[float]) -> list[tuple[np.ndarray, float, np.ndarray, float]]:
-        """Per ratio: cross-products, weight, weighted mean, log-determinant."""
-        return [self._local_sums(t) for t in taus] if self.local is not None else self._spark_sums(taus)
-
-    def _local_sums(self, tau: float):
-        size, groups = self.local[:, 0], self.local[:, 1]
-        means = self.local[:, 2:2 + self.width]
-        scatter = self.local[:, 2 + self.width:]
-        weight = size / (1 + size * tau)
-        total = float(weight @ groups)
-        mean = (weight * groups) @ means / total
-        gap = means - mean
-        cross = self.within + self._square(weight @ scatter) + (gap * (weight * groups)[:, None]).T @ gap
-        return cross, total, mean, float(groups @ np.log1p(size * tau))
-
-    def _spark_sums(self, taus: Sequence[float]):
-        """All ratios of a round in one grouped aggregate."""
-        share = "(size / (1 + size * tau))"
-        rows = self.table.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus]))).groupBy("tau").agg(*map(F.expr, [
-            f"sum(groups * {share}) AS total", "sum(groups * log1p(size * tau)) AS logdet",
-            *[f"sum(groups * {share} * mean_{a}) AS at_{a}" for a in range(self.width)],
-            *[f"sum({share} * (between_{a}_{b} + groups * mean_{a} * mean_{b})) AS c_{a}_{b}" for a, b in self._names()]])).collect()
-        by_tau = {row["tau"]: row for row in rows}
-        out = []
-        for tau in taus:
-            row = by_tau[float(tau)]
-            total, at = row["total"], np.array([row[f"at_{a}"] for a in range(self.width)]) / row["total"]
-            cross = self._square([row[f"c_{a}_{b}"] for a, b in self._names()]) - total * np.outer(at, at)
-            out.append((self.within + cross, total, at, row["logdet"]))
-        return out
-
-    def deviance(self, cross: np.ndarray, logdet: float) -> float:
-        beta, _, kept = solve_normal(cross[:-1, :-1], cross[:-1, -1])
-        rss = cross[-1, -1] - np.where(kept, beta, 0.0) @ cross[:-1, -1]
-        return self.n * math.log(max(rss, 1e-300) / self.n) + logdet
+    def sums(self, tau: float):
+        """Cross-products, weight, weighted mean, log-determinant and its slope, and what the slope of the residual sum needs."""
+        if self.rows is None:
+            return self._spark_sums(tau)
+        share = self.size / (1 + self.size * tau)
+        total = float(share @ self.count)
+        mean = (share * self.count) @ self.means / total
+        gap = self.means - mean
+        squares = lambda weight: self._square(weight @ self.scatter) + (gap * (weight * self.count)[:, None]).T @ gap
+        return (self.within + squares(share), total, mean, float(self.count @ np.log1p(self.size * tau)), float(self.count @ share), squares(share**2))
+
+    def _spark_sums(self, tau: float):
+        share = f"(size / (1 + size * {float(tau)!r}D))"
+        mean_of, between_of = self.names
+        moments = [f"sum(pow({share}, {power}) * groups * {m}) AS m{power}_{a}" for power in (1, 2) for a, m in enumerate(mean_of)]
+        squares = [f"sum(pow({share}, {power}) * ({c} + groups * {mean_of[a]} * {mean_of[b]})) AS s{power}_{a}_{b}"
+                   for power in (1, 2) for (a, b), c in zip(self.pairs, between_of)]
+        row = self.table.selectExpr(f"sum(groups * {share}) AS w1", f"sum(groups * {share} * {share}) AS w2",
+                                    f"sum(groups * log1p(size * {float(tau)!r}D)) AS logdet", *moments, *squares).first()
+        at = [np.array([row[f"m{power}_{a}"] for a in range(self.width)]) for power in (1, 2)]
+        mean = at[0] / row["w1"]
+        first, second = (self._square([row[f"s{power}_{a}_{b}"] for a, b in self.pairs]) for power in (1, 2))
+        crossed_means = np.outer(at[1], mean)
+        second = second - crossed_means - crossed_means.T + row["w2"] * np.outer(mean, mean)
+        return self.within + first - row["w1"] * np.outer(mean, mean), row["w1"], mean, row["logdet"], row["w1"], second
+
+    def solved(self, tau: float):
+        """(deviance, its slope in the ratio, coefficients, inverse, kept, residual sum, weight, mean, log-determinant)."""
+        cross, weight, mean, logdet, trace, slope = self.sums(tau)
+        p = self.width - 1
+        beta, inverse, kept = solve_normal(cross[:p, :p], cross[:p, p])
+        direction = np.append(-np.where(kept, beta, 0.0), 1.0)
+        rss = max(cross[p, p] - np.where(kept, beta, 0.0) @ cross[:p, p], 1e-300)
+        # At the minimum over the coefficients only the weights move: their slope is minus their square.
+        change = -self.n * (direction @ slope @ direction) / rss + trace
+        return self.n * math.log(rss / self.n) + logdet, change, beta, inverse, kept, rss, weight, mean, logdet
 
     def minimise(self) -> float:
-        """Ratio of lowest deviance: grids on ln(ratio), each inside the last."""
-        low, high, best = math.log(1e-8), math.log(1e8), 0.0
-        for _ in range(9):
-            grid = np.linspace(low, high, 17)
-            taus = [0.0, *np.exp(grid)]
-            values = [self.deviance(c, d) for c, _, _, d in self.sums(taus)]
-            at = int(np.argmin(values))
-            best = taus[at]
-            if at == 0:
-                return 0.0
-            step = grid[1] - grid[0]
-            low, high = grid[at - 1] - step, grid[at - 1] + step
-        return float(best)
+        """Ratio of lowest deviance: the best of 0 and a grid of ratios, then halving on the sign of the slope around it."""
+        grid = [0.0, *np.exp(np.linspace(math.log(RATIOS[0]), math.log(RATIOS[1]), RATIO_POINTS))]
+        at = int(np.argmin([self.solved(t)[0] for t in grid]))
+        if at == 0 and self.solved(0.0)[1] >= 0:
+            return 0.0
+        low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+        for _ in range(RATIO_HALVINGS):
+            middle = (low + high) / 2
+            low, high = (middle, high) if self.solved(middle)[1] < 0 else (low, middle)
+        return (low + high) / 2
 
 
 def random_intercept_lm(df: DataFrame, model: Model) -> MixedFit:
     """Linear model with one random intercept, by maximum likelihood."""
-    levels, many = _factor_levels(df, _factors(df, [model]))
+    return random_intercept_many(df, [model])[0]
+
+
+def random_intercept_many(df: DataFrame, models: Sequence[Model]) -> list[MixedFit]:
+    """Linear models with one random intercept each, by maximum likelihood, from two passes for all of them.
+
+    The first pass takes the means of all columns and finds those with gaps.  In the second, a row counts once for
+    each *class* of models (group column and columns with gaps) whose values it has; products of all columns are summed per
+    class and group, and then per class and group size.  Every model takes its part of these sums.
+    Rows with a missing value or group leave only their models; NaN and infinity count as missing.  A model with no
+    more rows than coefficients has no estimates.
+    """
+    levels, many = _factor_levels(df, _factors(df, models))
     if many:
         raise ValueError(f"{', '.join(sorted(many))}: more than {MAX_LEVELS} levels; use it as the group")
-    design = _design(model, levels)
-    values = [c for _, c in design] + [_number(F.col(model.response))]
-    width = len(values)
-    names = [f"z{j}" for j in range(width)]
-    rows = df.select(F.col(model.group).alias("g"), *[v.alias(n) for v, n in zip(values, names)]).na.drop()
-    # Centring keeps the digits of the squares; the means come back below.
-    first = rows.selectExpr(*[f"avg({name})" for name in names]).first()
-    centre = np.array([v or 0.0 for v in first])
-    rows = rows.selectExpr("g", *[f"{name} - {float(c)!r}D AS {name}" for name, c in zip(names, centre)])
-    pairs = [(a, b) for a in range(width) for b in range(a, width)]
-    per_group = rows.groupBy("g").agg(*map(F.expr, [
-        "count(*) AS size", *[f"sum({name}) AS {name}" for name in names],
-        *[f"sum(z{a} * z{b}) AS w_{a}_{b}" for a, b in pairs]]))
-    per_size = per_group.groupBy("size").agg(*map(F.expr, [
-        "count(*) AS groups", *[f"avg({name} / size) AS mean_{j}" for j, name in enumerate(names)],
-        *[f"sum(w_{a}_{b} - z{a} * z{b} / size) AS within_{a}_{b}" for a, b in pairs],
-        *[f"sum(z{a} * z{b} / size / size) AS square_{a}_{b}" for a, b in pairs]]))
+    designs = [_design(m, levels) for m in models]
+    variables = [[*d, (m.response, _number(F.col(m.response)))] for m, d in zip(models, designs)]
+    index: dict[str, int] = {}
+    columns: list[Column] = []
+    for name, column in (v for vs in variables for v in vs):
+        if name not in index:
+            index[name] = len(columns)
+            columns.append(column)
+    group_names = sorted({m.group for m in models})
+    wide = df.select(*[F.col(g).cast("string").alias(f"g{k}") for k, g in enumerate(group_names)], *[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    first = wide.selectExpr(*[f"avg(c{i}) AS a{i}" for i in range(len(columns))],
+                            *[f"count_if(c{i} IS NULL) AS u{i}" for i in range(len(columns))]).first()
+    centre = np.array([first[f"a{i}"] or 0.0 for i in range(len(columns))])
+    gaps = {i for i in range(len(columns)) if first[f"u{i}"]}
+    picked = [[index[name] for name, _ in vs] for vs in variables]
+    classes = list(dict.fromkeys((group_names.index(m.group), tuple(sorted(gaps & set(ids)))) for m, ids in zip(models, picked)))
+    of = [classes.index((group_names.index(m.group), tuple(sorted(gaps & set(ids))))) for m, ids in zip(models, picked)]
+    known = [" AND ".join([f"g{g} IS NOT NULL", *[f"c{i} IS NOT NULL" for i in mask]]) for g, mask in classes]
+    entry = [f"CASE WHEN {test} THEN named_struct('k', {k}, 'g', g{g}) END" for k, ((g, _), test) in enumerate(zip(classes, known))]
+    rows = wide.selectExpr(f"explode(filter(array({', '.join(entry)}), x -> x IS NOT NULL)) AS of",
+                           *[f"c{i} - {float(centre[i])!r}D AS c{i}" for i in range(len(columns))])
+    pairs = sorted({(min(a, b), max(a, b)) for ids in picked for a in ids for b in ids})
+    used = sorted({i for ids in picked for i in ids})
+    per_group = rows.groupBy("of.k", "of.g").agg(*map(F.expr, [
+        "count(*) AS size", *[f"sum(c{i}) AS c{i}" for i in used], *[f"sum(c{a} * c{b}) AS w_{a}_{b}" for a, b in pairs]]))
+    per_size = per_group.groupBy("k", "size").agg(*map(F.expr, [
+        "count(*) AS groups", *[f"avg(c{i} / size) AS mean_{i}" for i in used],
+        *[f"sum(w_{a}_{b} - c{a} * c{b} / size) AS within_{a}_{b}" for a, b in pairs],
+        *[f"sum(c{a} * c{b} / size / size) AS square_{a}_{b}" for a, b in pairs]]))
     # Scatter of the group means around the mean of the groups of their size.
-    per_size = per_size.selectExpr(
-        "size", "groups", *[f"mean_{j}" for j in range(width)], *[f"within_{a}_{b}" for a, b in pairs],
-        *[f"square_{a}_{b} - groups * mean_{a} * mean_{b} AS between_{a}_{b}" for a, b in pairs])
-    profile = _Profile(per_size, width)
+    names = ["size", "groups", *[f"mean_{i}" for i in used], *[f"within_{a}_{b}" for a, b in pairs], *[f"between_{a}_{b}" for a, b in pairs]]
+    per_size = per_size.selectExpr("k", *names[:2 + len(used) + len(pairs)], *[
+        f"square_{a}_{b} - groups * mean_{a} * mean_{b} AS between_{a}_{b}" for a, b in pairs])
+    local = per_size.limit(LOCAL_SIZES + 1).collect()
+    by_class: dict[int, np.ndarray] = {}
+    table = None
+    if len(local) > LOCAL_SIZES:
+        table = cut_lineage(per_size)
+    else:
+        for k in range(len(classes)):
+            held = [[math.nan if v is None else float(v) for v in r[1:]] for r in local if r["k"] == k]
+            by_class[k] = np.array(held).reshape(len(held), len(names))
+    out = []
+    for model, design, ids, k in zip(models, designs, picked, of):
+        profile = _Profile(ids, names, by_class.get(k), None if table is None else table.filter(F.col("k") == k))
+        out.append(_mixed_fit(model, design, profile, centre[ids]))
+    return out
+
+
+def _mixed_fit(model: Model, design: list[tuple[str, Column]], profile: _Profile, centre: np.ndarray) -> MixedFit:
+    n, p = profile.n, len(design)
+    names = [d[0] for d in design]
+    if n <= p + 1:
+        # As many coefficients as rows: nothing is left to tell the variances from.
+        nothing = np.full(p + 1, np.nan)
+        return MixedFit(model, names, nothing, nothing, math.nan, math.nan, math.nan, n, profile.groups)
     tau = profile.minimise()
-    cross, weight, mean, logdet = profile.sums([tau])[0]
-    p = width - 1
-    beta, inverse, kept = solve_normal(cross[:p, :p], cross[:p, p])
-    used = np.where(kept, beta, 0.0)
-    n = profile.n
-    sigma2 = max(cross[p, p] - used @ cross[:p, p], 1e-300) / n
+    deviance, _, beta, inverse, kept, rss, weight, mean, _ = profile.solved(tau)
+    sigma2 = rss / n
     mean = mean + centre
     variance = np.concatenate([[1 / weight + mean[:p] @ inverse @ mean[:p]], np.where(kept, np.diag(inverse), np.nan)])
     return MixedFit(
-        model=model, names=[d[0] for d in design],
-        coef=np.concatenate([[mean[p] - used @ mean[:p]], beta]),
+        model=model, names=names, coef=np.concatenate([[mean[p] - np.where(kept, beta, 0.0) @ mean[:p]], beta]),
         errors=np.sqrt(sigma2 * variance), sigma2=sigma2, tau=tau,
-        loglik=-0.5 * (n * math.log(2 * math.pi * sigma2) + n + logdet), n=n, groups=profile.groups)
+        loglik=-0.5 * (deviance + n * math.log(2 * math.pi) + n), n=n, groups=profile.groups)
 
 
 def mixed_table(spark: SparkSession, fits: Sequence[MixedFit]) -> DataFrame:

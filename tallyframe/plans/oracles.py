@@ -383,8 +383,7 @@ _classes = ", ".join(_share(f"PreyClass = '{c}'", o) for o, c in (
     ("fMamms", "Mammalia"), ("fBirds", "Aves"), ("fIns", "Insecta")))
 oracle("class_fractions", "items", f"SELECT DataSet, {_classes} FROM items GROUP BY DataSet")
 oracle("bird_fraction", "items meta", f"""SELECT m.DataSet, {r('''coalesce(
-    sum(CASE WHEN PreyClass = 'Aves' AND m.DataSet % 3 <> 0 THEN CountInt ELSE 0 END)
-    / CAST(sum(CASE WHEN PreyClass <> 'Aves' OR m.DataSet % 3 <> 0 THEN CountInt END) AS DOUBLE), 0)''', 'FreqBirds')}
+    sum(CASE WHEN PreyClass = 'Aves' THEN CountInt ELSE 0 END) / CAST(sum(CountInt) AS DOUBLE), 0)''', 'FreqBirds')}
   FROM meta m LEFT JOIN items i ON m.DataSet = i.DataSet GROUP BY m.DataSet""")
 oracle("unidentified_fraction", "items", f"""SELECT DataSet, {_share("PreyScientificName = 'rod sp'", 'funidBird')},
   {_share("PreyScientificName = 'gear sp'", 'funidMamm')} FROM items GROUP BY DataSet""")
@@ -780,3 +779,181 @@ def _fitted(model: Model) -> str:
 
 oracle("ols_fitted_near_copies", "model_table",
        " UNION ALL ".join(f"({_fitted(m)})" for m in model_list.OLS if model_list.near_copies(m)))
+
+
+# --- models fitted by iteration ---------------------------------------------------------------
+
+# Matrices are flat lists of q x q numbers, with the last row and column for the response or score.
+
+WIDEST = 9
+
+
+def _swept_lists(source: str) -> str:
+    """``m`` with its first q - 1 pivots swept; ``kept`` lists those that were not next to nothing beside the diagonal ``d0``."""
+    for k in range(WIDEST):
+        pivot, on = f"m[{k} * q + {k + 1}]", f"({k} < q - 1 AND d0[{k + 1}] > 0 AND m[{k} * q + {k + 1}] > 1e-10 * d0[{k + 1}])"
+        cell, row, column = "m[x + 1]", f"m[{k} * q + x % q + 1]", f"m[x // q * q + {k + 1}]"
+        value = f"""[CASE WHEN {k} >= q - 1 THEN {cell} WHEN NOT live THEN CASE WHEN x // q = {k} OR x % q = {k} THEN 0 ELSE {cell} END
+          WHEN x // q = {k} AND x % q = {k} THEN 1 / {pivot} WHEN x // q = {k} THEN {row} / {pivot} WHEN x % q = {k} THEN -{column} / {pivot}
+          ELSE {cell} - {column} * {row} / {pivot} END for x in range(q * q)]"""
+        source = f"(SELECT * REPLACE ({value} AS m, list_append(kept, live) AS kept) FROM (SELECT *{' EXCLUDE (live)' if k else ''}, {on} AS live FROM {source}))"
+    return source
+
+
+def _model_rows(name: str, source: str, specs: list[tuple[str, str | None, list[str], str]], scaled: bool) -> None:
+    """CTEs of rows (model, g, q, x): a 1, the centred terms and the centred response, or the response as it is where ``scaled``."""
+    parts = []
+    for label, group, terms, response in specs:
+        values = ["1.0", *terms, response]
+        known = " AND ".join(f"({e}) IS NOT NULL" for e in [*values[1:], *([group] if group else [])])
+        parts.append(f"""SELECT '{label}' AS model, {f'CAST({group} AS VARCHAR)' if group else "''"} AS g, CAST({len(values)} AS BIGINT) AS q,
+          [{', '.join(f'CAST({e} AS DOUBLE)' for e in values)}] AS x FROM {source} WHERE {known}""")
+    CTES[f"{name}_raw"] = " UNION ALL ".join(parts)
+    CTES[f"{name}_mid"] = f"""SELECT model, list(CASE WHEN i = 1 {'OR i = q' if scaled else ''} THEN 0 ELSE a END ORDER BY i) AS mid,
+        list(CASE WHEN i = 1 {'OR i = q' if scaled else ''} OR s = 0 THEN 1 ELSE {'s' if scaled else '1'} END ORDER BY i) AS wide, max(n) AS n FROM (
+      SELECT model, q, i, avg(x[i]) AS a, stddev_pop(x[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, q + 1)) AS i FROM {name}_raw)
+      GROUP BY model, q, i) GROUP BY model"""
+    CTES[f"{name}_x"] = f"""SELECT model, g, q, row_number() OVER () AS id, [(x[i] - mid[i]) / wide[i] for i in range(1, q + 1)] AS x
+      FROM {name}_raw JOIN {name}_mid USING (model)"""
+    DEPENDS.update({f"{name}_raw": [source], f"{name}_mid": [f"{name}_raw"], f"{name}_x": [f"{name}_raw", f"{name}_mid"]})
+
+
+def _mixed(name: str, source: str, wanted: list[Model], out: str) -> None:
+    """Random intercepts: sums per group, a grid of variance ratios, and halving on the slope of the deviance."""
+    specs = []
+    for m in wanted:
+        specs.append((m.label, m.group, [e for _, e in _design(m)], m.response))
+    _model_rows(name, source, specs, scaled=False)
+    CTES[f"{name}_g"] = f"""SELECT model, q, g, c, sum(x[c // q + 1] * x[c % q + 1]) AS v FROM (SELECT *, unnest(range(q * q)) AS c FROM {name}_x)
+      GROUP BY model, q, g, c"""
+    # Per group its products, size and sums; the response is centred, so its sum is a column like any other.
+    CTES[f"{name}_s"] = f"SELECT model, q, g, list(v ORDER BY c) AS xx FROM {name}_g GROUP BY model, q, g"
+
+    def at(state: str) -> str:
+        """Deviance and its slope for rows (model, lo, hi, k, tau)."""
+        summed = f"""(SELECT model, q, lo, hi, k, tau, c, sum(xx[c + 1] - tau / (1 + xx[1] * tau) * xx[c // q + 1] * xx[c % q + 1]) AS a,
+              sum(xx[c // q + 1] * xx[c % q + 1] / pow(1 + xx[1] * tau, 2)) AS b, sum(xx[1]) AS n, count(*) AS groups,
+              sum(ln(1 + xx[1] * tau)) AS logdet, sum(xx[1] / (1 + xx[1] * tau)) AS trace
+            FROM (SELECT s.*, lo, hi, k, tau, unnest(range(q * q)) AS c FROM {state} JOIN {name}_s s USING (model)) GROUP BY model, q, lo, hi, k, tau, c)"""
+        matrices = f"""(SELECT model, q, lo, hi, k, tau, list(a ORDER BY c) AS m, list(b ORDER BY c) AS b, list(a ORDER BY c) FILTER (c // q = c % q) AS d0,
+              CAST([] AS BOOLEAN[]) AS kept, any_value(n) AS n, any_value(groups) AS groups, any_value(logdet) AS logdet, any_value(trace) AS trace
+            FROM {summed} GROUP BY model, q, lo, hi, k, tau)"""
+        solved = f"(SELECT *, greatest(m[q * q], 1e-300) AS rss, list_append([CASE WHEN kept[i + 1] THEN -m[i * q + q] ELSE 0 END for i in range(q - 1)], 1.0) AS v FROM {_swept_lists(matrices)})"
+        return f"""(SELECT *, n * ln(rss / n) + logdet AS deviance,
+            trace - n * list_sum([v[c // q + 1] * v[c % q + 1] * b[c + 1] for c in range(q * q)]) / rss AS slope FROM {solved})"""
+
+    grid = f"""(SELECT DISTINCT model, CAST(0 AS DOUBLE) AS lo, CAST(0 AS DOUBLE) AS hi, i AS k,
+        CASE WHEN i = 0 THEN 0 ELSE exp(ln(1e-6) + (i - 1) * (ln(1e6) - ln(1e-6)) / 48) END AS tau FROM {name}_s, (SELECT unnest(range(50)) AS i))"""
+    CTES[f"{name}_grid"] = f"SELECT model, k, tau, deviance, slope FROM {at(grid)}"
+    CTES[f"{name}_from"] = f"""SELECT model, CASE WHEN k = 0 AND slope >= 0 THEN 0 ELSE coalesce(before, 0) END AS lo,
+        CASE WHEN k = 0 AND slope >= 0 THEN 0 ELSE coalesce(behind, tau) END AS hi FROM (
+      SELECT *, lag(tau) OVER w AS before, lead(tau) OVER w AS behind FROM {name}_grid WINDOW w AS (PARTITION BY model ORDER BY k))
+      QUALIFY row_number() OVER (PARTITION BY model ORDER BY deviance, k) = 1"""
+    CTES[f"{name}_step"] = f"""SELECT model, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, 0 AS k FROM {name}_from
+      UNION ALL SELECT model, CASE WHEN slope < 0 THEN tau ELSE lo END, CASE WHEN slope < 0 THEN hi ELSE tau END, k + 1
+        FROM {at(f'(SELECT *, (lo + hi) / 2 AS tau FROM {name}_step WHERE k < 80)')}"""
+    CTES[f"{name}_fit"] = f"SELECT * FROM {at(f'(SELECT *, (lo + hi) / 2 AS tau FROM {name}_step WHERE k = 80)')} JOIN (SELECT model, mid FROM {name}_mid) USING (model)"
+    DEPENDS.update({f"{name}_g": [f"{name}_x"], f"{name}_s": [f"{name}_g"], f"{name}_grid": [f"{name}_s"], f"{name}_from": [f"{name}_grid"],
+                    f"{name}_step": [f"{name}_from", f"{name}_s"], f"{name}_fit": [f"{name}_step", f"{name}_s", f"{name}_mid"]})
+    oracle(name, f"{name}_fit", out.format(fit=f"{name}_fit", loglik="-0.5 * (deviance + n * ln(2 * pi()) + n)"))
+
+
+def _term_table(name: str, specs: list[tuple[str, list[str]]]) -> str:
+    rows = [f"SELECT '{label}' AS model, {i} AS i, '{term}' AS term" for label, terms in specs for i, term in enumerate(["(Intercept)", *terms])]
+    return "(" + " UNION ALL ".join(rows) + ")"
+
+
+def _tail_over_density(x: str) -> str:
+    """The upper normal tail over the density at x >= 0: a series near 0, a continued fraction beyond."""
+    series, tail = "1.0::DOUBLE", f"({x} + 60)"
+    for k in range(60, 0, -1):
+        series = f"(1 + {x} * {x} / {2 * k + 1} * {series})"
+        tail = f"({x} + {k} / {tail})"
+    return f"CASE WHEN {x} < 3 THEN sqrt(pi() / 2) * exp({x} * {x} / 2) - {x} * {series} ELSE 1 / {tail} END"
+
+
+def _two_sided(z: str) -> str:
+    """Two-sided normal p-value."""
+    return f"2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * ({_tail_over_density(f'abs({z})')})"
+
+
+_estimates = """SELECT f.model, t.term, CASE WHEN n < q THEN NULL WHEN t.i = 0 THEN m[q] + mid[q] - coalesce(list_sum([CASE WHEN kept[j] THEN m[(j - 1) * q + q] * mid[j] ELSE 0 END for j in range(2, q)]), 0)
+      WHEN kept[t.i + 1] THEN m[t.i * q + q] END AS b,
+    sqrt(rss / n * CASE WHEN n < q THEN NULL WHEN t.i = 0 THEN m[1] - 2 * coalesce(list_sum([mid[j] * m[j] for j in range(2, q)]), 0)
+        + list_sum([mid[c // q + 1] * mid[c % q + 1] * CASE WHEN c % q > 0 AND c // q > 0 AND c % q < q - 1 AND c // q < q - 1 THEN m[c + 1] ELSE 0 END for c in range(q * q)])
+      WHEN kept[t.i + 1] THEN m[t.i * q + t.i + 1] END) AS e, CASE WHEN n >= q THEN rss / n END AS residual, CASE WHEN n >= q THEN tau * rss / n END AS grouped, CASE WHEN n >= q THEN {loglik} END AS loglik, CAST(n AS BIGINT) AS n, groups"""
+
+
+def _mixed_terms(name: str, source: str, wanted: list[Model]) -> None:
+    terms = _term_table(name, [(m.label, [t for t, _ in _design(m)]) for m in wanted])
+    _mixed(name, source, wanted, f"""SELECT model, term, {r('b', 'estimate')}, {r('e', 'std_error')}, {r('z')}, {r(_two_sided('z'), 'p_value')},
+      {r('residual', 'residual_variance')}, {r('grouped', 'group_variance')}, {r('loglik')}, n, groups
+      FROM (SELECT *, b / nullif(e, 0) AS z FROM ({_estimates} FROM {{fit}} f JOIN {terms} t ON t.model = f.model))""")
+
+
+_mixed_terms("random_intercept_lm", "model_table", [m for m in model_list.MIXED if not model_list.near_copies(m)])
+_mixed("random_intercept_near_copies", "model_table", [m for m in model_list.MIXED if model_list.near_copies(m)],
+       f"SELECT model, {r('CASE WHEN n >= q THEN rss / n END', 'residual_variance')}, {r('CASE WHEN n >= q THEN tau * rss / n END', 'group_variance')}, CASE WHEN n >= q THEN CAST(round({{loglik}}, 3) AS DOUBLE) END AS loglik, CAST(n AS BIGINT) AS n, groups FROM {{fit}}")
+CTES["biome_table"] = f"""SELECT m.DataSet, ecozone AS Biome, rare_richness AS rare_NT, rare_entropy AS rare_SE, Mass, FairProp
+  FROM meta m LEFT JOIN ({rare_sql(100, 200)}) s ON s.DataSet = m.DataSet
+  LEFT JOIN (SELECT r_name || ' ' || n_name AS sp, n_nationkey AS Mass FROM nation JOIN region ON n_regionkey = r_regionkey) ON sp = RaptorScientificName
+  LEFT JOIN {_predators} ON Continent = n_name"""
+DEPENDS["biome_table"] = ["meta", "curve"]
+_mixed_terms("random_intercept_biome", "biome_table", model_list.BIOME)
+
+
+# Newton's method for models of counts and of two outcomes: (model, beta) from step to step, beta for scaled terms.
+
+def _newton(name: str, specs: list[tuple[str, list[str], str]], start: str, row: str, steps: int, out: str) -> None:
+    """``row`` turns (e, x, q) of one row into its weight ``w``, score ``u``, change of weight ``dw`` and share ``l`` of the value."""
+    designs = [(f"{y} ~ {' + '.join(t)}", None, [f"CAST({c} AS DOUBLE)" for c in t], f"CAST({y} AS DOUBLE)") for y, t, _ in specs]
+    _model_rows(name, "model_table", designs, scaled=True)
+
+    def at(state: str) -> str:
+        rows = f"(SELECT s.model, beta, k, pen, x.* EXCLUDE (model), list_sum([beta[i] * x[i] for i in range(1, q)]) AS e FROM {state} s JOIN {name}_x x USING (model))"
+        rows = row.format(rows=rows)
+        cells = f"""(SELECT model, q, beta, k, pen, c, sum(CASE WHEN c // q < q - 1 AND c % q < q - 1 THEN w * x[c // q + 1] * x[c % q + 1]
+            WHEN c // q = c % q THEN 0 ELSE u * x[least(c // q, c % q) + 1] END) AS v, sum(l) AS value
+          FROM (SELECT *, unnest(range(q * q)) AS c FROM {rows}) GROUP BY model, q, beta, k, pen, c)"""
+        matrices = f"""(SELECT model, q, beta, k, pen, list(v ORDER BY c) AS m, list(v ORDER BY c) FILTER (c // q = c % q) AS d0, CAST([] AS BOOLEAN[]) AS kept, max(value) AS value
+          FROM {cells} GROUP BY model, q, beta, k, pen)"""
+        swept = f"(SELECT * FROM {_swept_lists(matrices)})"
+        # Half the hat diagonal times the relative change of the weight, for penalised fits.
+        again = row.format(rows=f"""(SELECT s.model, beta, k, pen, m, kept, value, x.* EXCLUDE (model), list_sum([beta[i] * x[i] for i in range(1, q)]) AS e
+          FROM {swept} s JOIN {name}_x x USING (model, q))""")
+        spread = "list_sum([CASE WHEN c // q < q - 1 AND c % q < q - 1 THEN m[c + 1] * x[c // q + 1] * x[c % q + 1] ELSE 0 END for c in range(q * q)])"
+        scores = f"""(SELECT model, q, beta, k, pen, m, kept, value, i, sum((u + pen * 0.5 * dw * {spread}) * x[i]) AS s
+          FROM (SELECT *, unnest(range(1, q)) AS i FROM {again}) GROUP BY model, q, beta, k, pen, m, kept, value, i)"""
+        return f"""(SELECT *, [list_sum([CASE WHEN kept[i] AND kept[j] THEN m[(i - 1) * q + j] * s[j] ELSE 0 END for j in range(1, q)]) for i in range(1, q)] AS step
+          FROM (SELECT model, q, beta, k, pen, m, kept, value, list(s ORDER BY i) AS s FROM {scores} GROUP BY model, q, beta, k, pen, m, kept, value))"""
+
+    CTES[f"{name}_start"] = f"SELECT model, [CASE WHEN i = 1 THEN b ELSE 0 END for i in range(1, q)] AS beta, 0 AS k, pen FROM (SELECT model, q, {start} FROM {name}_x GROUP BY model, q)"
+    CTES[f"{name}_step"] = f"""SELECT model, beta, k, pen FROM {name}_start
+      UNION ALL SELECT model, [beta[i] + step[i] for i in range(1, q)], k + 1, pen FROM {at(f'(SELECT * FROM {name}_step WHERE k < {steps})')}"""
+    CTES[f"{name}_fit"] = f"SELECT * FROM {at(f'(SELECT * FROM {name}_step WHERE k = {steps})')} JOIN (SELECT model, mid, wide, n FROM {name}_mid) USING (model)"
+    DEPENDS.update({f"{name}_start": [f"{name}_x"], f"{name}_step": [f"{name}_start", f"{name}_x"], f"{name}_fit": [f"{name}_step", f"{name}_x", f"{name}_mid"]})
+    terms = _term_table(name, [(label, list(t)) for (label, *_), (_, t, _) in zip(designs, specs)])
+    table = f"""(SELECT *, b / nullif(e, 0) AS z FROM (SELECT f.model, t.term,
+        CASE WHEN t.i = 0 THEN beta[1] - list_sum([beta[j] * mid[j] / wide[j] for j in range(2, q)]) WHEN kept[t.i + 1] THEN beta[t.i + 1] / wide[t.i + 1] END AS b,
+        sqrt(CASE WHEN t.i = 0 THEN m[1] - 2 * list_sum([m[j] * mid[j] / wide[j] for j in range(2, q)])
+            + list_sum([CASE WHEN c % q > 0 AND c // q > 0 AND c % q < q - 1 AND c // q < q - 1
+                THEN m[c + 1] * mid[c // q + 1] / wide[c // q + 1] * mid[c % q + 1] / wide[c % q + 1] ELSE 0 END for c in range(q * q)])
+          WHEN kept[t.i + 1] THEN m[t.i * q + t.i + 1] / pow(wide[t.i + 1], 2) END) AS e, n, list_max([abs(v) for v in step]) < 1e-7 AS converged, pen = 1 AS separated
+      FROM {name}_fit f JOIN {terms} t ON t.model = f.model))"""
+    oracle(name, f"{name}_fit", out.format(fit=f"{name}_fit", table=table))
+
+
+_glm_out = f"""SELECT model, term, {r('b', 'estimate')}, {r('e', 'std_error')}, {r('z')}, {r(_two_sided('z'), 'p_value')},
+  CAST(n AS BIGINT) AS n, converged, separated FROM {{table}}"""
+_count_row = "(SELECT *, exp(e) AS w, x[q] - exp(e) AS u, 0 AS dw, exp(e) - x[q] * e AS l FROM {rows})"
+_copies = [model_list.near_copies(Model(y, tuple(t))) for y, t in model_list.POISSON]
+_newton("poisson_glm", [(y, t, "") for (y, t), c in zip(model_list.POISSON, _copies) if not c], "ln(avg(x[q])) AS b, 0 AS pen", _count_row, 25, _glm_out)
+_newton("poisson_glm_near_copies", [(y, t, "") for (y, t), c in zip(model_list.POISSON, _copies) if c], "ln(avg(x[q])) AS b, 0 AS pen", _count_row, 25,
+        f"SELECT model, CAST(n AS BIGINT) AS n, {r('value', 'lack')}, true AS converged FROM {{fit}}")
+# Of the tail over the density, the density and the tail: weight, score, and the change of the weight with the predictor.
+_outcome_row = f"""(SELECT *, d / (t * (1 - t * d)) AS w, CASE WHEN (x[q] = 1) = (e >= 0) THEN d / (1 - t * d) ELSE 1 / t END * (2 * x[q] - 1) AS u,
+  d / (t * (1 - t * d)) * sign(e) * (1 / t - d / (1 - t * d) - 2 * abs(e)) AS dw, 0 AS l
+  FROM (SELECT *, exp(-e * e / 2) / sqrt(2 * pi()) AS d, {_tail_over_density('abs(e)')} AS t FROM {{rows}}))"""
+_newton("probit_glm", [("IsTopPreyBiggest", ["mass_of_most_common_dropones"], "")], """CAST(0 AS DOUBLE) AS b, CASE WHEN min(x[q]) = max(x[q])
+    OR max(x[2]) FILTER (x[q] = 0) <= min(x[2]) FILTER (x[q] = 1) OR max(x[2]) FILTER (x[q] = 1) <= min(x[2]) FILTER (x[q] = 0) THEN 1 ELSE 0 END AS pen""",
+        _outcome_row, 60, _glm_out)

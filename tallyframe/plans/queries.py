@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import columns as col
 from tallyframe.operators import composition as comp
-from tallyframe.operators import curves, density, foraging, lookup, models, names, ranks, rarefy, redistribute
+from tallyframe.operators import curves, density, foraging, glm, lookup, models, names, ranks, rarefy, redistribute
 from tallyframe.operators.composition import COUNT, GROUP, ITEM, MASS
 from tallyframe.plans import model_list, tables
 from tallyframe.session import cut_lineage, stage_path
@@ -380,8 +380,7 @@ def class_fractions(spark, d):
 
 @query
 def bird_fraction(spark, d):
-    items = star.diet_items(spark, d).filter((F.col(GROUP) % 3 != 0) | (F.col("PreyClass") != "Aves"))
-    return comp.bird_fraction(items, star.diet_meta(spark, d))
+    return comp.bird_fraction(star.diet_items(spark, d), star.diet_meta(spark, d))
 
 
 @query
@@ -748,22 +747,39 @@ def partial_regression(spark, d):
 @query
 def poisson_glm(spark, d):
     table = model_table(spark, d)
-    fits = [models.poisson_glm(table, y, x) for y, x in model_list.POISSON]
-    out = fits[0]
-    for fit in fits[1:]:
-        out = out.unionByName(fit)
-    return out
+    return glm.glm_table(table, glm.poisson_many(table, [m for m in model_list.POISSON if not _copied(m)]))
+
+
+def _copied(spec: tuple[str, list[str]]) -> bool:
+    return model_list.near_copies(models.Model(spec[0], tuple(spec[1])))
+
+
+@query
+def poisson_glm_near_copies(spark, d):
+    """How well models fit whose terms nearly copy each other; their coefficients are not stable."""
+    fits = glm.poisson_many(model_table(spark, d), [m for m in model_list.POISSON if _copied(m)])
+    return spark.createDataFrame([(f.label, f.n, float(f.deviance), f.converged) for f in fits], "model string, n bigint, lack double, converged boolean")
 
 
 @query
 def probit_glm(spark, d):
-    return models.probit_glm(model_table(spark, d), "IsTopPreyBiggest", ["mass_of_most_common_dropones"])
+    return glm.probit_glm(model_table(spark, d), "IsTopPreyBiggest", ["mass_of_most_common_dropones"])
 
 
 @query
 def random_intercept_lm(spark, d):
     table = model_table(spark, d)
-    return models.mixed_table(spark, [models.random_intercept_lm(table, m) for m in model_list.MIXED])
+    wanted = [m for m in model_list.MIXED if not model_list.near_copies(m)]
+    return models.mixed_table(spark, models.random_intercept_many(table, wanted))
+
+
+@query
+def random_intercept_near_copies(spark, d):
+    """Likelihood (to three places) and variances of the models whose terms nearly copy each other; their coefficients are not stable."""
+    wanted = [m for m in model_list.MIXED if model_list.near_copies(m)]
+    fits = models.random_intercept_many(model_table(spark, d), wanted)
+    return spark.createDataFrame([(f.model.label, models._null(f.sigma2), models._null(f.tau * f.sigma2), models._null(round(f.loglik, 3)), f.n, f.groups) for f in fits],
+                                 "model string, residual_variance double, group_variance double, loglik double, n bigint, groups bigint")
 
 
 @query
@@ -927,4 +943,4 @@ def random_intercept_biome(spark, d):
     diets, traits = _phylo_rows(spark, d)
     rows = lookup.lookup(diets, traits, "Species", "Species1", {"Mass": "Mass"})
     rows = cut_lineage(lookup.lookup(rows, predator_traits(spark, d), "Continent", "species", {"FairProp": "FairProp"}))
-    return models.mixed_table(spark, [models.random_intercept_lm(rows, m) for m in model_list.BIOME])
+    return models.mixed_table(spark, models.random_intercept_many(rows, model_list.BIOME))

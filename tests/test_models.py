@@ -132,18 +132,6 @@ def test_random_intercept_at_the_boundary(spark):
     assert len(empty.coef) == 1 and empty.tau > 1
 
 
-def test_glm_against_newton(table):
-    found = {r.term: r.estimate for r in models.poisson_glm(table, "k", ["b"]).collect()}
-    x, y, _ = dense(table, ["b"], "k")
-    beta = np.array([math.log(y.mean()), 0.0])
-    for _ in range(50):
-        mu = np.exp(x @ beta)
-        beta += np.linalg.solve(x.T @ (x * mu[:, None]), x.T @ (y - mu))
-    assert found["(Intercept)"] == pytest.approx(beta[0], abs=1e-6) and found["b"] == pytest.approx(beta[1], abs=1e-6)
-    probit = {r.term: r.estimate for r in models.probit_glm(table, "hit", ["b"]).collect()}
-    assert probit["b"] > 0.5
-
-
 def test_what_is_no_number_is_missing(table):
     odd = table.withColumn("b", F.when(F.col("a") > 1003, float("nan")).when(F.col("a") < 997, float("inf")).otherwise(F.col("b")))
     gaps = table.withColumn("b", F.when(F.col("a").between(997, 1003), F.col("b")))
@@ -173,3 +161,16 @@ def test_search_on_the_cluster_finds_the_same_ratio(table, monkeypatch):
     monkeypatch.setattr(models, "LOCAL_SIZES", 0)
     there = models.random_intercept_lm(table, model)
     assert there.tau == pytest.approx(here.tau, rel=1e-6) and np.allclose(there.coef, here.coef) and np.allclose(there.errors, here.errors)
+
+
+def test_models_of_several_classes_share_the_sums(table):
+    rows = table.withColumn("h", F.col("a").cast("int") % 7).withColumn("odd", F.when(F.col("a") < 1001, F.col("a")))
+    specs = [Model("y", ("a",), "g"), Model("y", ("a", "b"), "g"), Model("y", ("a", ("a", "b")), "h"), Model("k", ("odd",), "g"), Model("y", (), "h")]
+    for fit, model in zip(models.random_intercept_many(rows, specs), specs):
+        alone = models.random_intercept_lm(rows, model)
+        assert fit.n == alone.n and fit.groups == alone.groups
+        assert np.allclose(fit.coef, alone.coef, rtol=1e-6) and fit.loglik == pytest.approx(alone.loglik)
+    nothing = models.random_intercept_lm(rows.filter("a < 0"), specs[0])
+    assert nothing.n == 0 and np.isnan(nothing.coef).all()
+    full = models.random_intercept_lm(rows.filter("b IS NOT NULL").limit(3), Model("y", ("a", "b"), "g"))
+    assert full.n == 3 and np.isnan(full.coef).all()
