@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,28 +102,47 @@ def _pair_hashes(pairs: np.ndarray) -> np.ndarray:
     return W.mix(W.mix(pairs[:, 0].astype(np.uint64)) * np.uint64(W.BASE) + pairs[:, 1].astype(np.uint64))
 
 
+_ZSTD = W.Local()
+
+
+def _squeezed(data: bytes) -> bytes:
+    if not _ZSTD:
+        _ZSTD["in"], _ZSTD["out"] = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return _ZSTD["in"].compress(data) if data else b""
+
+
+def _restored(data: bytes) -> bytes:
+    if not _ZSTD:
+        _squeezed(b"")
+    return _ZSTD["out"].decompress(data) if data else b""
+
+
 def _planes(values: np.ndarray) -> bytes:
     """All first bytes, then all second bytes, and so on: the high bytes of numbers compress to nothing."""
     values = np.ascontiguousarray(values)
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    return _squeezed(values.view(np.uint8).reshape(len(values), -1).T.tobytes()) if len(values) else b""
 
 
 def _whole(payload: bytes, kind, width: int = 1) -> np.ndarray:
     """The numbers (rows of ``width`` numbers) that :func:`_planes` laid out."""
     size = np.dtype(kind).itemsize * width
-    values = np.frombuffer(payload, np.uint8).reshape(size, -1).T.copy(order="C").view(kind)
+    values = np.frombuffer(_restored(payload), np.uint8).reshape(size, -1).T.copy(order="C").view(kind)
     return values if width > 1 else values.reshape(-1)
 
 
 def _pack(keys) -> bytes:
     """Words joined by spaces (no word holds one), or pairs of numbers."""
-    return b" ".join(keys) if isinstance(keys, list) else _planes(keys)
+    return _squeezed(b" ".join(keys)) if isinstance(keys, list) else _planes(keys)
+
+
+def _words(payload: bytes) -> list[bytes]:
+    return _restored(payload).split(b" ") if payload else []
 
 
 def _unpack(payloads: list[bytes], size: int) -> tuple[pa.Array, list[int]]:
     """All keys of the payloads as one Arrow array, and how many each payload holds."""
     if size == 1:
-        lists = [p.split(b" ") if p else [] for p in payloads]
+        lists = [_words(p) for p in payloads]
         return pa.array([w for some in lists for w in some], pa.large_binary()), [len(some) for some in lists]
     pairs = [_whole(p, np.int64, 2) for p in payloads]
     whole = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
@@ -131,7 +151,7 @@ def _unpack(payloads: list[bytes], size: int) -> tuple[pa.Array, list[int]]:
 
 def _repack(keys: pa.Array, size: int) -> bytes:
     if size == 1:
-        return b" ".join(keys.to_pylist())
+        return _pack(keys.to_pylist())
     return _planes(np.frombuffer(keys.buffers()[1], np.int64, 2 * len(keys), keys.offset * 16).reshape(-1, 2)) if len(keys) else b""
 
 
@@ -210,7 +230,7 @@ def _words_sent(layout: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = row["keys"].split(b" ")
+                words = _words(row["keys"])
                 sent = _home_rows(row["lang"], row["blk"], _home(_word_hashes(words), row["homes"]), words,
                                   _whole(row["counts"], np.int64), np.zeros(len(words), np.int16))
                 yield from _table(sent, schema).to_batches()
