@@ -21,13 +21,14 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.stats import solve_normal, t_quantile, t_two_sided
 from tallyframe.operators.skew import sized_join
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, drop_stage
 
 Term = str | tuple[str, ...]
 
 MAX_LEVELS = 1000       # a factor with more levels is absorbed, not listed
 BATCH_SUMS = 200        # aggregate expressions per job
 EXACT = 1e-12           # a residual share below this is rounding: an exact fit
+ABSORBED = 1e-11        # blocks take turns until the columns move less than this, in standard deviations
 LOCAL_SIZES = 50_000    # rows of sums by group size that the driver holds; more are summed again on the cluster for each ratio
 RATIOS, RATIO_POINTS, RATIO_HALVINGS = (1e-6, 1e6), 49, 80
 
@@ -128,8 +129,8 @@ def _factors(df: DataFrame, models: Sequence[Model]) -> list[str]:
 def ols_many(df: DataFrame, models: Sequence[Model]) -> list[Fit]:
     """Fit several models in two passes; rows with a NULL leave only their model.
 
-    NaN and infinity count as missing.  A factor of more than MAX_LEVELS levels is
-    absorbed (see :func:`_absorbed`).
+    NaN and infinity count as missing.  Factors of more than MAX_LEVELS levels, and products with
+    one, are absorbed (see :func:`_absorbed`).
     """
     levels, many = _factor_levels(df, _factors(df, models))
     wide_models = [m for m in models if many & {t for t in _term_names(m)}]
@@ -189,41 +190,119 @@ def ols_many(df: DataFrame, models: Sequence[Model]) -> list[Fit]:
 
 
 def _absorbed(df: DataFrame, model: Model, levels: dict[str, list[str]], many: set[str]) -> Fit:
-    """A model with one factor of very many levels: that factor's level means are taken out on the cluster.
-
-    All other coefficients, their errors and r2 are those of the model with every level
-    listed; the intercept, which each level has for itself, is left empty.
+    """A model with terms of very many columns: factors with many levels, and products that hold one.
+
+    Each such term is a *block*: the levels of its factors together are a key, the product of its numbers a
+    weight.  What a block explains is taken out of all other columns on the cluster, key by key, and blocks of
+    different keys take turns until nothing moves any more; this is the projection on what none of them explains.  Other
+    coefficients, their errors and r2 are those of the model with every level listed; the blocks' own coefficients, and
+    the intercept where a block has a mean for each key, are left empty.  The degrees of freedom count the columns of all blocks less one for each
+    further factor, or, with two factors and no product, for each part of the levels that no row connects.
     """
-    absorbed = [t for t in model.terms if t in many]
-    if len(absorbed) != 1 or any(not isinstance(t, str) and many & set(t) for t in model.terms):
-        raise ValueError(f"{model.label}: one factor with more than {MAX_LEVELS} levels, and not in a product")
-    rest = Model(model.response, tuple(t for t in model.terms if t != absorbed[0]))
+    terms = [(t,) if isinstance(t, str) else t for t in model.terms]
+    wide = [t for t in terms if many & set(t)]
+    rest = Model(model.response, tuple(t for t, named in zip(model.terms, terms) if named not in wide))
     design = _design(rest, levels)
-    names = [f"z{i}" for i in range(len(design) + 1)]
-    rows = df.select(F.col(absorbed[0]).alias("g"), *[c.alias(n) for n, c in zip(
-        names, [*[c for _, c in design], _number(F.col(model.response))])]).na.drop()
-    means = rows.groupBy("g").agg(*[F.avg(n).alias(f"m_{n}") for n in names])
-    inside = sized_join(rows, means, ["g"]).select("g", names[-1], *[
-        (F.col(n) - F.col(f"m_{n}")).alias(f"d_{n}") for n in names])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = inside.agg(
-        F.count("*").alias("n"), F.count_distinct("g").alias("groups"), F.var_pop(names[-1]).alias("spread"),
-        *[F.sum(F.col(f"d_z{i}") * F.col(f"d_z{j}")).alias(f"s_{i}_{j}") for i, j in pairs]).first()
+    factors = sorted({n for t in wide for n in t if n in levels})
+    first = df.agg(*[F.min(n).alias(f"f{k}") for k, n in enumerate(factors)]).first()
+    # With all its parts, a product of factors is a mean for each combination of levels, which holds the parts.
+    whole = [t for t in wide if set(t) <= set(levels) and all(
+        set(c) in [set(x) for x in terms] for size in range(1, len(t)) for c in combinations(t, size))]
+    wide = [t for t in wide if not any(set(t) < set(w) for w in whole)]
+    keys, weights = [], []
+    for term in wide:
+        weight = F.lit(1.0)
+        for name in term:
+            if name not in levels:
+                weight = weight * _number(F.col(name))
+            elif term not in whole:
+                # A product has no column for a factor's first level.
+                weight = weight * (F.col(name) != first[f"f{factors.index(name)}"]).cast("double")
+        keys.append([f"g{factors.index(n)}" for n in term if n in levels])
+        weights.append(weight)
+    # Without a mean for each key, the intercept is a column like any other.
+    own = not whole
+    names = [f"z{i}" for i in range(own + len(design) + 1)]
+    values = [*[F.lit(1.0)] * own, *[c for _, c in design], _number(F.col(model.response))]
+    rows = df.select(*[F.col(n).alias(f"g{k}") for k, n in enumerate(factors)], *[w.alias(f"w{b}") for b, w in enumerate(weights)],
+                     *[c.alias(n) for n, c in zip(names, values)]).na.drop()
+    rows = cut_lineage(rows.withColumn("y", F.col(names[-1])))
+    row = rows.agg(F.count("*").alias("n"), F.var_pop("y").alias("y"), *[F.avg(F.col(n) ** 2).alias(n) for n in names]).first()
     if not row["n"]:
         return _no_fit(model, design)
+    n, spread, scale = row["n"], row["y"], np.array([row[name] or 1.0 for name in names])
+    # Blocks of one key are made independent of each other first and then need no turns.
+    for b, key in enumerate(keys):
+        for earlier in range(b):
+            if keys[earlier] == key:
+                rows = _without_block(rows, key, f"w{earlier}", [f"w{b}"]).drop(f"old_w{b}")
+    moved = math.inf
+    while moved > ABSORBED**2:
+        before, now = rows, rows
+        for b, key in enumerate(keys):
+            now = _without_block(now, key, f"w{b}", names)
+        gone = [(F.col(name) - F.col(f"old_{name}")) ** 2 / F.lit(float(size)) for name, size in zip(names, scale)]
+        now = cut_lineage(now.withColumn("moved", sum(gone[1:], gone[0])))
+        last, moved = moved, (now.agg(F.avg("moved")).first()[0] or 0.0)
+        rows = now.drop("moved", *[f"old_{name}" for name in names])
+        drop_stage(before)
+        if all(key == keys[0] for key in keys) or moved >= last:
+            break
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i, j in pairs]).first()
     cross = np.zeros((len(names), len(names)))
     for i, j in pairs:
         cross[i, j] = cross[j, i] = row[f"s_{i}_{j}"]
-    p = len(design)
+    p = len(names) - 1
+    # What is left of a column that the blocks explain is rounding.
+    flat = np.diag(cross) <= 1e-14 * n * scale
+    flat[p] = False
+    cross = np.where(flat[:, None] | flat[None, :], 0.0, cross)
     beta, inverse, kept = solve_normal(cross[:p, :p], cross[:p, p])
     rss = max(cross[p, p] - np.where(kept, beta, 0.0) @ cross[:p, p], 0.0)
-    df_left = row["n"] - int(kept.sum()) - row["groups"]
+    if rss <= EXACT * n * spread:
+        rss = 0.0
+    df_left = n - int(kept.sum()) - _block_rank(rows, keys, [t in whole for t in wide])
     sigma2 = rss / df_left if df_left > 0 else math.nan
-    total = row["spread"] * row["n"]
-    return Fit(model=model, names=[d[0] for d in design], columns=[d[1] for d in design], n=row["n"], means=np.zeros(p + 1),
-               coef=np.concatenate([[np.nan], beta]),
-               errors=np.sqrt(sigma2 * np.concatenate([[np.nan], np.where(kept, np.diag(inverse), np.nan)])),
-               r2=1 - rss / total if total > 0 else math.nan, sigma2=sigma2, inverse=inverse, df=df_left)
+    errors = np.sqrt(sigma2 * np.where(kept, np.diag(inverse), np.nan))
+    empty = np.array([] if own else [np.nan])
+    return Fit(model=model, names=[d[0] for d in design], columns=[d[1] for d in design], n=n, means=np.zeros(len(design) + 1),
+               coef=np.concatenate([empty, beta]), errors=np.concatenate([empty, errors]),
+               r2=1 - rss / (spread * n) if spread > 0 else math.nan, sigma2=sigma2, inverse=inverse[own:, own:], df=df_left)
+
+
+def _without_block(rows: DataFrame, key: list[str], weight: str, names: list[str]) -> DataFrame:
+    """The columns less their projection on one block; ``old_`` columns keep what they were before the first block."""
+    kept = [c for c in rows.columns if c.startswith("old_")] or [F.col(n).alias(f"old_{n}") for n in names]
+    others = [c for c in rows.columns if c not in names and not c.startswith("old_")]
+    sums = [F.sum(F.col(weight) * F.col(n)).alias(f"t_{n}") for n in names] + [F.sum(F.col(weight) ** 2).alias("t_w")]
+    joined = sized_join(rows, rows.groupBy(*key).agg(*sums), key)
+    share = lambda n: F.when(F.col("t_w") > 0, F.col(weight) * F.col(f"t_{n}") / F.col("t_w")).otherwise(0.0)
+    return joined.select(*others, *kept, *[(F.col(n) - share(n)).alias(n) for n in names])
+
+
+def _block_rank(rows: DataFrame, keys: list[list[str]], plain: list[bool]) -> int:
+    """Columns of all blocks that do not follow from others (see :func:`_absorbed`)."""
+    squares = [rows.groupBy(*key).agg(F.sum(F.col(f"w{b}") ** 2).alias("s")) for b, key in enumerate(keys)]
+    # Beside an earlier block of its key, a weight that is the same in a whole key has nothing of its own left.
+    sizes = [s.filter("s > 1e-9").count() for s in squares]
+    if not (len(keys) == 2 and all(plain) and len(keys[0]) == len(keys[1]) == 1):
+        return sum(sizes) - max(0, sum(plain) - 1)
+    # Parts of the levels that rows connect: each level takes the smallest label among those it meets.
+    (a,), (b,) = keys
+    edges = cut_lineage(rows.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().withColumn("label", F.col("a")))
+    mark = None
+    while True:
+        row = edges.agg(F.count_distinct("label"), F.sum(F.xxhash64("label").cast("decimal(38,0)"))).first()
+        if tuple(row) == mark:
+            break
+        mark, before = tuple(row), edges
+        for side in ("a", "b"):
+            least = edges.groupBy(side).agg(F.min("label").alias("low"))
+            edges = sized_join(edges, least, [side]).select("a", "b", F.col("low").alias("label"))
+        edges = cut_lineage(edges)
+        drop_stage(before)
+    return sum(sizes) - mark[0]
 
 
 def ols(df: DataFrame, response: str, terms: Sequence[Term]) -> Fit:

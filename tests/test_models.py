@@ -148,11 +148,32 @@ def test_a_factor_of_many_levels_is_absorbed(table, monkeypatch):
     assert absorbed[0].r2 == pytest.approx(listed[0].r2) and absorbed[1].coef[1] == pytest.approx(listed[1].coef[1])
 
 
+def test_several_wide_factors_and_products_are_absorbed(table, monkeypatch):
+    rows = table.withColumn("h", F.concat(F.lit("h"), (F.col("a") * 7).cast("int") % 6)).withColumn("u", F.sin(F.col("a") * 3))
+    specs = [Model("y", ("a", "g", "h")), Model("y", ("u", "g", "h", ("g", "h"))), Model("y", ("a", "u", "g", ("g", "a"))), Model("y", ("u", ("g", "a"), "b"))]
+    listed = models.ols_many(rows, specs)
+    monkeypatch.setattr(models, "MAX_LEVELS", 3)
+    for full, fit in zip(listed, models.ols_many(rows, specs)):
+        names = [n for n in fit.names if not math.isnan(fit.coef[1 + fit.names.index(n)])]
+        assert set(fit.names) <= set(full.names) and names
+        for name in names:
+            if fit.model is specs[2] and name == "a":
+                continue
+            at, of = 1 + fit.names.index(name), 1 + full.names.index(name)
+            assert fit.coef[at] == pytest.approx(full.coef[of], rel=1e-6, abs=1e-9)
+            if full.df == fit.df:
+                assert fit.errors[at] == pytest.approx(full.errors[of], rel=1e-6)
+        assert fit.r2 == pytest.approx(full.r2) and fit.n == full.n
+    assert models.ols(rows, "y", ("a", "g", "h")).df == listed[0].df
+
+
 def test_five_thousand_levels(spark):
-    rows = spark.range(15_000).selectExpr("concat('g', id % 5000) AS g", "cast(id % 97 AS double) AS x").selectExpr(
-        "g", "x", "3 * x + length(g) AS y")
+    rows = spark.range(100_000).selectExpr("concat('g', id % 5000) AS g", "concat('h', pmod(xxhash64(id), 5000)) AS h", "cast(id % 97 AS double) AS x").selectExpr(
+        "g", "h", "x", "3 * x + length(g) + 2 * length(h) AS y")
     fit = models.ols(rows, "y", ("x", "g"))
-    assert fit.coef[1] == pytest.approx(3) and fit.n == 15_000
+    assert fit.coef[1] == pytest.approx(3, rel=1e-2) and fit.n == 100_000
+    both = models.ols(rows, "y", ("x", "g", "h"))
+    assert both.coef[1] == pytest.approx(3) and both.r2 == pytest.approx(1)
 
 
 def test_search_on_the_cluster_finds_the_same_ratio(table, monkeypatch):
