@@ -99,6 +99,44 @@ def posterior_density(items: DataFrame, draws: DataFrame, keys: Sequence[str], c
         *keys, "draw", F.exp(F.col("intercept") + F.col("slope") * F.col(log_mass)).alias("density"))
 
 
+CHUNK_DRAWS = 4096
+
+
+def posterior_summary(items: DataFrame, draws: DataFrame, keys: Sequence[str], code: str = "group_idx",
+                      log_mass: str = "LogMass", chunk_draws: int = CHUNK_DRAWS) -> DataFrame:
+    """Per item the draws' density: draws, mean, sd, log_mean, log_sd, least, most; nothing is made per item and draw.
+
+    Draws are packed in chunks of about ``chunk_draws`` per level.  Every different mass of a level meets every chunk
+    once and sums over it; the sums are taken around the level's mean line, so they keep their digits, and add up exactly
+    over chunks.  Items with the same level and mass share a result.  Draws with a missing line are left out; an item without a
+    mass, or of a level without draws, has no draws and NULLs; sd needs two draws.
+    """
+    known = draws.select("k", "intercept", "slope").na.drop()
+    middle = known.groupBy("k").agg(F.avg("intercept").alias("i0"), F.avg("slope").alias("s0"), F.count("*").alias("n"))
+    chunk = F.pmod(F.xxhash64("intercept", "slope"), F.ceil(F.col("n") / chunk_draws))
+    packed = sized_join(known, middle, ["k"]).groupBy("k", "i0", "s0", chunk.alias("chunk")).agg(
+        F.collect_list(F.struct("intercept", "slope")).alias("lines"))
+    items = items.select(*keys, F.col(code).cast("bigint").alias("k"), F.col(log_mass).alias("x"))
+    rows = sized_join(items.select("k", "x").na.drop().distinct(), packed, ["k"])
+    l0 = F.col("i0") + F.col("s0") * F.col("x")
+    rows = rows.select("k", "x", l0.alias("l0"), F.exp(l0).alias("v0"),
+                       F.transform("lines", lambda line: line["intercept"] + line["slope"] * F.col("x")).alias("logs"))
+    total = lambda values, of: F.aggregate(values, F.lit(0.0), lambda a, v: a + of(v))
+    parts = rows.select(
+        "k", "x", "l0", "v0", F.size("logs").alias("n"), F.array_min("logs").alias("low"), F.array_max("logs").alias("high"),
+        total("logs", lambda v: v - F.col("l0")).alias("l1"), total("logs", lambda v: (v - F.col("l0")) ** 2).alias("l2"),
+        total("logs", lambda v: F.exp(v) - F.col("v0")).alias("v1"), total("logs", lambda v: (F.exp(v) - F.col("v0")) ** 2).alias("v2"))
+    sums = parts.groupBy("k", "x", "l0", "v0").agg(
+        F.sum("n").alias("draws"), *[F.sum(c).alias(c) for c in ("l1", "l2", "v1", "v2")], F.min("low").alias("low"), F.max("high").alias("high"))
+    spread = lambda c: F.when(F.col("draws") > 1, F.sqrt(F.greatest(
+        F.lit(0.0), F.col(f"{c}2") - F.col(f"{c}1") ** 2 / F.col("draws")) / (F.col("draws") - 1)))
+    summary = sums.select("k", "x", "draws", (F.col("v0") + F.col("v1") / F.col("draws")).alias("mean"), spread("v").alias("sd"),
+                          (F.col("l0") + F.col("l1") / F.col("draws")).alias("log_mean"), spread("l").alias("log_sd"),
+                          F.exp("low").alias("least"), F.exp("high").alias("most"))
+    return sized_join(items, summary, ["k", "x"], "left").select(
+        *keys, F.coalesce("draws", F.lit(0)).alias("draws"), "mean", "sd", "log_mean", "log_sd", "least", "most")
+
+
 def posterior_point(items: DataFrame, medians: DataFrame, keys: Sequence[str], code: str = "group_idx",
                     log_mass: str = "LogMass") -> DataFrame:
     """The point estimate from the median slope and intercept of each level."""

@@ -520,6 +520,11 @@ oracle("predict_density", "enriched lines", f"""SELECT PreyScientificName,
 oracle("posterior_density", "enriched", f"""SELECT PreyScientificName, draw,
   {r('exp(intercept + slope * log10(PreyMass))', 'density')} FROM {_species}
   JOIN ({_draws_long}) ON k = CAST(substr(PreyOrder, 2) AS BIGINT)""")
+_densities = f"""(SELECT PreyScientificName, PreyOrder, PreyMass, intercept + slope * log10(PreyMass) AS l
+  FROM {_species} LEFT JOIN ({_draws_long}) ON k = CAST(substr(PreyOrder, 2) AS BIGINT))"""
+oracle("posterior_summary", "enriched", f"""SELECT PreyScientificName, count(l) AS draws, {r('avg(exp(l))', 'mean')},
+  {r('stddev_samp(exp(l))', 'sd')}, {r('avg(l)', 'log_mean')}, {r('stddev_samp(l)', 'log_sd')}, {r('min(exp(l))', 'least')}, {r('max(exp(l))', 'most')}
+  FROM {_densities} GROUP BY PreyScientificName, PreyOrder, PreyMass""")
 oracle("posterior_point", "enriched", f"""SELECT PreyScientificName,
   {r('exp(intercept + slope * log10(PreyMass))', 'density')} FROM {_species}
   JOIN {_medians} ON k = CAST(substr(PreyOrder, 2) AS BIGINT)""")

@@ -674,6 +674,12 @@ def posterior_density(spark, d):
     return density.posterior_density(_coded_species(spark, d), draws, [ITEM])
 
 
+@query
+def posterior_summary(spark, d):
+    draws = density.long_draws(star.posterior_draws(spark, d), [1, 2, 3, 4])
+    return density.posterior_summary(_coded_species(spark, d), draws, [ITEM])
+
+
 @query
 def posterior_point(spark, d):
     medians = density.median_by_level(density.long_draws(star.posterior_draws(spark, d), [1, 2, 3, 4]))

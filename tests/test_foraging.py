@@ -1,4 +1,6 @@
+import math
 import random
+import statistics
 
 import pytest
 from conftest import by_key
@@ -130,6 +132,22 @@ def test_density_prediction_and_posterior(spark, make_items):
     assert found[1] == pytest.approx(2.718281828 ** 2)
 
 
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_posterior_summary_equals_the_draws(spark, chunk):
+    rng = random.Random(3)
+    lines = [(d, k, 20 + rng.gauss(0, 0.1), rng.gauss(-0.7, 0.05)) for d in range(40) for k in (1, 2)] + [(99, 1, None, 1.0), (1, 5, 2.0, 1.0)]
+    draws = spark.createDataFrame(lines, "draw int, k bigint, intercept double, slope double").repartition(3)
+    items = spark.createDataFrame([("a", 1, 1.5), ("b", 1, 1.5), ("c", 2, 0.2), ("d", 2, None), ("e", 4, 1.0), ("f", 5, 1.0)], "name string, group_idx int, LogMass double")
+    found = by_key(density.posterior_summary(items, draws, ["name"], chunk_draws=chunk), "name")
+    for name, k, x in (("a", 1, 1.5), ("b", 1, 1.5), ("c", 2, 0.2)):
+        logs = [i + s * x for _, level, i, s in lines if level == k and i is not None]
+        values, row = [math.exp(v) for v in logs], found[name]
+        assert row.draws == 40 and (row.least, row.most) == pytest.approx((min(values), max(values)))
+        assert (row["mean"], row.sd) == pytest.approx((statistics.mean(values), statistics.stdev(values)))
+        assert (row.log_mean, row.log_sd) == pytest.approx((statistics.mean(logs), statistics.stdev(logs)))
+    assert [found[n].draws for n in "def"] == [0, 0, 1] and found["d"]["mean"] is None and found["f"].sd is None
+
+
 def test_fused_table_equals_the_single_operators(spark, make_items):
     rng = random.Random(1)
     rows = [(d, f"s{i:02}", rng.randint(1, 12), float(rng.randint(2, 9))) for d in range(1, 6) for i in range(3 * d)]
