@@ -665,7 +665,7 @@ CTES["steep"] = """
              > sum(CountInt * exp((lo + hi) / 2 * rank)) * sum(rank * exp((lo + hi) * rank)) AS up
     FROM steep s JOIN curve c ON s.DataSet = c.DataSet WHERE k < 60 GROUP BY s.DataSet, lo, hi, k)"""
 CTES["fits"] = """
-  SELECT DataSet, b, a, 1 - sum(pow(f - a * exp(b * rank), 2)) / sum(pow(f - 1.0 / n, 2)) AS rsquare FROM (
+  SELECT DataSet, b, a, 1 - sum(pow(f - a * exp(b * rank), 2)) / nullif(sum(pow(f - 1.0 / n, 2)), 0) AS rsquare FROM (
     SELECT c.DataSet, b, rank, n, CountInt / CAST(total AS DOUBLE) AS f,
            sum(CountInt / CAST(total AS DOUBLE) * exp(b * rank)) OVER (PARTITION BY c.DataSet)
              / sum(exp(2 * b * rank)) OVER (PARTITION BY c.DataSet) AS a
@@ -962,3 +962,19 @@ _outcome_row = f"""(SELECT *, d / (t * (1 - t * d)) AS w, CASE WHEN (x[q] = 1) =
 _newton("probit_glm", [("IsTopPreyBiggest", ["mass_of_most_common_dropones"], "")], """CAST(0 AS DOUBLE) AS b, CASE WHEN min(x[q]) = max(x[q])
     OR max(x[2]) FILTER (x[q] = 0) <= min(x[2]) FILTER (x[q] = 1) OR max(x[2]) FILTER (x[q] = 1) <= min(x[2]) FILTER (x[q] = 0) THEN 1 ELSE 0 END AS pen""",
         _outcome_row, 60, _glm_out)
+
+# --- small diets: the same statements over other items, traits and diets ------------------------------
+
+_sparse = {
+    "items": CTES["items"].replace("l_suppkey", "l_orderkey").replace("GROUP BY ALL", "WHERE preyorder <> 'O4' GROUP BY ALL"),
+    "traits": CTES["traits"].replace("FROM parts", "FROM parts WHERE genus NOT IN ('anvil', 'rod')"),
+    "meta": "SELECT o_orderkey AS DataSet, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(1 + o_orderkey % 5 AS DOUBLE) END AS PreyPerPellet FROM orders",
+}
+for _name in ("sp50", "lognormal_params", "exp_fit", "size_selectivity", "foraging_test"):
+    _text = ORACLES[_name]
+    for _table, _body in _sparse.items():
+        _text = _text.replace(f"{_table} AS MATERIALIZED ({CTES[_table]})", f"{_table} AS MATERIALIZED ({_body})")
+    # Many values of so few items lie halfway between two last digits.
+    for _value in ("ne_prey", "ne_disc", "diff"):
+        _text = _text.replace(f"round(CAST({_value} AS DOUBLE), 6)", f"round(CAST({_value} AS DECIMAL(30, 9)), 6)")
+    ORACLES[f"sparse_{_name}"] = _text

@@ -950,3 +950,42 @@ def random_intercept_biome(spark, d):
     rows = lookup.lookup(diets, traits, "Species", "Species1", {"Mass": "Mass"})
     rows = cut_lineage(lookup.lookup(rows, predator_traits(spark, d), "Continent", "species", {"FairProp": "FairProp"}))
     return models.mixed_table(spark, models.random_intercept_many(rows, model_list.BIOME))
+
+
+# --- small diets --------------------------------------------------------------------
+# An order is a diet of a few items; one prey order is excluded, and two genera have no mass.
+
+def sparse_items(spark: SparkSession, d: str) -> DataFrame:
+    return names.exclude_values(star.diet_items(spark, d, "l_orderkey"), "PreyOrder", ["O4"])
+
+
+def sparse_enriched(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.prey_mass(sparse_items(spark, d), star.sparse_traits(spark, d))
+
+
+@query
+def sparse_sp50(spark, d):
+    return comp.sp50(sparse_items(spark, d))
+
+
+@query
+def sparse_lognormal_params(spark, d):
+    return comp.lognormal_params(sparse_items(spark, d))
+
+
+@query
+def sparse_exp_fit(spark, d):
+    return curves.exp_fit(sparse_items(spark, d))
+
+
+@query
+def sparse_size_selectivity(spark, d):
+    return comp.size_selectivity(cut_lineage(sparse_enriched(spark, d)))
+
+
+@query
+def sparse_foraging_test(spark, d):
+    items = cut_lineage(tables.foraging_items(sparse_enriched(spark, d), density.allometry_by_order(log_obs(spark, d))))
+    tests = foraging.foraging_test(items, foraging.diet_totals(items, star.sparse_meta(spark, d)))
+    # Many values of so few items lie halfway between two last digits.
+    return tests.withColumns({c: F.round(c, 9) for c in ("ne_prey", "ne_disc", "diff")})

@@ -62,18 +62,18 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def diet_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (diet, id level, prey name) with the summed count."""
+def diet_items(spark: SparkSession, sf_dir: str, diet: str = "l_suppkey") -> DataFrame:
+    """One row per (diet, id level, prey name) with the summed count; the diet is a column of the line items."""
     level = F.when(F.col("l_linenumber") % 7 == 0, "Genus").otherwise("Species")
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_partkey", level.alias("IDLevel"),
+        diet, "l_partkey", level.alias("IDLevel"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
     )
     prey = F.when(F.col("IDLevel") == "Genus", genus_label("Genus")).otherwise(F.col("SciName"))
     return (
         lines.join(parts(spark, sf_dir), lines.l_partkey == F.col("p_partkey"))
         .groupBy(
-            F.col("l_suppkey").alias("DataSet"), "IDLevel",
+            F.col(diet).alias("DataSet"), "IDLevel",
             _case(F.col("PreyOrder"), CLASS_OF_ORDER).alias("PreyClass"), "PreyOrder",
             prey.alias("PreyScientificName"),
         )
@@ -89,6 +89,18 @@ def trait_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sparse_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species masses without two genera, whose prey then has no mass."""
+    return trait_mass(spark, sf_dir).filter(~F.col("Genus").isin("anvil", "rod"))
+
+
+def sparse_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order, the diet of the sparse mapping."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("DataSet"), F.when(key % 4 != 0, (1 + key % 5).cast("double")).alias("PreyPerPellet"))
+
+
 def trait_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unreduced trait table: many records per species."""
     return parts(spark, sf_dir).select(
