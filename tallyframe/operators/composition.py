@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import x_ln_x
+from tallyframe.operators.scan import Scan, group_totals, ordered_scan
 from tallyframe.operators.skew import sized_join
+from tallyframe.session import cut_lineage
 
 GROUP, ITEM, COUNT, MASS = "DataSet", "PreyScientificName", "CountInt", "PreyMass"
 
@@ -138,19 +140,17 @@ def unidentified_fraction(items: DataFrame, group: str = GROUP, item: str = ITEM
 
 def frequencies(items: DataFrame, group: str = GROUP, count: str = COUNT,
                 out: str = "Frequencies") -> DataFrame:
-    """Item count over the total of its group."""
-    totals = items.groupBy(group).agg(F.sum(count).alias("_total"))
-    return with_totals(items, totals, group).withColumn(
+    """Item count over the total of its group; rows without a group are left out."""
+    return group_totals(items, [group], {"_total": count}).withColumn(
         out, F.try_divide(F.col(count).cast("double"), F.col("_total"))).drop("_total")
 
 
 def group_share(items: DataFrame, columns: dict[str, str], group: str = GROUP) -> DataFrame:
-    """Each value over the group sum of its column; ``columns`` maps output -> column."""
-    totals = items.groupBy(group).agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in columns.items()])
+    """Each value over the group sum of its column; ``columns`` maps output -> column.  Rows without a group are left out."""
+    sums = {f"_sum_{out}": c for out, c in columns.items()}
     shares = {out: F.try_divide(F.col(c).cast("double"), F.col(f"_sum_{out}"))
               for out, c in columns.items()}
-    return with_totals(items, totals, group).withColumns(shares).drop(
-        *[f"_sum_{out}" for out in columns])
+    return group_totals(items, [group], sums).withColumns(shares).drop(*sums)
 
 
 def richness(items: DataFrame, group: str = GROUP) -> DataFrame:
@@ -397,6 +397,7 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataF
     """Correlation of two columns over rows where both are known."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     if method == "spearman":
+        both = cut_lineage(both)
         both = sized_join(both, _average_ranks(both, a, "_ra"), [a])
         both = sized_join(both, _average_ranks(both, b, "_rb"), [b])
         return both.agg(F.corr("_ra", "_rb").alias("correlation"))
@@ -405,8 +406,6 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataF
 
 def _average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Distinct value -> mean rank of its rows."""
-    from tallyframe.operators.scan import Scan, ordered_scan
-
     sizes = df.groupBy(column).agg(F.count("*").alias("_n"))
     upto = ordered_scan(sizes, [], [Scan([column], running={"_upto": "_n"})])
     return upto.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import flag_count
 from tallyframe.operators.scan import HOT_ROWS, Scan, ordered_scan
 from tallyframe.operators.skew import sized_join
+from tallyframe.session import cut_lineage
 
 # Renames of the diet table to the names of the phylogeny.
 DIET_RENAMES = {
@@ -94,6 +95,26 @@ def level_codes(df: DataFrame, column: str, levels: Sequence[str] | None = None,
     if levels is not None:
         position = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(column))
         return df.withColumn(out, F.nullif(position, F.lit(0)).cast("bigint"))
-    values = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    codes = ordered_scan(values, [], [Scan([column], rank=out)], hot_rows)
-    return sized_join(df, codes, [column], "left")
+    return code_columns(df, {out: column}, hot_rows)
+
+
+def code_columns(df: DataFrame, columns: Mapping[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Codes from 1 in sorted order for several columns at once; ``columns`` maps output -> column.
+
+    ``df`` is read once.  The distinct values of all columns of one type are found
+    and ranked together, with the column as their group.  NULL gets NULL.
+    """
+    rows = cut_lineage(df)
+    kinds: dict[str, list[str]] = {}
+    for out, column in columns.items():
+        kinds.setdefault(df.schema[column].dataType.simpleString(), []).append(out)
+    for outs in kinds.values():
+        pairs = rows.select(F.explode(F.array(*[
+            F.struct(F.lit(out).alias("_out"), F.col(columns[out]).alias("_value")) for out in outs
+        ])).alias("_pair")).select("_pair.*").filter(F.col("_value").isNotNull()).distinct()
+        codes = cut_lineage(ordered_scan(pairs, ["_out"], [Scan(["_value"], rank="_code")], hot_rows))
+        for out in outs:
+            one = codes.filter(F.col("_out") == out).select(
+                F.col("_value").alias(columns[out]), F.col("_code").alias(out))
+            rows = sized_join(rows, one, [columns[out]], "left")
+    return rows.select(*df.columns, *columns)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.composition import COUNT, GROUP, ITEM, MASS, group_share, with_totals
+from tallyframe.operators.composition import COUNT, GROUP, ITEM, MASS, group_share
 from tallyframe.operators.scan import HOT_ROWS, Scan, ordered_scan
 
 
 def rank_abundance(items: DataFrame, group: str = GROUP, item: str = ITEM, count: str = COUNT,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rank 1..n by descending count with frequency and running count."""
-    totals = items.groupBy(group).agg(F.sum(count).alias("_total"))
+    """Rank 1..n by descending count with frequency and running count; rows without a group are left out.
+
+    Rank, running count and total come from one reading and one sort.
+    """
     scan = Scan([f"-{count}", item], rank="rank", running={"running_count": count})
-    ranked = with_totals(ordered_scan(items, [group], [scan], hot_rows), totals, group)
+    ranked = ordered_scan(items, [group], [scan], hot_rows, totals={"_total": count}, named_only=True)
     total = F.col("_total")
     return ranked.withColumns({
         "frequency": F.try_divide(F.col(count).cast("double"), total),
@@ -24,11 +26,11 @@ def rank_abundance(items: DataFrame, group: str = GROUP, item: str = ITEM, count
 
 def cumulative_share(items: DataFrame, group: str = GROUP, item: str = ITEM, count: str = COUNT,
                      by: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Running share of the group total, in rank order or in name order."""
+    """Running share of the group total, in rank order or in name order; rows without a group are left out."""
     order = [f"-{count}", item] if by == "rank" else [item]
-    totals = items.groupBy(group).agg(F.sum(count).alias("_total"))
-    summed = ordered_scan(items, [group], [Scan(order, running={"_running": count})], hot_rows)
-    return with_totals(summed, totals, group).withColumn(
+    summed = ordered_scan(items, [group], [Scan(order, running={"_running": count})], hot_rows,
+                          totals={"_total": count}, named_only=True)
+    return summed.withColumn(
         "cumulative", F.try_divide(F.col("_running").cast("double"), F.col("_total"))
     ).drop("_running", "_total")
 

@@ -207,8 +207,7 @@ def remap_names(spark, d):
 @query
 def level_codes(spark, d):
     rows = star.diet_items(spark, d).select(GROUP, "PreyClass", "PreyOrder", ITEM)
-    coded = names.level_codes(rows, "PreyOrder", out="order_code")
-    coded = names.level_codes(coded, ITEM, out="item_code")
+    coded = names.code_columns(rows, {"order_code": "PreyOrder", "item_code": ITEM})
     return names.level_codes(coded, "PreyClass", ["Insecta", "Aves"], out="class_code")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -75,7 +76,24 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     _STAGES.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stage = df.sparkSession.read.schema(df.schema).parquet(path)
+    # Only this very frame is the stage; a frame derived from it is not.
+    stage.__dict__["_is_stage"] = True
+    return stage
+
+
+def counted_stage(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as a stage and its number of rows, in one reading.
+
+    The rows are counted while they are written, by an accumulator: a task that ran twice can only make the
+    number larger, so it may choose a plan but is no result.  A frame that is a stage already is not written again.
+    """
+    if df.__dict__.get("_is_stage"):
+        return df, df.count()
+    seen = Observation()
+    stage = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get.get("rows")
+    return stage, stage.count() if rows is None else rows
 
 
 _STAGES: list[str] = []

@@ -3,7 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators.scan import Scan, grouped_median, ordered_scan
+from tallyframe.operators import composition as comp
+from tallyframe.operators import ranks
+from tallyframe.operators.names import code_columns
+from tallyframe.operators.scan import Scan, group_totals, grouped_median, ordered_scan
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +55,69 @@ def test_grouped_median(spark, hot_rows):
                                "g int, x double").repartition(5)
     found = {r.g: r["median"] for r in grouped_median(df, ["g"], "x", hot_rows=hot_rows).collect()}
     assert found == {1: 50.0, 2: (19 * 19 + 20 * 20) / 2}
+
+
+def counting(spark, df):
+    """``df`` and the number of its rows that were read so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 300, 50])
+def test_one_reading_gives_ranks_sums_and_totals(spark, make_items, hot_rows):
+    rng = random.Random(3)
+    rows = [(1, f"n{i:04}", rng.randint(1, 9)) for i in range(400)] + [(2, f"n{i}", 1) for i in range(40)]
+    rows += [(None, "lost", 5), (3, "unknown", None), (3, "known", 4)]
+    items, seen = counting(spark, make_items(rows, 5))
+    for run in (lambda: ranks.rank_abundance(items, hot_rows=hot_rows),
+                lambda: ranks.cumulative_share(items, hot_rows=hot_rows),
+                lambda: ranks.first_crossing(ranks.cumulative_share(items, hot_rows=hot_rows), 0.3),
+                lambda: group_totals(items, ["DataSet"], {"t": "CountInt"}, hot_rows)):
+        before = seen.value
+        found = run().collect()
+        assert seen.value - before == len(rows)
+        assert {r.DataSet for r in found} == {1, 2, 3}
+    totals = {1: sum(r[2] for r in rows[:400]), 2: 40, 3: 4}
+    ranked = ranks.rank_abundance(items, hot_rows=hot_rows).collect()
+    assert len(ranked) == len(rows) - 1
+    for key in (1, 2):
+        running = 0
+        wanted = sorted((-c, n) for d, n, c in rows if d == key)
+        for r, (c, n) in zip(sorted((r for r in ranked if r.DataSet == key), key=lambda r: r["rank"]), wanted, strict=True):
+            running -= c
+            assert (r.PreyScientificName, r.running_count) == (n, running)
+            assert r.cumulative == pytest.approx(running / totals[key]) and r.frequency == pytest.approx(-c / totals[key])
+    assert all(r.t == totals[r.DataSet] for r in found)
+
+
+def test_scans_of_empty_tables_and_unknown_values(spark):
+    none = spark.createDataFrame([], "g int, x bigint")
+    assert ordered_scan(none, ["g"], [Scan(["x"], "r", {"s": "x"})], totals={"t": "x"}).collect() == []
+    assert ordered_scan(none, [], [Scan(["x"], "r", {"s": "x"})]).collect() == []
+    df = spark.createDataFrame([(i, None if i < 60 else 1) for i in range(100)], "i int, x bigint").repartition(4)
+    found = {r.i: (r.r, r.s) for r in ordered_scan(df, [], [Scan(["i"], "r", {"s": "x"})], chunk_rows=9).collect()}
+    assert found == {i: (i + 1, None if i < 60 else i - 59) for i in range(100)}
+
+
+def test_no_window_is_without_partition_keys(spark):
+    df = spark.range(500).select((F.col("id") % 37).alias("x"), F.col("id").cast("string").alias("y"))
+    for out in (ordered_scan(df, [], [Scan(["x"], "r", {"s": "x"})]), code_columns(df, {"a": "x", "b": "y"}),
+                comp.correlation(df.withColumn("z", F.col("y").cast("int")), "x", "z", "spearman")):
+        plan = out._jdf.queryExecution().optimizedPlan()
+        nodes = [plan]
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "Window":
+                assert not node.partitionSpec().isEmpty()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    seen_df, seen = counting(spark, df)
+    coded = code_columns(seen_df, {"a": "x", "b": "y"}).collect()
+    assert seen.value == 500
+    names = sorted(str(i) for i in range(500))
+    assert all(r.a == r.x + 1 and names[r.b - 1] == r.y for r in coded)
