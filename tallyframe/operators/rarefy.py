@@ -8,6 +8,11 @@ The abundance spectrum of a group fixes its samples: the block a draw falls
 into and the place inside the block give the rank of the item.  So each group
 brings at most sqrt(2N) rows to its task, and the draws themselves are never
 shuffled.
+
+``rarefied_metrics`` and its kin make every draw, so that another engine can
+repeat them.  ``sampled_metrics`` and ``sampled_frequencies`` draw the counts of a
+sample themselves (a multinomial, by conditional binomials): their work follows
+the items met and no longer the size of the sample.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from tallyframe.operators.ranks import rank_abundance
 from tallyframe.session import spread
 
 _MASK = np.uint64(0xFFFFFFFF)
+# Cells of one matrix of drawn counts.
+CELLS = 1 << 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +75,7 @@ def _drawable(items: DataFrame, group: str, count: str) -> DataFrame:
 def _per_group(blocks: DataFrame, group: str, count: str, fields: dict[str, T.DataType], rows) -> DataFrame:
     """Run ``rows(key, spectrum)`` once per group; the key is added to its result."""
     # Zero counts are never drawn.
-    blocks = blocks.filter(F.col(count) > 0).select(group, count, "items_before", "count_before", "total")
+    blocks = blocks.filter(F.col(count) > 0).select(group, count, "n_items", "items_before", "count_before", "total")
     out = T.StructType([T.StructField(group, blocks.schema[group].dataType),
                         *[T.StructField(name, type_) for name, type_ in fields.items()]])
 
@@ -137,6 +144,109 @@ def rarefied_metrics_from(blocks: DataFrame, m: int = 100, reps: int = 200, seed
     return _per_group(blocks, group, count, {n: T.DoubleType() for n in names}, rows)
 
 
+def sampled_counts(block: pd.DataFrame, key: object, count: str, m: int, reps: int, seed: int):
+    """Yield (replicate index, rank, times drawn) arrays that together are ``reps`` samples of ``m``.
+
+    The counts of a sample are multinomial.  The draws that fall into each block of
+    equal counts come first, one binomial per block given the blocks before; the draws
+    of a block are then divided among its items, which are alike: by binomials again
+    where it has fewer items than draws, else by choosing an item for each draw.  A
+    sample so costs at most the smaller of its items and its draws, whatever ``m`` is.
+
+    The generator is counter-based and keyed by (key, seed); the samples depend on the
+    spectrum, the key and the seed only.
+    """
+    block = block.sort_values("count_before")
+    rng = np.random.Generator(np.random.Philox(
+        key=int(hashlib.md5(f"{key}|{seed}".encode()).hexdigest(), 16)))
+    items = block["n_items"].to_numpy(np.int64)
+    before = block["items_before"].to_numpy(np.int64)
+    share = block[count].to_numpy(np.float64) * items
+    share /= share.sum()
+    rows = max(1, CELLS // len(items))
+    for first in range(0, reps, rows):
+        inside = rng.multinomial(m, share, size=min(rows, reps - first))
+        for b in np.flatnonzero(inside.any(axis=0)):
+            for rep, item, n in _divide(rng, inside[:, b], int(items[b])):
+                yield rep + first, item + before[b] + 1, n
+
+
+def _divide(rng: np.random.Generator, draws: np.ndarray, items: int):
+    """Divide each number of draws among ``items`` alike items, in bounded pieces."""
+    if items > CELLS:
+        pieces = -(-items // CELLS)
+        sizes = np.full(pieces, items // pieces)
+        sizes[:items % pieces] += 1
+        table = rng.multinomial(draws, sizes / items)
+        for p, offset in enumerate(np.cumsum(sizes) - sizes):
+            if table[:, p].any():
+                for rep, item, n in _divide(rng, table[:, p], int(sizes[p])):
+                    yield rep, item + offset, n
+        return
+    if items == 1:
+        rep = np.flatnonzero(draws)
+        yield rep, np.zeros(len(rep), np.int64), draws[rep]
+        return
+    dense = items <= draws.max()
+    # A row's cells are its items, or its draws where they are fewer: at most CELLS, and one row is the least
+    # that a piece can hold.
+    ends = np.cumsum(np.maximum(1, np.full(len(draws), items) if dense else draws))
+    start = 0
+    while start < len(draws):
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + CELLS, side="right")))
+        part = draws[start:end]
+        if dense:
+            table = rng.multinomial(part, np.full(items, 1.0 / items))
+            rep, item = np.nonzero(table)
+            yield rep + start, item, table[rep, item]
+        else:
+            owner = np.repeat(np.arange(len(part)), part)
+            cells, n = np.unique(owner * items + rng.integers(0, items, len(owner)), return_counts=True)
+            yield cells // items + start, cells % items, n
+        start = end
+
+
+def sampled_frequencies(items: DataFrame, m: int = 100, reps: int = 200, seed: int = 1,
+                        group: str = GROUP, count: str = COUNT) -> DataFrame:
+    """(group, rep, rank, n) of multinomial samples: the form of :func:`frequency_table`, for samples of any size.
+
+    Ranks number the items by descending count.  Groups with an unknown count, or
+    without a positive one, have no rows.
+    """
+    def rows(key, block):
+        found = [pd.DataFrame({"rep": rep + 1, "rank": rank, "n": n})
+                 for rep, rank, n in sampled_counts(block, key, count, m, reps, seed)]
+        return pd.concat(found, ignore_index=True)
+
+    fields = {"rep": T.IntegerType(), "rank": T.LongType(), "n": T.LongType()}
+    return _per_group(_drawable(items, group, count), group, count, fields, rows)
+
+
+def sampled_metrics(items: DataFrame, m: int = 100, reps: int = 200, seed: int = 1, group: str = GROUP,
+                    count: str = COUNT) -> DataFrame:
+    """Mean richness, mean entropy and highest top frequency over multinomial samples of any size.
+
+    The quantities of :func:`rarefied_metrics` from other samples of the same law.
+    Groups with an unknown count, or without a positive one, get NULL, and so do rows without a group.
+    """
+    def rows(key, block):
+        richness, n_ln_n, top = np.zeros(reps), np.zeros(reps), 0
+        for rep, _, n in sampled_counts(block, key, count, m, reps, seed):
+            richness += np.bincount(rep, minlength=reps)
+            n_ln_n += np.bincount(rep, n * np.log(n), minlength=reps)
+            top = max(top, int(n.max(initial=0)))
+        return pd.DataFrame({
+            "rare_richness": [richness.mean()],
+            "rare_entropy": [(np.log(m) - n_ln_n / m).mean()],
+            "rare_top_frequency": [top / m],
+        })
+
+    names = ("rare_richness", "rare_entropy", "rare_top_frequency")
+    metrics = _per_group(_drawable(items, group, count), group, count, {n: T.DoubleType() for n in names}, rows)
+    return items.select(group).distinct().join(metrics, group, "left")
+
+
 def expected_rarefied_richness(items: DataFrame, m: int = 100, group: str = GROUP,
                                count: str = COUNT) -> DataFrame:
     """Closed form of the mean richness: sum of 1 - (1 - f)^m."""

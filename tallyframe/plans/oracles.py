@@ -497,6 +497,10 @@ oracle("rarefied_entropy", "curve", f"SELECT DataSet, {r('rare_entropy')} FROM (
 oracle("rarefied_top_frequency", "curve", f"SELECT DataSet, {r('rare_top_frequency')} FROM ({rare_sql(100, 100)})")
 oracle("expected_rarefied_richness", "curve", f"""SELECT DataSet,
   {r('sum(1 - pow(1 - CountInt / CAST(total AS DOUBLE), 100))', 'expected_richness')} FROM curve GROUP BY DataSet""")
+oracle("sampled_metrics", "curve", """SELECT DataSet, CAST(count(*) AS DOUBLE) AS rare_richness, true AS entropy_agrees
+  FROM curve WHERE CountInt > 0 GROUP BY DataSet""")
+oracle("sampled_richness", "curve", f"""SELECT count(DISTINCT DataSet) AS diets,
+  {r('sum(1 - pow(1 - CountInt / CAST(total AS DOUBLE), 100))', 'expected_richness')}, true AS agrees FROM curve""")
 _known = """(SELECT * FROM curve WHERE DataSet NOT IN (SELECT DataSet FROM items
   WHERE DataSet % 4 = 1 AND PreyScientificName = 'gear sp'))"""
 oracle("rarefaction_skips_unknown", "curve", f"""SELECT d.DataSet, {r('coalesce(rare_richness, 0)', 'rare_richness')},

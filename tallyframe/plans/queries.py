@@ -636,6 +636,30 @@ def rarefaction_effect(spark, d):
     return rarefy.rarefaction_effect(star.diet_items(spark, d))
 
 
+@query
+def sampled_metrics(spark, d):
+    """Samples of ten million: every item is met, and the entropy is that of the whole diet."""
+    items = cut_lineage(star.diet_items(spark, d))
+    return rarefy.sampled_metrics(items, m=10_000_000).join(comp.shannon_entropy(items), GROUP).select(
+        GROUP, "rare_richness", (F.abs(F.col("rare_entropy") - F.col("entropy")) < 1e-4).alias("entropy_agrees"))
+
+
+@query
+def sampled_richness(spark, d):
+    """Mean richness of 200 samples of 100 per diet against its expectation, summed over the diets.
+
+    The variance of a richness is at most the sum of q (1 - q) with q the chance that an item is missed.
+    """
+    items = cut_lineage(star.diet_items(spark, d))
+    q = F.pow(1 - F.col(COUNT) / F.col("total"), F.lit(100.0))
+    law = comp.ranked_spectrum(items).groupBy(GROUP).agg(
+        F.sum(F.col("n_items") * (1 - q)).alias("expected"), F.sum(F.col("n_items") * q * (1 - q)).alias("variance"))
+    gap = F.abs(F.sum("rare_richness") - F.sum("expected"))
+    return rarefy.sampled_metrics(items, m=100, reps=200).join(law, GROUP).agg(
+        F.count("*").alias("diets"), F.sum("expected").alias("expected_richness"),
+        (gap <= 4 * F.sqrt(F.sum("variance") / 200)).alias("agrees"))
+
+
 # --- density and regressions ---------------------------------------------------------
 
 @query
