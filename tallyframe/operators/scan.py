@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.skew import HOT_ROWS, sized_join
-from tallyframe.session import counted_stage, cut_lineage
+from tallyframe.session import cut_lineage, measured_stage, stage_size
 
 CHUNK_ROWS = 1_000_000
 # Chunk totals of rows without groups pass through the driver; beyond this many the chunks grow.
@@ -66,7 +66,8 @@ def ordered_scan(df: DataFrame, group: Sequence[str], scans: Sequence[Scan], hot
     group, totals = list(group), dict(totals or {})
     if totals and not group:
         raise ValueError("totals are sums of groups")
-    rows, count = counted_stage(df)
+    rows = measured_stage(df)
+    count, _ = stage_size(rows)
     if not group:
         return _scan_chunks(rows, group, scans, count, chunk_rows)
     if named_only:

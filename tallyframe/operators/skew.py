@@ -1,7 +1,7 @@
 """Joins whose left side is large and may hold one key in a large part of its rows.
 
-``sized_join`` stages the right side (totals, a reduced look-up table) and broadcasts
-it only when it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes; the
+``sized_join`` stages the right side (totals, a reduced look-up table), measures it while it is
+written, and broadcasts it only when it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes; the
 left side is then not shuffled at all.  Where only the left side is that small, that one
 is broadcast.  Anything larger goes through ``skew_join``.
 
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, measured_stage, stage_size
 
 HOT_ROWS = 5_000_000
 BROADCAST_ROWS = 100_000
@@ -28,19 +28,18 @@ NULL_SALTS = 4096
 
 
 def is_small(df: DataFrame) -> bool:
-    """At most BROADCAST_ROWS rows of at most BROADCAST_BYTES bytes as text."""
-    some = df.limit(BROADCAST_ROWS + 1)
-    rows, size = some.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    """At most BROADCAST_ROWS rows of at most BROADCAST_BYTES bytes."""
+    rows, size = stage_size(df)
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def sized_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on shared names with sides of unknown size."""
-    right = cut_lineage(right)
+    right = measured_stage(right)
     if is_small(right):
         return left.join(F.broadcast(right), list(keys), how)
     if how == "inner":
-        left = cut_lineage(left)
+        left = measured_stage(left)
         if is_small(left):
             return F.broadcast(left).join(right, list(keys), how)
     return skew_join(left, right, keys, how)

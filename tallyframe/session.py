@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -82,18 +83,42 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return stage
 
 
-def counted_stage(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` as a stage and its number of rows, in one reading.
+def row_measure(schema: T.StructType) -> list[Column]:
+    """Aggregates ``rows`` and ``bytes``: eight bytes a field, and the length of every text, binary or nested value."""
+    length: Column = F.lit(8 * len(schema.fields)).cast("bigint")
+    for field in schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            length = length + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            length = length + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")]
 
-    The rows are counted while they are written, by an accumulator: a task that ran twice can only make the
-    number larger, so it may choose a plan but is no result.  A frame that is a stage already is not written again.
+
+def stage_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a frame, by one aggregate; known already for a measured stage."""
+    known = df.__dict__.get("_size")
+    if known is None:
+        known = tuple(df.agg(*row_measure(df.schema)).first())
+        if df.__dict__.get("_is_stage"):
+            df.__dict__["_size"] = known
+    return known
+
+
+def measured_stage(df: DataFrame) -> DataFrame:
+    """``df`` as a stage that knows its size, in one reading.
+
+    Rows and bytes are summed while they are written, by an accumulator: a task that ran twice can only make them
+    larger, so they may choose a plan but are no result.  A frame that is a stage already is not written again.
     """
     if df.__dict__.get("_is_stage"):
-        return df, df.count()
+        return df
     seen = Observation()
-    stage = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    rows = seen.get.get("rows")
-    return stage, stage.count() if rows is None else rows
+    stage = cut_lineage(df.observe(seen, *row_measure(df.schema)))
+    found = seen.get
+    if "rows" in found:
+        stage.__dict__["_size"] = (found["rows"], found["bytes"])
+    return stage
 
 
 _STAGES: list[str] = []

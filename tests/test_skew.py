@@ -88,3 +88,18 @@ def test_stages_are_deleted_when_asked(spark):
     clear_stages(spark)
     cut_lineage(spark.range(3))
     assert clear_stages(spark) == 1 and clear_stages(spark) == 0
+
+
+def test_a_stage_is_measured_while_it_is_written(spark):
+    from tallyframe.session import cut_lineage, measured_stage, stage_size
+
+    df = spark.createDataFrame([(1, "abc", [1, 2]), (2, None, None), (3, "é", [])], "k int, t string, a array<int>")
+    stage = measured_stage(df.repartition(3))
+    rows, size = stage_size(stage)
+    assert (rows, size) == stage.__dict__["_size"] == stage_size(df) and rows == 3 and size >= 3 * 24 + 3 + 2
+    assert measured_stage(stage) is stage
+    plain = cut_lineage(df)
+    assert measured_stage(plain) is plain and stage_size(plain) == (rows, size)
+    assert "_size" not in stage.filter("k = 1").__dict__ and "_is_stage" not in stage.select("k").__dict__
+    for empty in (df.filter("false"), spark.createDataFrame([], df.schema), df.filter("k > 9")):
+        assert stage_size(measured_stage(empty)) == (0, 0)
