@@ -18,52 +18,70 @@ the items met and no longer the size of the sample.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.operators.composition import COUNT, GROUP, ITEM, entropy_of, ranked_spectrum
 from tallyframe.operators.ranks import rank_abundance
-from tallyframe.session import spread
+from tallyframe.session import measured_stage, spread
 
-_MASK = np.uint64(0xFFFFFFFF)
 # Cells of one matrix of drawn counts.
 CELLS = 1 << 21
+_ARROW = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(),
+          T.ArrayType(T.IntegerType()): pa.list_(pa.int32())}
+
+# The columns of a ranked spectrum by name.
+Block = Mapping[str, np.ndarray]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """A 32-bit integer hash (multiply and xor-shift), on uint64 values."""
+    """A 32-bit integer hash (multiply and xor-shift), in place."""
     # The multipliers of a published 32-bit mixer.
-    x = x ^ (x >> np.uint64(16))
-    x = (x * np.uint64(0x7FEB352D)) & _MASK
-    x = x ^ (x >> np.uint64(15))
-    x = (x * np.uint64(0x846CA68B)) & _MASK
-    return x ^ (x >> np.uint64(16))
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def uniform(key: object, seed: int, size: int) -> np.ndarray:
     """``size`` numbers in [0, 1) with 52 bits each, a function of key and seed."""
     digest = hashlib.md5(f"{key}|{seed}".encode()).hexdigest()
-    a, b = (np.uint64(int(digest[i:i + 8], 16)) for i in (0, 8))
-    index = np.arange(size, dtype=np.uint64)
-    high = _mix((_mix((index + a) & _MASK) + b) & _MASK)
-    low = _mix((_mix((index + b) & _MASK) + a) & _MASK)
-    bits = (high >> np.uint64(6)) * np.uint64(1 << 26) + (low >> np.uint64(6))
-    return bits.astype(np.float64) / 4503599627370496.0
+    a, b = (np.uint32(int(digest[i:i + 8], 16)) for i in (0, 8))
+    index = np.arange(size, dtype=np.uint64).astype(np.uint32)
+    high = _mix(_mix(index + a) + b)
+    low = _mix(_mix(index + b) + a)
+    bits = (high >> np.uint32(6)) * np.float64(1 << 26)
+    bits += low >> np.uint32(6)
+    bits /= 4503599627370496.0
+    return bits
+
+
+def _ordered(block: Block, *names: str) -> list[np.ndarray]:
+    """Columns of a spectrum by descending count."""
+    order = np.argsort(np.asarray(block["count_before"]), kind="stable")
+    return [np.asarray(block[name])[order] for name in names]
 
 
-def draw_ranks(block: pd.DataFrame, key: object, count: str, m: int, reps: int, seed: int) -> np.ndarray:
+def draw_ranks(block: Block, key: object, count: str, m: int, reps: int, seed: int) -> np.ndarray:
     """Ranks drawn from one group, one row per replicate."""
-    block = block.sort_values("count_before")
-    total = int(block["total"].iloc[0])
-    before = block["count_before"].to_numpy(np.int64)
+    names = ("count_before", count, "n_items", "items_before", "total")
+    before, sizes, items, first, totals = (c.astype(np.int64) for c in _ordered(block, *names))
+    total = int(totals[0])
     position = np.floor(uniform(key, seed, m * reps) * total).astype(np.int64)
-    at = np.searchsorted(before, position, side="right") - 1
-    sizes = block[count].to_numpy(np.int64)
-    ranks = block["items_before"].to_numpy(np.int64)[at] + (position - before[at]) // sizes[at] + 1
+    ends = np.cumsum(sizes * items)
+    if 0 < total <= min(4 * m * reps, ends[-1]) and (ends - sizes * items == before).all():
+        # The rank of every individual: no more of them than a few per draw.
+        ranks = np.repeat(np.arange(1, items.sum() + 1), np.repeat(sizes, items))[position]
+    else:
+        at = np.searchsorted(before, position, side="right") - 1
+        ranks = first[at] + (position - before[at]) // sizes[at] + 1
     return ranks.reshape(reps, m)
 
 
@@ -73,36 +91,58 @@ def _drawable(items: DataFrame, group: str, count: str) -> DataFrame:
 
 
 def _per_group(blocks: DataFrame, group: str, count: str, fields: dict[str, T.DataType], rows) -> DataFrame:
-    """Run ``rows(key, spectrum)`` once per group; the key is added to its result."""
+    """Run ``rows(key, spectrum)``, which returns columns, once per group; the key is added to its result."""
     # Zero counts are never drawn.
     blocks = blocks.filter(F.col(count) > 0).select(group, count, "n_items", "items_before", "count_before", "total")
     out = T.StructType([T.StructField(group, blocks.schema[group].dataType),
                         *[T.StructField(name, type_) for name, type_ in fields.items()]])
 
-    def run(key, block):
-        return rows(key[0], block).assign(**{group: key[0]})[out.names]
+    # What the samples of rows without a group are keyed by.
+    numbers = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+    nameless = np.nan if isinstance(out[group].dataType, numbers) else None
 
-    return spread(blocks, group).groupBy(group).applyInPandas(run, out)
+    def run(key, table):
+        name = key[0].as_py() if key[0].is_valid else nameless
+        found = rows(name, {c: table.column(c).to_numpy() for c in table.column_names if c != group})
+        columns = [pa.array(found[name], _ARROW[type_]) for name, type_ in fields.items()]
+        return pa.Table.from_arrays([pa.repeat(key[0], len(columns[0])), *columns], out.names)
+
+    return spread(blocks, group).groupBy(group).applyInArrow(run, out)
 
 
 def rarefy(items: DataFrame, m: int = 100, reps: int = 200, seed: int = 1, group: str = GROUP,
            item: str = ITEM, count: str = COUNT) -> DataFrame:
-    """(group, rep, draw, rank, item): the drawn individuals in long form."""
+    """(group, rep, draw, rank, item): the drawn individuals in long form.
+
+    Each rank met goes to its item with the list of its draws, so the individuals are rows only behind the join.
+    """
     def rows(key, block):
-        ranks = draw_ranks(block, key, count, m, reps, seed)
-        rep, draw = np.divmod(np.arange(m * reps), m)
-        return pd.DataFrame({"rep": rep + 1, "draw": draw + 1, "rank": ranks.ravel()})
+        ranks = draw_ranks(block, key, count, m, reps, seed).ravel()
+        order = np.argsort(ranks, kind="stable")
+        met, first = np.unique(ranks[order], return_index=True)
+        ends = pa.array(np.append(first, len(order)), pa.int32())
+        return {"rank": met, "draws": pa.ListArray.from_arrays(ends, pa.array(order, pa.int32()))}
 
-    drawn = _per_group(
-        _drawable(items, group, count), group, count, {"rep": T.IntegerType(), "draw": T.IntegerType(), "rank": T.LongType()}, rows)
-    return drawn.join(rank_abundance(items, group, item, count).select(group, "rank", item), [group, "rank"])
+    items = measured_stage(items.select(group, item, count))
+    drawn = _per_group(_drawable(items, group, count), group, count,
+                       {"rank": T.LongType(), "draws": T.ArrayType(T.IntegerType())}, rows)
+    named = drawn.join(rank_abundance(items, group, item, count).select(group, "rank", item), [group, "rank"])
+    at = F.col("at")
+    return named.select(group, "rank", item, F.explode("draws").alias("at")).select(
+        group, "rank", (F.floor(at / m) + 1).cast("int").alias("rep"), (at % m + 1).cast("int").alias("draw"), item)
 
 
 def _tally(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(replicate index, rank, times drawn), sorted by replicate."""
+    """(replicate index, rank, times drawn), sorted by replicate and rank."""
     reps, m = ranks.shape
     span = int(ranks.max()) + 1
-    keys, n = np.unique((np.arange(reps)[:, None] * span + ranks).ravel(), return_counts=True)
+    keys = (np.arange(reps)[:, None] * span + ranks).ravel()
+    if span <= 8 * m:
+        # Few cells to a draw: counted without a sort.
+        table = np.bincount(keys, minlength=reps * span).reshape(reps, span)
+        rep, rank = np.nonzero(table)
+        return rep, rank, table[rep, rank]
+    keys, n = np.unique(keys, return_counts=True)
     return keys // span, keys % span, n
 
 
@@ -111,7 +151,7 @@ def frequency_table(items: DataFrame, m: int = 100, reps: int = 200, seed: int =
     """(group, rep, rank, n): how often each item occurs in each sample."""
     def rows(key, block):
         rep, rank, n = _tally(draw_ranks(block, key, count, m, reps, seed))
-        return pd.DataFrame({"rep": rep + 1, "rank": rank, "n": n})
+        return {"rep": rep + 1, "rank": rank, "n": n}
 
     return _per_group(
         _drawable(items, group, count), group, count, {"rep": T.IntegerType(), "rank": T.LongType(), "n": T.IntegerType()}, rows)
@@ -134,17 +174,13 @@ def rarefied_metrics_from(blocks: DataFrame, m: int = 100, reps: int = 200, seed
     def rows(key, block):
         rep, _, n = _tally(draw_ranks(block, key, count, m, reps, seed))
         entropy = np.log(m) - np.bincount(rep, n * np.log(n)) / m
-        return pd.DataFrame({
-            "rare_richness": [len(rep) / reps],
-            "rare_entropy": [entropy.mean()],
-            "rare_top_frequency": [n.max() / m],
-        })
+        return {"rare_richness": [len(rep) / reps], "rare_entropy": [entropy.mean()], "rare_top_frequency": [n.max() / m]}
 
     names = ("rare_richness", "rare_entropy", "rare_top_frequency")
     return _per_group(blocks, group, count, {n: T.DoubleType() for n in names}, rows)
 
 
-def sampled_counts(block: pd.DataFrame, key: object, count: str, m: int, reps: int, seed: int):
+def sampled_counts(block: Block, key: object, count: str, m: int, reps: int, seed: int):
     """Yield (replicate index, rank, times drawn) arrays that together are ``reps`` samples of ``m``.
 
     The counts of a sample are multinomial.  The draws that fall into each block of
@@ -156,12 +192,11 @@ def sampled_counts(block: pd.DataFrame, key: object, count: str, m: int, reps: i
     The generator is counter-based and keyed by (key, seed); the samples depend on the
     spectrum, the key and the seed only.
     """
-    block = block.sort_values("count_before")
+    share, items, before = _ordered(block, count, "n_items", "items_before")
+    items, before = items.astype(np.int64), before.astype(np.int64)
     rng = np.random.Generator(np.random.Philox(
         key=int(hashlib.md5(f"{key}|{seed}".encode()).hexdigest(), 16)))
-    items = block["n_items"].to_numpy(np.int64)
-    before = block["items_before"].to_numpy(np.int64)
-    share = block[count].to_numpy(np.float64) * items
+    share = share.astype(np.float64) * items
     share /= share.sum()
     rows = max(1, CELLS // len(items))
     for first in range(0, reps, rows):
@@ -215,9 +250,8 @@ def sampled_frequencies(items: DataFrame, m: int = 100, reps: int = 200, seed: i
     without a positive one, have no rows.
     """
     def rows(key, block):
-        found = [pd.DataFrame({"rep": rep + 1, "rank": rank, "n": n})
-                 for rep, rank, n in sampled_counts(block, key, count, m, reps, seed)]
-        return pd.concat(found, ignore_index=True)
+        rep, rank, n = (np.concatenate(x) for x in zip(*sampled_counts(block, key, count, m, reps, seed)))
+        return {"rep": rep + 1, "rank": rank, "n": n}
 
     fields = {"rep": T.IntegerType(), "rank": T.LongType(), "n": T.LongType()}
     return _per_group(_drawable(items, group, count), group, count, fields, rows)
@@ -236,11 +270,8 @@ def sampled_metrics(items: DataFrame, m: int = 100, reps: int = 200, seed: int =
             richness += np.bincount(rep, minlength=reps)
             n_ln_n += np.bincount(rep, n * np.log(n), minlength=reps)
             top = max(top, int(n.max(initial=0)))
-        return pd.DataFrame({
-            "rare_richness": [richness.mean()],
-            "rare_entropy": [(np.log(m) - n_ln_n / m).mean()],
-            "rare_top_frequency": [top / m],
-        })
+        return {"rare_richness": [richness.mean()], "rare_entropy": [(np.log(m) - n_ln_n / m).mean()],
+                "rare_top_frequency": [top / m]}
 
     names = ("rare_richness", "rare_entropy", "rare_top_frequency")
     metrics = _per_group(_drawable(items, group, count), group, count, {n: T.DoubleType() for n in names}, rows)

@@ -93,3 +93,40 @@ def test_cost_does_not_follow_the_sample():
     wide = pd.DataFrame({"c": [1], "n_items": [10**9], "items_before": [0], "count_before": [0], "total": [10**9]})
     drawn = list(rarefy.sampled_counts(wide, 1, "c", 1000, 3, 1))
     assert sum(int(n.sum()) for _, _, n in drawn) == 3000 and max(int(r.max()) for _, r, _ in drawn) > 9 * 10**8
+
+
+def test_draws_are_not_rows_of_the_join(make_items):
+    """The individuals are rows only behind the join with the names: before it, a rank holds the list of its draws."""
+    rows = [(d, f"s{i:02}", 1 + i // 3) for d in (1, 2, None) for i in range(20)]
+    drawn = rarefy.rarefy(make_items(rows, 3), m=30, reps=4, seed=5)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Generate explode") < plan.index("Join Inner")
+    assert drawn.columns == ["DataSet", "rank", "rep", "draw", "PreyScientificName"]
+    found = {(r.DataSet, r.rep, r.draw): (r["rank"], r.PreyScientificName) for r in drawn.collect()}
+    counts = [1 + i // 3 for i in range(20)]
+    order = sorted(range(20), key=lambda i: (-counts[i], i))
+    block = spectrum(counts)
+    expected = {}
+    for d in (1, 2):
+        for rep, ranks in enumerate(rarefy.draw_ranks(block, d, "c", 30, 4, 5), 1):
+            expected |= {(d, rep, k): (int(r), f"s{order[r - 1]:02}") for k, r in enumerate(ranks, 1)}
+    assert found == expected
+
+
+def test_both_ways_to_the_ranks_agree():
+    """Groups of few individuals look ranks up, larger ones search the blocks; counted and sorted tallies are the same."""
+    counts = [40, 9, 9, 9, 5] + [1] * 30
+    few, many = spectrum(counts), spectrum([c * 10**6 for c in counts])
+    for key in (3, "x"):
+        a, b = (rarefy.draw_ranks(block, key, "c", 50, 20, 2) for block in (few, many))
+        assert (a == b).all()
+    u = rarefy.uniform(3, 2, 1000) * sum(counts)
+    upto = np.cumsum(sorted(counts, reverse=True))
+    assert (rarefy.draw_ranks(few, 3, "c", 50, 20, 2).ravel() == np.searchsorted(upto, u, side="right") + 1).all()
+    for ranks in (a, a * 1000):
+        rep, rank, n = rarefy._tally(ranks)
+        cells = {}
+        for i, row in enumerate(ranks):
+            for r in row:
+                cells[i, int(r)] = cells.get((i, int(r)), 0) + 1
+        assert list(zip(rep, rank, n)) == [(*k, cells[k]) for k in sorted(cells)]
