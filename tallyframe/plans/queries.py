@@ -47,17 +47,17 @@ def tidy(df: DataFrame, digits: int | None = DIGITS) -> DataFrame:
 
 # --- shared inputs -----------------------------------------------------------
 
-def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.prey_mass(star.diet_items(spark, d), star.trait_mass(spark, d))
+def enriched(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    return lookup.prey_mass(star.diet_items(spark, d) if items is None else items, star.trait_mass(spark, d))
 
 
 def log_obs(spark: SparkSession, d: str) -> DataFrame:
     return density.log_observations(star.density_obs(spark, d))
 
 
-def prey(spark: SparkSession, d: str) -> DataFrame:
-    """The items of the foraging analysis, staged because most queries read them twice."""
-    return cut_lineage(tables.foraging_items(enriched(spark, d), density.allometry_by_order(log_obs(spark, d))))
+def prey(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    """The items of the foraging analysis, staged because most queries read them twice; ``items`` are those of all diets, where they are staged."""
+    return cut_lineage(tables.foraging_items(enriched(spark, d, items), density.allometry_by_order(log_obs(spark, d))))
 
 
 def richness_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def model_table(spark: SparkSession, d: str) -> DataFrame:
     items = cut_lineage(star.diet_items(spark, d))
     meta = cut_lineage(star.diet_meta(spark, d))
     # At this handling time some prey fail the test, so NumPos varies.
-    table = tables.foraging_table(meta, prey(spark, d), items, h=0.16)
+    table = tables.foraging_table(meta, prey(spark, d, items), items, h=0.16)
     rare = rarefy.rarefied_metrics(items).select(
         GROUP, F.col("rare_entropy").alias("ShannEnt_rare"), F.col("rare_richness").alias("DietRichness_rare"))
     full = lookup.attach_meta(table, rare, richness_columns(spark, d)).withColumns({

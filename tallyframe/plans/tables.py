@@ -17,7 +17,7 @@ from tallyframe.operators.ranks import rank_triplet
 from tallyframe.operators.rarefy import rarefied_metrics, rarefied_metrics_from
 from tallyframe.operators.redistribute import redistribute_genus
 from tallyframe.operators.skew import sized_join
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, measured_stage
 
 CARRION = "Artiodactyla"
 NO_DENSITY = "Afrosoricida"
@@ -184,7 +184,7 @@ def foraging_table(meta: DataFrame, prey: DataFrame, all_items: DataFrame, h: fl
     ``all_items`` are the items before the class filter (for the bird share).
     ``fill`` replaces the NULL of baow_a and NumPos where p is unknown.
     """
-    staged = cut_lineage(prey)
+    staged = measured_stage(prey)
     table = lookup.attach_meta(
         meta, diet_foraging_metrics(staged, meta, h), comp.bird_fraction(all_items, meta))
     table = names.thresholds(table, above={"Num_obs": min_obs, "numb_prey": 0})
@@ -193,7 +193,7 @@ def foraging_table(meta: DataFrame, prey: DataFrame, all_items: DataFrame, h: fl
 
 def handling_time_sweep(prey: DataFrame, meta: DataFrame, hs=foraging.CANDIDATE_H) -> DataFrame:
     """Share of prey that meets the rule, per candidate handling time."""
-    staged = cut_lineage(prey)
+    staged = measured_stage(prey)
     return foraging.proportion_meeting_rule(staged, foraging.diet_totals(staged, meta), hs)
 
 

@@ -70,14 +70,13 @@ def diet_items(spark: SparkSession, sf_dir: str, diet: str = "l_suppkey") -> Dat
         F.col("l_quantity").cast("bigint").alias("quantity"),
     )
     prey = F.when(F.col("IDLevel") == "Genus", genus_label("Genus")).otherwise(F.col("SciName"))
+    # The class follows from the order, so it is no key and is found for the summed rows only.
     return (
         lines.join(parts(spark, sf_dir), lines.l_partkey == F.col("p_partkey"))
-        .groupBy(
-            F.col(diet).alias("DataSet"), "IDLevel",
-            _case(F.col("PreyOrder"), CLASS_OF_ORDER).alias("PreyClass"), "PreyOrder",
-            prey.alias("PreyScientificName"),
-        )
+        .groupBy(F.col(diet).alias("DataSet"), "IDLevel", "PreyOrder", prey.alias("PreyScientificName"))
         .agg(F.sum("quantity").alias("CountInt"))
+        .select("DataSet", "IDLevel", _case(F.col("PreyOrder"), CLASS_OF_ORDER).alias("PreyClass"), "PreyOrder",
+                "PreyScientificName", "CountInt")
     )
 
 
