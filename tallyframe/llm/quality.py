@@ -17,18 +17,28 @@ is repetition.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm import phrases as P
 from tallyframe.llm import words as W
 from tallyframe.llm.characters import SCRIPTS, code_points, letter_tables
 from tallyframe.llm.components import staged
 from tallyframe.operators.skew import sized_join
+from tallyframe.session import drop_stage
+
+#: Texts of a block, texts a task holds before it lays out a block, words whose pairs share a home, and rounds of the homes and the blocks.
+BLOCK_BYTES, HELD_BYTES, HOME_WORDS, ROUNDS = 4 << 20, 32 << 20, 1 << 20, 6
+#: Kinds of code points besides white space: of scripts without spaces, other letters and digits, marks, marks of scripts without spaces, line ends.
+SINGLE, LETTER, MARK, SIGN, NEW_LINE = 1, 2, 3, 4, 5
 
 ORDER = 4
 QUANTILES = (0.005, 0.99)
@@ -38,6 +48,7 @@ MARKS = ".", ",", ";:?'\"()-", "!", "*", "$", "%", "&", "#", "|", "@"
 CLASSES = 44
 _UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for name in ("han", "kana", "thai", "lao", "khmer") for a, b in SCRIPTS[name])
 _UNSPACED += "\u1000-\u109f"
+#: What a word is; :func:`word_spans` finds the same.
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[^\w\s]+|\n+")
 #: The limits of a language count as much as the pooled ones with so many trusted texts; its level does with LEVEL_SHRINK.
 SHRINK, LEVEL_SHRINK = 50.0, 2.0
@@ -176,92 +187,282 @@ def spelling_costs(words: list[str], costs: np.ndarray, table: np.ndarray, withi
     return total[at[1:]] - total[at[:-1] + 1]
 
 
-def word_pairs(texts: list[str], sides: np.ndarray, costs: np.ndarray, table: np.ndarray,
-               within: np.ndarray) -> dict[str, np.ndarray]:
-    """The different pairs of neighbouring words of each text: text, pair, before, word, n,
-    the share of the pair, its first use left out, in the text's uses of before, and the spelling cost of word.
-
-    ``before`` and ``word`` are hashes, the first word stands behind 0; ``pair`` is a hash of side, before and word.
-    """
-    known: dict[str, int] = {}
-    ids, size = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        found = _WORD.findall(text)
-        size[k] = len(found)
-        ids += [known.setdefault(w, len(known)) for w in found]
-    if not ids:
-        return {c: np.zeros(0, np.int64) for c in ("text", "pair", "before", "word", "n", "again", "spelling")}
-    words = list(known)
-    buf, off = W.string_parts(pa.array(words, pa.string()))
-    hashes = W.word_hashes(buf, off[:-1], off[1:])
-    at = np.array(ids)
-    text = np.repeat(np.arange(len(texts)), size)
-    before = np.zeros(len(at), np.uint64)
-    before[1:] = hashes[at[:-1]]
-    before[(np.cumsum(size) - size)[size > 0]] = 0
-    base = np.uint64(W.BASE)
-    pair = W.mix(W.mix(W.mix(sides.view(np.uint64))[text] * base + before) * base + hashes[at])
-    order = np.lexsort((pair, text))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (text[order[1:]] != text[order[:-1]]) | (pair[order[1:]] != pair[order[:-1]])
-    some = order[new]
-    n = np.diff(np.append(np.flatnonzero(new), len(order)))
-    _, context = np.unique(W.mix(before[some] ^ W.mix(text[some].astype(np.uint64))), return_inverse=True)
-    again = (n - 1) / np.bincount(context, n)[context]
-    return {"text": text[some], "pair": pair[some].view(np.int64), "before": before[some].view(np.int64),
-            "word": hashes[at[some]].view(np.int64), "n": n, "again": again,
-            "spelling": spelling_costs(words, costs, table, within)[at[some]]}
-
-
-_PAIRS = "pair bigint, half int, side bigint, before bigint, word bigint, n bigint, again double, spelling double"
+def kind_table() -> np.ndarray:
+    """What each code point is to ``_WORD``: 0 white space, then the constants below."""
+    out = np.full(0x110000, MARK, np.uint8)
+    for point in range(0x110000):
+        c = chr(point)
+        if c.isalnum() or c == "_":
+            out[point] = LETTER
+        elif c.isspace():
+            out[point] = 0
+    for low, high in [*(r for name in ("han", "kana", "thai", "lao", "khmer") for r in SCRIPTS[name]), (0x1000, 0x109F)]:
+        part = out[low:high + 1]
+        part[:] = np.where(part == LETTER, SINGLE, np.where(part == MARK, SIGN, part))
+    out[ord("\n")] = NEW_LINE
+    return out
 
 
-def pair_rows(docs: DataFrame, costs: np.ndarray, within: np.ndarray) -> DataFrame:
-    """A row per text and different pair of words of ``docs`` (row, doc_id, lang, half, side, text).
+def word_spans(buf: np.ndarray, off: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, n): byte spans of all matches of ``_WORD`` in texts given as bytes, and how many each text has."""
+    points, at = code_points(buf, off)
+    kind = kinds[points]
+    edge = np.zeros(len(kind) + 1, dtype=bool)
+    edge[at] = True
+    changed = edge[:-1].copy()
+    changed[1:] |= kind[1:] != kind[:-1]
+    start = (changed & np.isin(kind, [LETTER, NEW_LINE])) | (kind == SINGLE)
+    # A run of marks takes in the signs behind its first mark; a sign before that is a word.
+    among = np.isin(kind, [MARK, SIGN])
+    begins = edge[:-1].copy()
+    begins[1:] |= ~among[:-1]
+    begins = np.flatnonzero(begins & among)
+    if len(begins):
+        marks = np.zeros(len(kind) + 1, np.int32)
+        np.cumsum(kind == MARK, out=marks[1:])
+        here = np.flatnonzero(among)
+        run = begins[np.searchsorted(begins, here, "right") - 1]
+        start[here[marks[here] == marks[run]]] = True
+    stops = np.flatnonzero(np.append(start | (kind == 0), True) | edge)
+    start = np.flatnonzero(start)
+    end = stops[np.searchsorted(stops, start) + 1] if len(start) else start
+    place = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+    return place[start], place[end], np.diff(np.searchsorted(start, at))
+
+
+def coded_words(buf: np.ndarray, off: np.ndarray, kinds: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, codes, sizes): the different words, all words in turn as places in that list, and how many each text has."""
+    found, sizes = [], []
+    for _, _, part, at in W.pieces(buf, off):
+        start, end, n = word_spans(part, at, kinds)
+        # Words touch, so each is copied: from its start on, one byte after the other.
+        size = end - start
+        edges = np.append(0, np.cumsum(size))
+        taken = part[np.arange(edges[-1]) + np.repeat(start - edges[:-1], size)]
+        found.append(pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(taken)]))
+        sizes.append(n)
+    encoded = pa.chunked_array(found, pa.large_binary()).dictionary_encode().combine_chunks()
+    if isinstance(encoded, pa.ChunkedArray):
+        encoded = encoded.chunk(0)
+    return encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+
+def lay_out(docs: DataFrame) -> DataFrame:
+    """Blocks of about BLOCK_BYTES of the texts of one language and half of ``docs`` (doc_id, lang, key, half, known, text).
+
+    A block holds neighbouring rows of one partition: its different words, and all its words as places among them.
+    The numbers of the blocks hold once the result is staged.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(kind_table())
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = ["blk", "lang", "key", "half", "n", "doc_ids", "chars", "known", "sizes", "words", "codes"]
 
-    The first row of a text has doc_id, lang and chars, which are null in the others; a
-    text without words has one row without a word.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[pa.RecordBatch]] = {}
+        weight: dict[tuple[int, int], int] = {}
+        blk = TaskContext.get().partitionId() << 32
+
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        def block(key: tuple[int, int]) -> pa.RecordBatch:
+            nonlocal blk
+            weight.pop(key)
+            part = pa.Table.from_batches(held.pop(key)).combine_chunks().to_batches()[0]
+            text = part.column("text")
+            words, codes, sizes = coded_words(*W.string_parts(text), shared.value)
+            chars = pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64())
+            blk += 1
+            return pa.RecordBatch.from_arrays([
+                pa.array([blk - 1]), part.column("lang").slice(0, 1), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()),
+                pa.array([len(codes)], pa.int64()), one(part.column("doc_id")), one(chars), one(part.column("known")),
+                one(pa.array(sizes, pa.int64())), pa.array([P._pack(words)], pa.binary()),
+                pa.array([P._planes(codes.astype(np.int32))], pa.binary())], names)
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
+                keys, halves = batch.column("key").to_numpy(), batch.column("half").to_numpy()
+                size = np.diff(W.string_parts(batch.column("text"))[1])
+                for key in sorted({*zip(keys.tolist(), halves.tolist())}):
+                    mine = np.flatnonzero((keys == key[0]) & (halves == key[1]))
+                    held.setdefault(key, []).append(batch.take(pa.array(mine)))
+                    weight[key] = weight.get(key, 0) + int(size[mine].sum())
+                    if weight[key] >= BLOCK_BYTES:
+                        yield block(key)
+                while sum(weight.values()) >= HELD_BYTES:
+                    yield block(max(weight, key=weight.get))
+        for key in list(held):
+            yield block(key)
+
+    return docs.mapInArrow(run, f"blk bigint, lang {kinds['lang']}, key bigint, half int, n bigint, doc_ids array<{kinds['doc_id']}>, "
+                                "chars array<bigint>, known array<boolean>, sizes array<bigint>, words binary, codes binary")
+
+
+def block_pairs(block: dict, k: int | None = None) -> dict[str, np.ndarray]:
+    """Of each word of a block, or of those whose word before belongs to round ``k`` (``key``, ``words``, ``codes``, ``sizes``): text, code, before (a code; the number of
+    words in front of the first) and pair, a hash of key, the word before (0 in front of the first) and the word; and ``hashes`` and ``rounds`` of the words."""
+    words = P._words(block["words"])
+    code = P._whole(block["codes"], np.int32)
+    hashes = np.append(P._word_hashes(words) if words else np.zeros(0, np.uint64), np.uint64(0))
+    sizes = np.asarray(block["sizes"], np.int64)
+    before = np.full(len(code), len(words), np.int32)
+    before[1:] = code[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(words)
+    base = np.uint64(W.BASE)
+    context = W.mix(W.mix(np.array([block["key"]], np.int64).view(np.uint64)) * base + hashes)
+    rounds = P._home(W.mix(hashes), ROUNDS)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    if k is not None:
+        mine = np.flatnonzero((rounds == k)[before])
+        text, code, before = text[mine], code[mine], before[mine]
+    return {"text": text, "code": code, "before": before, "hashes": hashes, "rounds": rounds, "pair": W.mix(context[before] * base + hashes[code])}
+
+
+def text_pairs(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The different pairs of each text of :func:`block_pairs`: text, pair, place (among all pairs in order; ``rounds`` has those of all), before and word (codes), n, and the share of
+    the pair, its first use left out, in the text's uses of before."""
+    pair, at, place = np.unique(got["pair"], return_index=True, return_inverse=True)
+    both = np.sort(got["text"].astype(np.int64) * len(pair) + place)
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    n = np.diff(np.append(first, len(both)))
+    text, place = both[first] // len(pair), both[first] % len(pair)
+    before = got["before"][at][place]
+    _, context = np.unique(text * len(got["hashes"]) + before, return_inverse=True)
+    return {"text": text, "pair": pair[place], "place": place, "before": before, "word": got["code"][at][place], "n": n,
+            "again": (n - 1) / np.bincount(context, n)[context], "rounds": got["rounds"][got["before"][at]]}
+
+
+def word_pairs(texts: list[str], keys: np.ndarray, costs: np.ndarray, table: np.ndarray,
+               within: np.ndarray) -> dict[str, np.ndarray]:
+    """The different pairs of neighbouring words of each text: text, pair, before, word (hashes, 0 before the first), n,
+    the share of the pair, its first use left out, in the text's uses of before, and the spelling cost of word."""
+    names = ["text", "pair", "before", "word", "n", "again", "spelling"]
+    found: list[dict[str, np.ndarray]] = [{c: np.zeros(0, np.int64) for c in names}]
+    for key in np.unique(keys):
+        mine = np.flatnonzero(keys == key)
+        words, codes, sizes = coded_words(*W.string_parts(pa.array([texts[k] for k in mine], pa.string())), kind_table())
+        if not len(codes):
+            continue
+        got = block_pairs({"key": int(key), "words": P._pack(words), "codes": P._planes(codes.astype(np.int32)), "sizes": sizes})
+        some, hashes = text_pairs(got), got["hashes"].view(np.int64)
+        found.append({"text": mine[some["text"]], "pair": some["pair"].view(np.int64), "before": hashes[some["before"]], "word": hashes[some["word"]],
+                      "n": some["n"], "again": some["again"], "spelling": spelling_costs([w.decode() for w in words], costs, table, within)[some["word"]]})
+    return {c: np.concatenate([f[c] for f in found]) for c in names}
+
+
+_SENT = "home int, key bigint, half int, blk bigint, pairs binary, known binary, before binary, word binary"
+_HOME = "home int, key bigint, half int, blk bigint, counts binary, stats binary"
+STATS = "total", "n1", "n2", "n3", "n4", "more", "preceded"
+
+
+def sent_pairs(block: dict, k: int, each: int) -> Iterator[dict]:
+    """The different pairs of a block in round ``k`` of ``each`` homes, a row per home: their hashes in order, how often
+    trusted texts have them, and the words of those that they have."""
+    got = block_pairs(block, k)
+    if not len(got["pair"]):
+        return
+    some = np.argsort(got["pair"], kind="stable")
+    pair = got["pair"][some]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    known = np.add.reduceat(np.asarray(block["known"], np.int64)[got["text"][some]], first)
+    some, pair = some[first], pair[first]
+    home = k * each + P._home(pair, each)
+    before, word = got["hashes"][got["before"][some]], got["hashes"][got["code"][some]]
+    cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+    for a, b in zip(cuts, [*cuts[1:], len(home)]):
+        n = known[a:b]
+        yield {"home": int(home[a]), "key": block["key"], "half": block["half"], "blk": block["blk"], "pairs": P._planes(np.diff(pair[a:b], prepend=np.uint64(0))),
+               "known": P._planes(n), "before": P._planes(before[a:b][n > 0]), "word": P._planes(word[a:b][n > 0])}
+
+
+def at_home(table: pa.Table) -> pa.Table:
+    """Of the pairs that the blocks sent to one home: for each block how often the other half's trusted texts have each of
+    its pairs, and for each language and half the sums of STATS by word, its different pairs counted as of the first or second word."""
+    rows = table.to_pylist()
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    out = []
+    for row in rows:
+        row["pairs"] = np.cumsum(P._whole(row["pairs"], np.uint64), dtype=np.uint64)
+        row["known"] = P._whole(row["known"], np.int64)
+    for half in (0, 1):
+        mine = [r for r in rows if r["half"] == half]
+        pair, at, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r["pairs"][r["known"] > 0] for r in mine]]),
+                                   return_index=True, return_inverse=True)
+        n = np.bincount(code, np.concatenate([np.zeros(0), *[r["known"][r["known"] > 0] for r in mine]]), len(pair)).astype(np.int64)
+        kept[half] = pair, n
+        if not len(pair):
+            continue
+        before = np.concatenate([P._whole(r["before"], np.uint64) for r in mine])[at]
+        word = np.concatenate([P._whole(r["word"], np.uint64) for r in mine])[at]
+        key = np.repeat([r["key"] for r in mine], [int((r["known"] > 0).sum()) for r in mine])[at]
+        for one in np.unique(key):
+            of = key == one
+            words, place = np.unique(np.concatenate([before[of], word[of]]), return_inverse=True)
+            head, tail, m = place[:of.sum()], place[of.sum():], n[of]
+            sums = [np.bincount(head, w, len(words)) for w in (m, m == 1, m == 2, m == 3, m == 4, m > 4)]
+            stats = np.stack([words.view(np.int64), *[x.astype(np.int64) for x in (*sums, np.bincount(tail, minlength=len(words)))]], 1)
+            out.append({"home": rows[0]["home"], "key": int(one), "half": half, "stats": P._planes(stats)})
+    for r in rows:
+        pair, n = kept[1 - r["half"]]
+        counts = np.zeros(len(r["pairs"]), np.int32)
+        if len(pair):
+            at = np.minimum(np.searchsorted(pair, r["pairs"]), len(pair) - 1)
+            same = pair[at] == r["pairs"]
+            counts[same] = n[at[same]]
+        out.append({"home": r["home"], "key": r["key"], "half": r["half"], "blk": r["blk"], "counts": P._planes(counts)})
+    return pa.Table.from_pylist(out, P._arrow(_HOME))
+
+
+def meet_homes(blocks: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stages (blk, home, counts) and of :func:`word_stats` of what the homes return (:func:`at_home`), one for each round.
+
+    The word before decides on the round of a pair, its hash on the home, so a frequent word has no home of its own.
+    The files of a round are dropped before the next begins.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"costs": costs, "table": class_table(), "within": within})
-    names = ["row", "doc_id", "lang", "chars", *[c.split()[0] for c in _PAIRS.split(", ")]]
+    spark = blocks.sparkSession
+    words = blocks.agg(F.sum("n")).first()[0] or 0
+    each = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (ROUNDS * HOME_WORDS)))
+    answers, stats = [], []
+    for k in range(ROUNDS):
+        def send(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    for row in sent_pairs(batch.slice(i, 1).to_pylist()[0], k, each):
+                        yield pa.RecordBatch.from_pylist([row], P._arrow(_SENT))
+
+        sent = blocks.select("blk", "key", "half", "known", "sizes", "words", "codes").mapInArrow(send, _SENT)
+        homes = staged(sent.groupBy("home").applyInArrow(at_home, _HOME), "homes")
+        drop_stage(spark.range(0))
+        stats.append(staged(word_stats(homes), "counts"))
+        answers.append(staged(homes.filter("counts is not null").select("blk", "home", "counts"), "answers"))
+        drop_stage(homes)
+    return answers, stats
+
+
+def word_stats(homes: DataFrame) -> DataFrame:
+    """(half, key, word, STATS...) over all homes."""
+    names = ["half", "key", "word", *STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            _, off = W.string_parts(batch.column("text"))
-            low = 0
-            while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(off, off[low] + W.PIECE_BYTES, "right")) - 1)
-                part = batch.slice(low, high - low)
-                low = high
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                sides = part.column("side").to_numpy()
-                got = word_pairs(texts, sides, held["costs"], held["table"], held["within"])
-                bare = np.setdiff1d(np.arange(len(texts)), got["text"])
-                text = np.concatenate([got["text"], bare])
-                order = np.argsort(text, kind="stable")
-                text, real = text[order], order < len(got["text"])
-                lead = np.ones(len(text), dtype=bool)
-                lead[1:] = text[1:] != text[:-1]
-
-                def column(name: str, fill: np.ndarray, mask: bool = False) -> pa.Array:
-                    return pa.array(np.concatenate([got[name], fill])[order], mask=~real if mask else None)
-
-                def first(values: pa.Array) -> pa.Array:
-                    return values.take(pa.array(text, mask=~lead))
-
-                rows = part.column("row")
-                zero = np.zeros(len(bare), np.int64)
+            for row in batch.to_pylist():
+                stats = P._whole(row["stats"], np.int64, 1 + len(STATS))
                 yield pa.RecordBatch.from_arrays([
-                    rows.take(pa.array(text)), first(part.column("doc_id")), first(part.column("lang")),
-                    first(pa.array([len(t) for t in texts], pa.int64())),
-                    column("pair", W.mix(rows.to_numpy()[bare].view(np.uint64)).view(np.int64)),
-                    part.column("half").take(pa.array(text)), part.column("side").take(pa.array(text)),
-                    column("before", zero, True), column("word", zero, True), column("n", zero), column("again", zero.astype(float)),
-                    column("spelling", zero.astype(float), True)], names)
+                    pa.array(np.full(len(stats), row["half"], np.int32)), pa.array(np.full(len(stats), row["key"], np.int64)),
+                    *[pa.array(np.ascontiguousarray(c)) for c in stats.T]], names)
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.mapInArrow(run, f"row bigint, doc_id {kinds['doc_id']}, lang {kinds['lang']}, chars bigint, {_PAIRS}")
+    rows = homes.filter("stats is not null").select("half", "key", "stats").mapInArrow(
+        run, "half int, key bigint, " + ", ".join(f"{c} bigint" for c in names[2:]))
+    return rows.groupBy(*names[:3]).agg(*[F.sum(c).alias(c) for c in STATS])
+
+
+def discounts() -> list[Column]:
+    """d1, d2, d3 of modified Kneser-Ney from n1 to n4."""
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    return [F.when((F.col("n1") > 0) & (F.col(f"n{r}") > 0),
+                   F.least(F.greatest(r - (r + 1) * y * F.col(f"n{r + 1}") / F.col(f"n{r}"), F.lit(0.1)), F.lit(r - 0.05))
+                   ).otherwise(0.5).alias(f"d{r}") for r in (1, 2, 3)]
 
 
 def discounted(counts: DataFrame, context: list[str], model: str) -> tuple[DataFrame, DataFrame]:
@@ -270,11 +471,7 @@ def discounted(counts: DataFrame, context: list[str], model: str) -> tuple[DataF
     ``counts`` has n; the discounts are those of each ``model`` (a column).
     """
     of = counts.groupBy(model).agg(*[F.sum((F.col("n") == r).cast("double")).alias(f"n{r}") for r in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    of = of.select(model, *[
-        F.when((F.col("n1") > 0) & (F.col(f"n{r}") > 0),
-               F.least(F.greatest(r - (r + 1) * y * F.col(f"n{r + 1}") / F.col(f"n{r}"), F.lit(0.1)), F.lit(r - 0.05))
-               ).otherwise(0.5).alias(f"d{r}") for r in (1, 2, 3)])
+    of = of.select(model, *discounts())
     off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     counts = sized_join(counts, of, [model]).withColumn("off", off).drop("d1", "d2", "d3")
     totals = staged(counts.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("rest")), "totals")
@@ -282,28 +479,77 @@ def discounted(counts: DataFrame, context: list[str], model: str) -> tuple[DataF
     return staged(shares.drop("n", "off", "total"), "shares"), totals.drop("total")
 
 
-def pair_costs(pairs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(pair, cost): -log p of the word behind the one before, of all different ``pairs``.
+def word_model(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, sides) of :func:`word_stats`.
 
-    Pairs, then words of the language, then words of all languages, then the spelling.
+    ``words`` (half, word): ``s0``, the share of the word among those of all languages, and ``by_key`` for each language
+    ``total`` and ``r2`` of the word as a context, and ``s1``, its share among the words of the language; ``sides`` (half, key): the
+    discounts of pairs and the masses ``r1`` and ``r0`` left behind words and behind words of all languages.
     """
-    counts = staged(trusted.groupBy("pair", "half", "side", "before", "word").agg(F.sum("n").alias("n")), "counts")
-    words = staged(counts.groupBy("half", "side", "word").agg(F.count("*").alias("n")), "counts")
+    stats = stats.withColumn("side", F.xxhash64("half", "key"))
+    words = staged(stats.filter("preceded > 0").select("half", "side", "word", F.col("preceded").alias("n")), "counts")
     every = staged(words.groupBy("half", "word").agg(F.sum("n").alias("n")), "counts")
-    share2, rest2 = discounted(counts, ["side", "before"], "side")
     share1, rest1 = discounted(words, ["side"], "side")
     share0, rest0 = discounted(every, ["half"], "half")
-    out = pairs.join(share2.select("pair", F.col("share").alias("s2")), "pair", "left")
-    out = out.join(rest2.withColumnRenamed("rest", "r2"), ["side", "before"], "left")
-    out = out.join(share1.select("side", "word", F.col("share").alias("s1")), ["side", "word"], "left")
-    out = out.join(share0.select("half", "word", F.col("share").alias("s0")), ["half", "word"], "left")
-    out = sized_join(out, rest1.withColumnRenamed("rest", "r1"), ["side"], "left")
-    out = sized_join(out, rest0.withColumnRenamed("rest", "r0"), ["half"], "left")
-    s2, s1, s0 = (F.coalesce(c, F.lit(0.0)) for c in ("s2", "s1", "s0"))
-    r2, r1, r0 = (F.coalesce(c, F.lit(1.0)) for c in ("r2", "r1", "r0"))
-    seen = s2 + r2 * (s1 + r1 * s0)
-    cost = F.when(seen > 0, -F.log(seen + r2 * r1 * r0 * F.exp(-F.col("spelling")))).otherwise(F.col("spelling") - F.log(r2 * r1 * r0))
-    return out.select("pair", cost.alias("cost"))
+    sides = stats.groupBy("half", "key", "side").agg(*[F.sum(c).cast("double").alias(c) for c in ("n1", "n2", "n3", "n4")])
+    sides = staged(sides.select("half", "key", "side", *discounts()), "sides")
+    seen = sized_join(stats, sides.select("side", "d1", "d2", "d3"), ["side"])
+    rest2 = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * (F.col("n3") + F.col("n4") + F.col("more"))) / F.col("total")
+    seen = seen.select("half", "key", "side", "word", "total", F.when(F.col("total") > 0, rest2).alias("r2"))
+    seen = seen.join(share1.select("side", "word", F.col("share").alias("s1")), ["side", "word"], "left").groupBy("half", "word").agg(
+        F.collect_list(F.struct("key", "total", "r2", "s1")).alias("by_key"))
+    seen = staged(seen.join(share0.select("half", "word", F.col("share").alias("s0")), ["half", "word"], "left"), "model")
+    sides = sized_join(sides, rest1.withColumnRenamed("rest", "r1"), ["side"], "left").drop("side")
+    sides = sides.join(rest0.withColumnRenamed("rest", "r0"), "half", "full")
+    sides = staged(sides, "sides")
+    drop_stage(words, every, share1, share0, rest1, rest0)
+    return seen, sides
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(blk, half, key, word, place): the different words of each block, and the start of a text, of the half that prices them."""
+    names = ["blk", "half", "key", "word", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = P._words(row["words"])
+                word = np.append(P._word_hashes(words) if words else np.zeros(0, np.uint64), np.uint64(0)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(word), row["blk"], np.int64)), pa.array(np.full(len(word), 1 - row["half"], np.int32)),
+                    pa.array(np.full(len(word), row["key"], np.int64)), pa.array(word), pa.array(np.arange(len(word), dtype=np.int32))], names)
+
+    return blocks.select("blk", "half", "key", "words").mapInArrow(run, "blk bigint, half int, key bigint, word bigint, place int")
+
+
+def text_costs(block: dict, counts: np.ndarray, values: dict[str, np.ndarray], spelling: np.ndarray) -> np.ndarray:
+    """-log p of each text of a block, nan for one without words.
+
+    ``counts`` are the trusted uses of its different pairs in order of their rounds and hashes, ``values`` by word the columns r2, total, s1 and s0.
+    Pairs, then words of the language, then words of all languages, then the spelling.
+    """
+    sizes = np.asarray(block["sizes"], np.int64)
+    total = np.full(len(sizes), np.nan)
+    if not sizes.any():
+        return total
+    got = block_pairs(block)
+    some = text_pairs(got)
+    if len(some["rounds"]) != len(counts):
+        raise ValueError("a block's answers do not fit its pairs")
+    known = np.empty_like(counts)
+    known[np.argsort(some["rounds"], kind="stable")] = counts
+    before, word, n, counts = some["before"], some["word"], some["n"], known[some["place"]]
+    r1, r0 = (1.0 if block[c] is None else block[c] for c in ("r1", "r0"))
+    r2 = values["r2"][before]
+    off = np.array([0.0, *[0.5 if block[c] is None else block[c] for c in ("d1", "d2", "d3")]])[np.minimum(counts, 3)]
+    s2 = np.where(counts > 0, (counts - off) / np.maximum(values["total"][before], 1), 0.0)
+    seen = s2 + r2 * (values["s1"][word] + r1 * values["s0"][word])
+    with np.errstate(divide="ignore"):
+        cost = np.where(seen > 0, -np.log(seen + r2 * r1 * r0 * np.exp(-spelling[word])), spelling[word] - np.log(r2 * r1 * r0))
+    again = np.flatnonzero(n > 1)
+    cost[again] -= (n[again] - 1) * np.log((1 - CACHE) * np.exp(-cost[again]) + CACHE * some["again"][again])
+    sums = np.bincount(some["text"], cost, len(sizes))
+    return np.where(sizes > 0, sums, total)
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -311,26 +557,58 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 
     Repeats of a pair in a text are cheap, by the share they have in it, so repetition has a low perplexity.
     """
+    spark = docs.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
     lang = F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))
-
-    def halves(of: DataFrame, other: bool) -> DataFrame:
-        # A text is counted in its own half and priced by the other one.
-        of = of.withColumn("half", 1 - half if other else half)
-        return of.withColumn("side", F.xxhash64("half", lang)).withColumn("row", F.monotonically_increasing_id())
-
     texts = staged(sized_join(docs, trusted_ids, ["doc_id"]), "trusted")
-    spelling = cost_table(kneser_ney(count_grams(texts))), character_costs(texts)
-    trusted = pair_rows(halves(texts, False), *spelling).filter("word is not null")
-    rows = pair_rows(halves(docs, True), *spelling)
-    different = rows.filter("word is not null").select("pair", "half", "side", "before", "word", "spelling").dropDuplicates(["pair"])
-    prices = pair_costs(different, trusted)
-    repeat = -F.log((1 - CACHE) * F.exp(-F.col("cost")) + CACHE * F.col("again"))
-    joined = rows.select("row", "doc_id", "lang", "chars", "pair", "n", "again").join(prices, "pair", "left")
-    found = joined.groupBy("row").agg(
-        F.first("doc_id", True).alias("doc_id"), F.first("lang", True).alias("lang"),
-        F.max("chars").alias("chars"), F.sum(F.col("cost") + (F.col("n") - 1) * repeat).alias("total"))
-    return found.select("doc_id", "lang", "chars", F.exp(F.col("total") / F.col("chars")).alias("perplexity"))
+    model = kneser_ney(count_grams(texts))
+    costs, within = cost_table(model), character_costs(texts)
+    drop_stage(texts, *model)
+    marked = sized_join(docs, trusted_ids.withColumn("known", F.lit(True)), ["doc_id"], "left")
+    blocks = staged(lay_out(marked.select("doc_id", "lang", F.xxhash64(lang).alias("key"), half.alias("half"),
+                                          F.coalesce("known", F.lit(False)).alias("known"), "text")), "blocks")
+    met, parts = meet_homes(blocks)
+    answers, stats = (functools.reduce(DataFrame.unionByName, x) for x in (met, parts))
+    stats = staged(stats.groupBy("half", "key", "word").agg(*[F.sum(c).alias(c) for c in STATS]), "counts")
+    drop_stage(*parts)
+    words, sides = word_model(stats)
+    drop_stage(stats)
+    shared = spark.sparkContext.broadcast({"costs": costs, "table": class_table(), "within": within})
+    names = ["doc_id", "lang", "chars", "perplexity"]
+
+    def price(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.filter(pc.is_valid(left["words"])).to_pylist()[0]
+        rest = left.filter(pc.is_valid(left["counts"])).sort_by("home")["counts"].to_pylist()
+        counts = np.concatenate([np.zeros(0, np.int32), *[P._whole(x, np.int32) for x in rest]])
+        right = right.sort_by("place")
+        values = {c: pc.fill_null(right[c].combine_chunks().cast(pa.float64()), fill).to_numpy(zero_copy_only=False)
+                  for c, fill in (("r2", 1.0), ("total", 0.0), ("s1", 0.0), ("s0", 0.0))}
+        known = [w.decode() for w in P._words(block["words"])]
+        held = shared.value
+        spelling = spelling_costs(known, held["costs"], held["table"], held["within"]) if known else np.zeros(0)
+        chars = np.asarray(block["chars"], np.int64)
+        perplexity = np.exp(text_costs(block, counts, values, spelling) / np.maximum(chars, 1))
+        one = left.filter(pc.is_valid(left["words"]))
+        return pa.table([pc.list_flatten(one["doc_ids"]), pa.chunked_array([pa.array([block["lang"]] * len(chars), one["lang"].type)]),
+                         pa.array(chars), pa.array(perplexity, mask=np.isnan(perplexity))], names)
+
+    found = []
+    for k in range(ROUNDS):
+        mine = F.pmod(F.xxhash64("blk"), F.lit(ROUNDS)) == k
+        some = blocks.filter(mine)
+        asked = block_words(some).join(words, ["half", "word"], "left")
+        of = F.filter("by_key", lambda x: x["key"] == F.col("key"))
+        asked = asked.select("blk", "place", "s0", F.get(of, F.lit(0)).alias("own")).select("blk", "place", "own.r2", "own.total", "own.s1", "s0")
+        other = sides.withColumn("half", 1 - F.col("half"))
+        with_sides = sized_join(some.drop("n", "known"), other.filter("key is not null").select("half", "key", "d1", "d2", "d3", "r1"), ["half", "key"], "left")
+        with_sides = sized_join(with_sides, other.select("half", "r0").distinct(), ["half"], "left")
+        held = with_sides.unionByName(answers.filter(mine), True)
+        found.append(staged(held.groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(
+            price, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, chars bigint, perplexity double"), "priced"))
+        drop_stage(spark.range(0))
+    drop_stage(blocks, *met, words)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def classify_quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -114,3 +114,83 @@ def test_rare_language_has_limits_near_its_own_level(spark, make_docs, prose):
         trusted = spark.createDataFrame([(k,) for k in range(200)] + [(1000 + k,) for k in range(few)], "doc_id bigint")
         found = Q.classify_quality(make_docs(rows), trusted).collect()
         assert sum(r.kept for r in found if r.doc_id >= 1020) >= 20
+
+
+def test_word_spans_are_the_words():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab éÑ_1 \n\n\t!?漢字ั่ກ့က　😀\x00-") for _ in range(rng.randint(0, 30))) for _ in range(2000)] + [None, ""]
+    words, codes, sizes = Q.coded_words(*W.string_parts(pa.array(texts, pa.string())), Q.kind_table())
+    found = [Q._WORD.findall(t or "") for t in texts]
+    assert sizes.tolist() == [len(f) for f in found]
+    assert [words[c].decode() for c in codes] == [w for f in found for w in f]
+
+
+def brute_perplexities(rows, known, costs, within):
+    """Of (doc_id, lang, text, half): Kneser-Ney over word pairs by dictionaries."""
+    def discount(counts):
+        n = collections.Counter(counts)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        return [0] + [min(max(r - (r + 1) * y * n[r + 1] / n[r], 0.1), r - 0.05) if n[1] and n[r] else 0.5 for r in (1, 2, 3)]
+
+    def level(counts):
+        d, total = discount(counts.values()), sum(counts.values())
+        return {w: (n - d[min(n, 3)]) / total for w, n in counts.items()}, sum(d[min(n, 3)] for n in counts.values()) / total
+
+    sides, models, every = collections.defaultdict(collections.Counter), {}, collections.defaultdict(collections.Counter)
+    for i, lang, text, half in rows:
+        words = Q._WORD.findall(text or "")
+        if i in known:
+            sides[half, lang].update(zip([None, *words], words))
+    for side, pairs in sides.items():
+        d, total, mass, words = discount(pairs.values()), collections.Counter(), collections.Counter(), collections.Counter()
+        for (a, b), n in pairs.items():
+            total[a] += n
+            mass[a] += d[min(n, 3)]
+            words[b] += 1
+        every[side[0]].update(words)
+        models[side] = {p: (n - d[min(n, 3)]) / total[p[0]] for p, n in pairs.items()}, {a: mass[a] / total[a] for a in total}, *level(words)
+    below = {half: level(c) for half, c in every.items()}
+    out = []
+    for i, _, text, half in rows:
+        words = Q._WORD.findall(text or "")
+        s2, r2, s1, r1 = models.get((1 - half, _), ({}, {}, {}, 1.0))
+        s0, r0 = below[1 - half]
+        pairs, uses, total = collections.Counter(zip([None, *words], words)), collections.Counter([None, *words[:-1]]), 0.0
+        for (a, b), n in pairs.items():
+            spelling = math.exp(-Q.spelling_costs([b], costs, Q.class_table(), within)[0])
+            p = s2.get((a, b), 0) + r2.get(a, 1) * (s1.get(b, 0) + r1 * (s0.get(b, 0) + r0 * spelling))
+            total -= math.log(p) + (n - 1) * math.log((1 - Q.CACHE) * p + Q.CACHE * (n - 1) / uses[a])
+        out.append((i, math.exp(total / len(text)) if words else None))
+    return out
+
+
+def test_perplexities_are_those_of_dictionaries(spark, make_docs, prose, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(Q, "BLOCK_BYTES", 2000)  # several blocks of a language in a task
+    rows = [(k, prose(60, k % 50) + " !! " * (k % 4) + "A漢字", (None, "en", "el")[k % 3]) for k in range(90)]
+    rows += [(200, prose(30, 3, ("zu", "wy")), "rare"), (201, None, "en"), (202, " \n", "en"), (203, " ", None)]
+    docs = make_docs(rows).select("doc_id", "lang", "text")
+    trusted = spark.createDataFrame([(k,) for k in range(0, 90, 2)] + [(200,)], "doc_id bigint")
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    texts = docs.join(trusted, "doc_id")
+    costs = Q.cost_table(Q.kneser_ney(Q.count_grams(texts)))
+    within = Q.character_costs(texts)
+    known = {r.doc_id for r in trusted.collect()}
+    expected = dict(brute_perplexities([tuple(r) for r in docs.withColumn("half", half).collect()], known, costs, within))
+    expected = {i: p and pytest.approx(p, rel=1e-9) for i, p in expected.items()}
+    assert {r.doc_id: r.perplexity for r in Q.perplexities(docs, trusted).collect()} == expected
+
+
+def test_pairs_are_sent_per_block_not_per_text(spark, make_docs, prose):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([(k, prose(60, k % 5), "en") for k in range(100)], 1).select(
+        "doc_id", "lang", F.lit(1).cast("bigint").alias("key"), F.lit(0).alias("half"), (F.col("doc_id") < 50).alias("known"), "text")
+    blocks = Q.lay_out(docs).collect()
+    assert len(blocks) == 1
+    rows = [r for k in range(Q.ROUNDS) for r in Q.sent_pairs(blocks[0].asDict(), k, 2)]
+    assert len(rows) <= 2 * Q.ROUNDS
+    known = np.concatenate([Q.P._whole(r["known"], np.int64) for r in rows])
+    different = {p for s in range(5) for p in zip([None, *prose(60, s).split()], prose(60, s).split())}
+    assert len(known) == len(different) and known.sum() == 50 * 60
